@@ -47,7 +47,7 @@ def estimate_cost(df: DataFrame, tier: str = "model_tier",
 def rate_limit(df: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str], limit: int = 12,
                seconds: int = 60) -> DataFrame:
     """Adds ``admitted`` and ``retry_after_s``: at most ``limit`` admitted events per key and
-    window; only admitted events count.
+    window; only admitted events count. A missing key part counts as ``anonymous``.
 
     Admission looks back over admitted events and is sequential within a key, but not without
     end. Time is cut into slots as long as the window and events are counted per (key, slot). If
@@ -57,9 +57,11 @@ def rate_limit(df: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str], l
     two cuts go to Python, sorted by Spark and streamed batch by batch with the window's few
     admitted times as state. A key above its limit without a pause stays one stretch.
     """
-    keys = list(key)
+    keys = [f"_k{i}" for i in range(len(key))]
     width = seconds * 1_000_000
-    events = (df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    named = df.withColumns({k: F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")),
+                                          F.lit("anonymous")) for k, name in zip(keys, key)})
+    events = (named.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
               .withColumn("_slot", F.floor(F.col("_t") / width).cast("long")))
     counts = events.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*keys).orderBy("_slot")
