@@ -13,9 +13,9 @@ from tidemark.operators.latest import latest_version
 AsOf = datetime | str | Column
 
 
-def _latest_ingested(df: DataFrame, key: str) -> DataFrame:
-    return latest_version(df, [key], [F.col("ingested_at").desc(),
-                                      F.col("source_record_id").desc()])
+def _latest_ingested(df: DataFrame, key: str, *ties: str) -> DataFrame:
+    """Newest row per key; rows ingested together are decided by ``ties``."""
+    return latest_version(df, [key], [F.col(name).desc() for name in ("ingested_at", *ties)])
 
 
 def asset_enriched(snapshots: DataFrame, protocols: DataFrame, repos: DataFrame,
@@ -23,15 +23,15 @@ def asset_enriched(snapshots: DataFrame, protocols: DataFrame, repos: DataFrame,
     """Latest snapshot per asset with its latest protocol and repository row, keys compared
     without case. All three sides are one row per key when they meet, so no key is hot; AQE
     broadcasts a side it has measured to be small."""
-    s = (_latest_ingested(snapshots, "asset_id")
+    s = (_latest_ingested(snapshots, "asset_id", "source_record_id", "price_usd")
          .select("asset_id", "symbol", "name", "market_cap_rank", "price_usd", "market_cap_usd",
                  "volume_24h_usd", F.col("ingested_at").alias("snapshot_ingested_at"),
                  F.lower("asset_id").alias("_key")))
-    d = (_latest_ingested(protocols, "source_record_id")
+    d = (_latest_ingested(protocols, "source_record_id", "observed_at", "tvl_usd")
          .select(F.lower("source_record_id").alias("_key"), "protocol_slug",
                  F.col("category").alias("defi_category"), "tvl_usd", "fees_24h_usd",
                  "revenue_24h_usd", "mcap_tvl_ratio"))
-    g = (_latest_ingested(repos, "asset_id")
+    g = (_latest_ingested(repos, "asset_id", "observed_at", "stars", "commits_30d")
          .select(F.lower("asset_id").alias("_key"), "repo_full_name", "stars", "forks",
                  "open_issues", "contributors_count", "commits_30d", "commits_90d",
                  "repo_age_days"))

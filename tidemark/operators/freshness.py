@@ -37,52 +37,79 @@ class QualityRules(NamedTuple):
     outlier: Column
 
 
-def freshness_status(watches: Mapping[str, Watch], as_of: AsOf) -> DataFrame:
-    now, parts = moment(as_of), []
-    for name, watch in watches.items():
-        latest = F.col("latest_observed_at")
-        age = F.timestamp_diff("MINUTE", latest, now)
-        parts.append(watch.df.agg(F.max(watch.ts).alias("latest_observed_at")).select(
-            F.lit(name).alias("asset_name"), F.lit(watch.tier).alias("freshness_tier"),
+def _freshness_columns(watch: Watch, now: Column) -> list[Column]:
+    latest = F.col("latest_observed_at")
+    age = F.timestamp_diff("MINUTE", latest, now)
+    return [F.lit(watch.tier).alias("freshness_tier"),
             F.lit(watch.target_minutes).alias("freshness_target_minutes"), latest,
             now.alias("checked_at"), age.alias("freshness_age_minutes"),
             F.when(latest.isNull(), "missing")
             .when(age <= watch.target_minutes, "within_target").otherwise("stale")
-            .alias("freshness_status")))
-    return union_all(parts)
+            .alias("freshness_status")]
+
+
+def freshness_status(watches: Mapping[str, Watch], as_of: AsOf) -> DataFrame:
+    now = moment(as_of)
+    return union_all([
+        watch.df.agg(F.max(watch.ts).alias("latest_observed_at"))
+        .select(F.lit(name).alias("asset_name"), *_freshness_columns(watch, now))
+        for name, watch in watches.items()])
+
+
+def _quality_totals(rule: QualityRules, ts: str | None = None) -> DataFrame:
+    """One row of counts. Rows are combined per key on the map side, then the keys are summed: no
+    distinct state and one scan, which also yields the latest ``ts`` if asked for. On an empty
+    table the conditional sums are null."""
+    has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in rule.not_null])
+    extra = [] if ts is None else [F.max(ts).alias("_latest")]
+    per_key = rule.df.groupBy(*rule.keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(F.when(has_null, 1).otherwise(0)).alias("_nulls"),
+        F.sum(F.when(rule.outlier, 1).otherwise(0)).alias("_outliers"), *extra)
+    return per_key.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
+        F.sum("_nulls").alias("critical_null_rows"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_key_rows"),
+        F.sum("_outliers").alias("numeric_outlier_rows"),
+        *([] if ts is None else [F.max("_latest").alias("latest_observed_at")]))
+
+
+_QUALITY = ["row_count", "critical_null_rows", "duplicate_key_rows", "numeric_outlier_rows"]
+
+
+def _quality_label() -> Column:
+    return pass_or_review((F.col("critical_null_rows") == 0) & (F.col("duplicate_key_rows") == 0)
+                          & (F.col("numeric_outlier_rows") == 0)).alias("quality_status")
 
 
 def quality_status(rules: Mapping[str, QualityRules]) -> DataFrame:
-    """Null, duplicate and outlier rows per table.
+    """Null, duplicate and outlier rows per table; an empty table is in ``review``."""
+    return union_all([
+        _quality_totals(rule).select(F.lit(name).alias("asset_name"), *_QUALITY, _quality_label())
+        for name, rule in rules.items()])
 
-    One aggregate per key, combined map-side, then one over its results: no distinct state, no
-    second scan. On an empty table the sums are null and the status is ``review``.
-    """
-    parts = []
-    for name, rule in rules.items():
-        has_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in rule.not_null])
-        per_key = rule.df.groupBy(*rule.keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.when(has_null, 1).otherwise(0)).alias("nulls"),
-            F.sum(F.when(rule.outlier, 1).otherwise(0)).alias("outliers"))
-        totals = per_key.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
-            F.sum("nulls").alias("critical_null_rows"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_key_rows"),
-            F.sum("outliers").alias("numeric_outlier_rows"))
-        parts.append(totals.select(F.lit(name).alias("asset_name"), "*", pass_or_review(
-            (F.col("critical_null_rows") == 0) & (F.col("duplicate_key_rows") == 0)
-            & (F.col("numeric_outlier_rows") == 0)).alias("quality_status")))
-    return union_all(parts)
+
+def _serving_label() -> Column:
+    serve = (F.col("freshness_status") == "within_target") & (F.col("quality_status") == "pass")
+    return F.when(serve, "serve").otherwise("hold").alias("serving_status")
+
+
+def serving_in_one_pass(watches: Mapping[str, Watch], rules: Mapping[str, QualityRules],
+                        as_of: AsOf) -> DataFrame:
+    """``serving_readiness`` of the tables watched on both sides, computing each table once."""
+    now = moment(as_of)
+    return union_all([
+        _quality_totals(rules[name], watch.ts)
+        .select(F.lit(name).alias("asset_name"), *_freshness_columns(watch, now), *_QUALITY)
+        .select("*", _quality_label())
+        for name, watch in watches.items() if name in rules]).select("*", _serving_label())
 
 
 def serving_readiness(quality: DataFrame, freshness: DataFrame) -> DataFrame:
-    serve = (F.col("freshness_status") == "within_target") & (F.col("quality_status") == "pass")
     return quality.join(freshness, "asset_name").select(
         "asset_name", "freshness_tier", "freshness_target_minutes", "latest_observed_at",
-        "checked_at", "freshness_age_minutes", "freshness_status", "row_count",
-        "critical_null_rows", "duplicate_key_rows", "numeric_outlier_rows", "quality_status",
-        F.when(serve, "serve").otherwise("hold").alias("serving_status"))
+        "checked_at", "freshness_age_minutes", "freshness_status", *_QUALITY, "quality_status",
+        _serving_label())
 
 
 def gold_watches(rankings: DataFrame, movers: DataFrame, dominance: DataFrame,

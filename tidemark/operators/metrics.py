@@ -200,8 +200,8 @@ def assurance(checks: DataFrame, usage: DataFrame, runs: DataFrame,
 
 # layer, resource, kind of evidence, key in the job or route table
 RESOURCES = [
-    ("external_sources", "market_feed", "job", "market_source_ingestion_job"),
-    ("external_sources", "protocol_feed", "job", "defillama_ingestion_job"),
+    ("external_sources", "market_feed", "job", "market_ingestion_job"),
+    ("external_sources", "protocol_feed", "job", "protocol_ingestion_job"),
     ("data_plane", "gold_serving", "gold", None),
     ("data_plane", "scheduled_jobs", "jobs", None),
     ("ai_analytics", "genie", "route", "genie"),

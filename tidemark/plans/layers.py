@@ -61,8 +61,9 @@ def build_layers(tables: Mapping[str, DataFrame], as_of: datetime | str) -> View
             freshness.gold_watches(*gold_four()), as_of),
         "gold_quality_status": lambda: freshness.quality_status(
             freshness.gold_quality_rules(*gold_four())),
-        "gold_serving_readiness": lambda: freshness.serving_readiness(
-            v["gold_quality_status"], v["gold_freshness_status"]),
+        "gold_serving_readiness": lambda: freshness.serving_in_one_pass(
+            freshness.gold_watches(*gold_four()), freshness.gold_quality_rules(*gold_four()),
+            as_of),
         "ops_usage_events_normalized": lambda: ops.usage_normalized(v["ops_usage_events"]),
         "ops_route_health": lambda: ops.route_health(v["ops_usage_events_normalized"]),
         "ops_release_readiness": lambda: ops.release_readiness(
