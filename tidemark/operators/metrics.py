@@ -127,7 +127,7 @@ def latency_quartiles(usage: DataFrame) -> DataFrame:
     tiers = list(fv.COST_PER_1K_TOKENS)
     counts = (usage.filter(F.col("model_tier").isin(tiers) & F.col("latency_ms").isNotNull())
               .groupBy("model_tier", "latency_ms").agg(F.count(F.lit(1)).alias("n")))
-    at = F.percentile("latency_ms", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), "n")
+    at = F.percentile("latency_ms", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
     return counts.groupBy("model_tier").agg(
         F.min("latency_ms").alias("low"), at.alias("q"), F.max("latency_ms").alias("high"),
     ).select("model_tier", "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),

@@ -64,14 +64,16 @@ def cv_accuracy(daily: DataFrame, folds: int = 5) -> float | None:
     indexed = StringIndexer(inputCol="regime", outputCol="label").fit(rows).transform(rows)
     # Every k-th day of the date order in a fold of its own: no fold is ever empty.
     position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("feature_date"))
-    placed = indexed.withColumn("fold", (position % k).cast("int"))
+    placed = indexed.withColumn("fold", (position % k).cast("int")).persist()
     validator = CrossValidator(
         estimator=Pipeline(stages=[VectorAssembler(inputCols=DAILY_FEATURES,
                                                    outputCol="features"), _forest()]),
         estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        numFolds=k, foldCol="fold", seed=42)
-    return float(validator.fit(placed).avgMetrics[0])
+        numFolds=k, foldCol="fold", seed=42, parallelism=k)
+    accuracy = float(validator.fit(placed).avgMetrics[0])
+    placed.unpersist()
+    return accuracy
 
 
 def cv_gate(daily: DataFrame, minimum: float = 0.60, folds: int = 5) -> tuple[float | None, bool]:
@@ -164,9 +166,8 @@ def train_anomaly(df: DataFrame, columns: Sequence[str] = tuple(ANOMALY_FEATURES
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         # the shuffle does not keep an order: sort, so that the same sample gives the same tree
-        rows = np.sort(pdf[columns].to_numpy(float).view([("", float)] * len(columns)), axis=0)
-        nodes = _grow(rows.view(float).reshape(len(pdf), -1),
-                      np.random.default_rng(seed + tree), limit)
+        rows = pdf.sort_values(columns)[columns].to_numpy(float)
+        nodes = _grow(rows, np.random.default_rng(seed + tree), limit)
         return pd.DataFrame({"tree": [tree], "nodes": [nodes.ravel().tolist()]})
 
     casted = df.select(*ids, *[F.col(name).cast("double").alias(name) for name in columns])

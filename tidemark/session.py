@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +29,22 @@ def build_session(app: str = "tidemark", master: str | None = None,
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; only where the session
+    names none (tests, a laptop) a temporary one."""
+    return (spark.conf.get("spark.checkpoint.dir", None)
+            or tempfile.mkdtemp(prefix="tidemark-"))
+
+
+def run_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder of its own below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
-
-    The folder comes from ``spark.checkpoint.dir``; only where the session names none (tests,
-    a laptop) a temporary one is used. Reliable checkpoints survive the loss of executors.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    """Write ``df`` to the shared checkpoint folder and continue from there; reliable checkpoints
+    survive the loss of executors."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -207,7 +207,7 @@ def _(v: Views):
   SELECT 'github' AS source_system, CAST(l_orderkey AS STRING) AS source_record_id,
     CAST(l_orderkey AS STRING) AS asset_id, 'own/' || l_orderkey AS repo_full_name,
     5::BIGINT AS stars, 0::BIGINT AS forks, 2::BIGINT AS open_issues,
-    CASE WHEN len(q) >= 4 THEN len(list_filter(q[greatest(len(q) - 12, 1):], x -> x > 0))
+    CASE WHEN len(q) >= 4 THEN len(list_filter(q[greatest(len(q) - 12, 1):], lambda x: x > 0))
       ELSE 0 END::BIGINT AS contributors_count,
     CASE WHEN len(q) >= 4 THEN list_sum(q[len(q) - 3:]) ELSE 0 END::BIGINT AS commits_30d,
     CASE WHEN len(q) >= 4 THEN list_sum(q[greatest(len(q) - 12, 1):]) ELSE 0 END::BIGINT
