@@ -27,4 +27,6 @@ def dedup_batch(df: DataFrame, keys: Sequence[str] = ("source_system", "source_r
     """In-batch dedup with a fixed winner: by ``order``, else by all other columns."""
     if order is None:
         order = [F.col(name).desc_nulls_last() for name in df.columns if name not in keys]
+    if not order:
+        return df.dropDuplicates(list(keys))
     return latest_version(df, list(keys), order)
