@@ -89,7 +89,9 @@ def test_scoring_merges_newest_and_keeps_history(spark, features, tmp_path):
 
 
 def test_features_round_trip_by_date(spark, features, tmp_path):
-    changes = features.withColumn("observed_at", F.col("feature_date").cast("timestamp"))
+    changes = features.withColumn("observed_at", F.col("feature_date").cast("timestamp")).select(
+        "asset_id", "symbol", "observed_at", "price_change_pct_24h", "price_change_pct_7d",
+        "volume_24h_usd", "market_cap_usd")
     dominance = spark.createDataFrame([], schemas.SILVER_DOMINANCE)
     path = str(tmp_path / "features")
     batch.refresh_features(changes, dominance, path, "2024-01-25 00:00:00")

@@ -67,7 +67,10 @@ def market_features(changes: DataFrame, dominance: DataFrame, as_of: AsOf, days:
     repeats a change row once per BTC row of its hour.
     """
     start = before(as_of, days=days)
-    recent = changes.filter((F.col("observed_at") >= start) & F.col("asset_id").isNotNull())
+    recent = changes.filter(
+        (F.col("observed_at") >= start) & F.col("asset_id").isNotNull()).select(
+        "asset_id", "symbol", "observed_at", "price_change_pct_24h", "price_change_pct_7d",
+        "volume_24h_usd", "market_cap_usd")
     hour = F.date_trunc("hour", "observed_at")
     btc = dominance.filter((F.col("dominance_group") == "btc")
                            & (F.col("observed_at") >= F.date_trunc("hour", start)))

@@ -7,7 +7,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,8 +16,9 @@ from tidemark.functions.admission import admit
 class SlidingWindow(StatefulProcessor):
     """State of a key: the admitted times inside the window (at most ``limit`` longs)."""
 
-    def __init__(self, columns: list[str], tie: list[str], limit: int, window: int) -> None:
-        self.columns, self.tie, self.limit, self.window = columns, tie, limit, window
+    def __init__(self, columns: list[str], ts: str, tie: list[str], limit: int,
+                 window: int) -> None:
+        self.columns, self.order, self.limit, self.window = columns, [ts, *tie], limit, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -26,9 +26,10 @@ class SlidingWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame],
                         timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["_t", *self.tie], kind="stable")
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        times = batch[self.order[0]].to_numpy("datetime64[us]").astype(np.int64)
         held = list(self.held.get()[0]) if self.held.exists() else []
-        admitted, retry, held = admit(batch["_t"].to_numpy(np.int64), held, self.limit, self.window)
+        admitted, retry, held = admit(times, held, self.limit, self.window)
         self.held.update((held,))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
@@ -53,8 +54,6 @@ def stream_rate_limit(requests: DataFrame, key: Sequence[str], ts: str, tie: Seq
     columns = requests.columns
     schema = T.StructType(list(requests.schema) + [
         T.StructField("admitted", T.BooleanType()), T.StructField("retry_after_s", T.LongType())])
-    timed = (requests.withWatermark(ts, delay)
-             .withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))))
-    return timed.groupBy(*key).transformWithStateInPandas(
-        SlidingWindow(columns, list(tie), limit, seconds * 1_000_000), schema, "append",
+    return requests.withWatermark(ts, delay).groupBy(*key).transformWithStateInPandas(
+        SlidingWindow(columns, ts, list(tie), limit, seconds * 1_000_000), schema, "append",
         "EventTime")
