@@ -16,9 +16,9 @@ def word_count(text: ColumnLike) -> Column:
     return F.regexp_count(col(text), F.lit(_WORD))
 
 
-def signals(text: ColumnLike, words: list[str]) -> Column:
-    """The phrases of ``words`` found in the lower-cased text, in list order."""
-    lowered = F.lower(col(text))
+def signals(lowered: ColumnLike, words: list[str]) -> Column:
+    """The phrases of ``words`` found in a text already in lower case, in list order."""
+    lowered = col(lowered)
     return labels_where([(lowered.contains(word), word) for word in words])
 
 

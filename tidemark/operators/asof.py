@@ -33,11 +33,14 @@ def _slice(at: Column, width: int) -> Column:
     return F.floor(at / F.lit(width)).cast("long")
 
 
-def _candidate_copies(t: Column, kind: int, near: int, far: int, width: int) -> Column:
-    return F.transform(
-        F.sequence(_slice(t + F.lit(near), width), _slice(t + F.lit(far), width)),
-        lambda s: F.struct(s.alias("slice"), F.lit(kind).alias("kind"),
-                           (t + F.lit(near)).alias("at")))
+def _candidate_copies(t: Column, kind: int, near: int, far: int, width: int) -> list[Column]:
+    """One struct per slice the candidate is visible in; those beyond its last slice are null.
+    Plain conditionals instead of an array function keep the expression in generated code."""
+    first, last = _slice(t + F.lit(near), width), _slice(t + F.lit(far), width)
+    at = (t + F.lit(near)).alias("at")
+    return [F.when(first + step <= last, F.struct(
+        (first + step).alias("slice"), F.lit(kind).alias("kind"), at))
+        for step in range((far - near) // width + 2)]
 
 
 def _resolve(marked: DataFrame, keys: Sequence[str], bounds: Sequence[tuple[str, int]],
@@ -74,14 +77,14 @@ def asof_lookback(df: DataFrame, key: str | Sequence[str], ts: str, value: str,
     keys = [key] if isinstance(key, str) else list(key)
     bounds = _bounds(windows)
     t = F.col("_t")
-    target = F.array(F.struct(_slice(t, slice_width).alias("slice"),
-                              F.lit(len(bounds)).alias("kind"), t.alias("at")))
-    copies = F.concat(target, *[_candidate_copies(t, kind, near, far, slice_width)
-                                for kind, (_, near, far) in enumerate(bounds)])
+    copies = [F.struct(_slice(t, slice_width).alias("slice"), F.lit(len(bounds)).alias("kind"),
+                       t.alias("at"))]
+    for kind, (_, near, far) in enumerate(bounds):
+        copies += _candidate_copies(t, kind, near, far, slice_width)
     is_target = F.col("_copy.kind") == len(bounds)
     marked = (
         df.withColumn("_t", _micros(F.col(ts)))
-        .withColumn("_copy", F.explode(copies))
+        .withColumn("_copy", F.explode(F.array(*copies))).filter("_copy IS NOT NULL")
         .select(
             *[F.col(name).alias(f"_k{i}") for i, name in enumerate(keys)],
             F.col("_copy.slice").alias("_slice"), F.col("_copy.kind").alias("_kind"),
@@ -104,7 +107,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], left_
     hit = F.struct(t.alias("t"), *values)
     candidates = (
         right.withColumn("_t", _micros(F.col(right_ts)))
-        .withColumn("_copy", F.explode(_candidate_copies(t, 0, near, far, slice_width)))
+        .withColumn("_copy", F.explode(F.array(*_candidate_copies(t, 0, near, far, slice_width))))
+        .filter("_copy IS NOT NULL")
         .select(*keyed, F.col("_copy.slice").alias("_slice"), F.lit(0).alias("_kind"),
                 F.col("_copy.at").alias("_at"), hit.alias("_hit")))
     targets = (

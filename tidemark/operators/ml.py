@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.columns import moment, regime_label
+from tidemark.session import cut_lineage
 from tidemark.sources.align import conform
 
 AsOf = datetime | str | Column
@@ -156,9 +157,8 @@ def _tree_samples(df: DataFrame, ids: Sequence[str], columns: Sequence[str], row
     return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= sample).select("tree", *columns)
 
 
-def train_anomaly(df: DataFrame, columns: Sequence[str] = tuple(ANOMALY_FEATURES),
-                  ids: Sequence[str] = (), contamination: float = 0.05, trees: int = 100,
-                  sample: int = 256, seed: int = 42) -> AnomalyModel:
+def _grow_forest(df: DataFrame, columns: Sequence[str], ids: Sequence[str], trees: int,
+                 sample: int, seed: int) -> AnomalyModel:
     columns, total = list(columns), df.count()
     size = max(2, min(sample, total))
     limit = int(np.ceil(np.log2(size)))
@@ -170,43 +170,75 @@ def train_anomaly(df: DataFrame, columns: Sequence[str] = tuple(ANOMALY_FEATURES
         nodes = _grow(rows, np.random.default_rng(seed + tree), limit)
         return pd.DataFrame({"tree": [tree], "nodes": [nodes.ravel().tolist()]})
 
-    casted = df.select(*ids, *[F.col(name).cast("double").alias(name) for name in columns])
-    samples = _tree_samples(casted, ids, columns, total, trees, sample, seed)
+    samples = _tree_samples(df, ids, columns, total, trees, sample, seed)
     # at most ``trees`` rows of at most 2 * sample nodes come back
     grown = samples.groupBy("tree").applyInPandas(grow, "tree int, nodes array<double>").collect()
     forest = [np.array(row["nodes"]).reshape(-1, 5) for row in sorted(grown, key=lambda r: r["tree"])]
-    draft = AnomalyModel(columns, forest, size, 2.0)
-    cut = (casted.withColumn("_s", _score(draft))
-           .agg(F.percentile_approx("_s", 1.0 - contamination, 10_000)).first()[0])
-    return draft._replace(threshold=float(cut))
+    return AnomalyModel(columns, forest, size, 2.0)
 
 
 def _score(model: AnomalyModel) -> Column:
-    trees, norm = model.trees, _harmonic_path(model.sample)
+    """Anomaly score of a row: 2 to the minus (mean path length over all trees / norm).
+
+    Leaves point to themselves, so all rows of a batch walk every tree in lockstep.
+    """
+    norm, depth = _harmonic_path(model.sample), int(np.ceil(np.log2(model.sample)))
+    walks = []
+    for tree in model.trees:
+        leaf, own = tree[:, 0] < 0, np.arange(len(tree))
+        walks.append((np.where(leaf, 0, tree[:, 0]).astype(np.int64),
+                      np.where(leaf, np.inf, tree[:, 1]),
+                      np.where(leaf, own, tree[:, 2]).astype(np.int64),
+                      np.where(leaf, own, tree[:, 3]).astype(np.int64), tree[:, 4]))
 
     @F.pandas_udf("double")
     def score(*series: pd.Series) -> pd.Series:
-        rows = np.column_stack([s.to_numpy(float) for s in series])
-        total = np.zeros(len(rows))
-        for tree in trees:
-            at = np.zeros(len(rows), dtype=int)
-            inner = tree[at, 0] >= 0
-            while inner.any():
-                node = tree[at[inner]]
-                values = rows[inner, node[:, 0].astype(int)]
-                at[inner] = np.where(values < node[:, 1], node[:, 2], node[:, 3]).astype(int)
-                inner = tree[at, 0] >= 0
-            total += tree[at, 4]
-        return pd.Series(np.power(2.0, -total / max(len(trees), 1) / norm))
+        width, rows = len(series), np.column_stack([s.to_numpy(float) for s in series]).ravel()
+        start = np.arange(len(series[0])) * width
+        total = np.zeros(len(start))
+        for feature, cut, left, right, path in walks:
+            at = np.zeros(len(start), dtype=np.int64)
+            for _ in range(depth):
+                low = rows[start + feature[at]] < cut[at]
+                at = np.where(low, left[at], right[at])
+            total += path[at]
+        return pd.Series(np.power(2.0, -total / max(len(walks), 1) / norm))
 
     return score(*[F.col(name).cast("double") for name in model.columns])
 
 
+def _threshold(scored: DataFrame, contamination: float) -> float:
+    return float(scored.agg(F.percentile_approx(
+        "anomaly_raw", 1.0 - contamination, 10_000)).first()[0])
+
+
+def _label(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.withColumn("anomaly_score",
+                             F.when(F.col("anomaly_raw") > threshold, -1).otherwise(1))
+
+
+def train_anomaly(df: DataFrame, columns: Sequence[str] = tuple(ANOMALY_FEATURES),
+                  ids: Sequence[str] = (), contamination: float = 0.05, trees: int = 100,
+                  sample: int = 256, seed: int = 42) -> AnomalyModel:
+    rows = df.select(*ids, *[F.col(name).cast("double").alias(name) for name in columns])
+    model = _grow_forest(rows, columns, ids, trees, sample, seed)
+    scored = rows.select(_score(model).alias("anomaly_raw"))
+    return model._replace(threshold=_threshold(scored, contamination))
+
+
 def anomaly_scores(df: DataFrame, model: AnomalyModel) -> DataFrame:
     """Adds ``anomaly_raw`` (0..1, high is odd) and ``anomaly_score``: -1 odd, 1 normal."""
-    scored = df.withColumn("anomaly_raw", _score(model))
-    return scored.withColumn("anomaly_score",
-                             F.when(F.col("anomaly_raw") > model.threshold, -1).otherwise(1))
+    return _label(df.withColumn("anomaly_raw", _score(model)), model.threshold)
+
+
+def fit_anomaly_scores(df: DataFrame, columns: Sequence[str] = tuple(ANOMALY_FEATURES),
+                       ids: Sequence[str] = (), contamination: float = 0.05, trees: int = 100,
+                       sample: int = 256, seed: int = 42) -> DataFrame:
+    """Train on ``df`` and label it, walking the trees once: the raw scores are checkpointed,
+    the cut is taken from them and applied to them."""
+    model = _grow_forest(df, columns, ids, trees, sample, seed)
+    scored = cut_lineage(df.withColumn("anomaly_raw", _score(model)))
+    return _label(scored, _threshold(scored, contamination))
 
 
 # Scoring and model choice ---------------------------------------------------------------------------

@@ -17,11 +17,12 @@ from tidemark.functions.admission import admit
 
 def classify_route(df: DataFrame, col: str = "message_text") -> DataFrame:
     """Adds route, reason and the matched signals of the message."""
-    marked = (df.withColumn("_structured", text.signals(col, fv.STRUCTURED_SIGNALS))
-              .withColumn("_narrative", text.signals(col, fv.NARRATIVE_SIGNALS)))
+    marked = (df.withColumn("_lowered", F.lower(col))
+              .withColumn("_structured", text.signals("_lowered", fv.STRUCTURED_SIGNALS))
+              .withColumn("_narrative", text.signals("_lowered", fv.NARRATIVE_SIGNALS)))
     route, reason, found = text.route_class(F.col("_structured"), F.col("_narrative"))
     return (marked.withColumns({"route": route, "route_reason": reason, "route_signals": found})
-            .drop("_structured", "_narrative"))
+            .drop("_lowered", "_structured", "_narrative"))
 
 
 def classify_tier(df: DataFrame, col: str = "message_text", assets: str | None = None,
@@ -30,13 +31,14 @@ def classify_tier(df: DataFrame, col: str = "message_text", assets: str | None =
     columns."""
     count = lambda name: F.coalesce(F.col(name), F.lit(0)) if name else F.lit(0)
     marked = (df.withColumn("_words", text.word_count(col))
-              .withColumn("_complex", text.signals(col, fv.COMPLEX_SIGNALS))
-              .withColumn("_light", text.signals(col, fv.LIGHT_SIGNALS)))
+              .withColumn("_lowered", F.lower(col))
+              .withColumn("_complex", text.signals("_lowered", fv.COMPLEX_SIGNALS))
+              .withColumn("_light", text.signals("_lowered", fv.LIGHT_SIGNALS)))
     tier, reason, found, tokens = text.tier_class(
         F.col("_words"), F.col("_complex"), F.col("_light"), count(assets), count(turns))
     return (marked.withColumns({"tier": tier, "tier_reason": reason, "tier_signals": found,
                                 "estimated_prompt_tokens": tokens})
-            .drop("_words", "_complex", "_light"))
+            .drop("_words", "_lowered", "_complex", "_light"))
 
 
 def estimate_cost(df: DataFrame, tier: str = "model_tier",
@@ -148,8 +150,10 @@ def merge_sources(df: DataFrame) -> DataFrame:
     bounded by the distinct sources, not by the rows of a request.
     """
     each = df.select("request_id", "part", "token_count", F.posexplode_outer("sources"))
+    # part and position in one number: a plain minimum stays a hash aggregate
+    place = F.shiftleft(F.col("part").cast("bigint"), 32) + F.col("pos")
     first = each.groupBy("request_id", F.col("col").alias("_source")).agg(
-        F.min(F.struct("part", "pos")).alias("_at"),
+        F.min(place).alias("_at"),
         F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("token_count"))).alias("_tokens"))
     listed = F.array_sort(F.collect_list(F.when(
         F.col("_source").isNotNull(), F.struct("_at", "_source"))))

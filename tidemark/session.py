@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Call-site capture costs several round trips per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -26,7 +30,21 @@ def build_session(app: str = "tidemark", master: str | None = None,
         builder = builder.master(master)
     for name, value in {**DEFAULTS, **(extra or {})}.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per Spark context), so that it need not be
+    installed on them."""
+    context = spark.sparkContext
+    if any("tidemark-package" in name for name in context.listFiles):
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tidemark-ship-")  # on the driver; Spark distributes the file
+    context.addPyFile(shutil.make_archive(f"{folder}/tidemark-package", "zip", here.parent,
+                                          here.name))
 
 
 def shared_folder(spark: SparkSession) -> str:

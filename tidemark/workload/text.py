@@ -261,9 +261,8 @@ def _(v: Views):
 def _(v: Views):
     lines = readers.read_table(v.spark, v.folder, "lineitem")
     columns = ["l_quantity", "l_extendedprice", "l_discount"]
-    model = ml.train_anomaly(lines, columns, ["l_orderkey", "l_linenumber"])
-    return ml.anomaly_scores(lines, model).select(
-        "l_orderkey", "l_linenumber", *columns, "anomaly_score")
+    ids = ["l_orderkey", "l_linenumber"]
+    return ml.fit_anomaly_scores(lines.select(*ids, *columns), columns, ids).drop("anomaly_raw")
 
 
 @query("score_assets")
@@ -307,10 +306,8 @@ def _(v: Views):
     """The hourly health of the event table read as a stream; the newest hour is still open."""
     from tidemark.streaming.health import stream_route_health
     from tidemark.workload.roles import ROLES
-    spec, path = ROLES["usage"], f"{v.folder}/events.parquet"
-    stream = (v.spark.readStream.schema(v.spark.read.parquet(path).schema)
-              .parquet(path)
-              .selectExpr(*spec.prepare)
+    spec = ROLES["usage"]
+    stream = (readers.stream_table(v.spark, v.folder, spec.table).selectExpr(*spec.prepare)
               .selectExpr(*[f"{expr} AS {name}" for name, expr in spec.columns.items()]))
     out = run_folder(v.spark, "route-health")
     (stream_route_health(stream, "0 seconds").writeStream.outputMode("append").format("parquet")
