@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import asof, freshness, latest, percentiles, serving, silver
 from tidemark.plans.layers import SERVING_ALIASES, build_layers, serving_views
 from tidemark.session import cut_lineage
+from tidemark.workload import storage
 from tidemark.workload.registry import all_queries
 from tidemark.workload.views import Views
 
@@ -57,7 +58,7 @@ def test_sort_and_limit_become_one_operator(views):
 
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - {
     "train_regime", "cv_gate", "feature_importance", "anomaly_scores", "score_assets",
-    "stream_route_health", "register_layers"}))
+    "stream_route_health", "register_layers", *storage.QUERIES}))
 def test_joins_without_a_key_have_a_one_row_side(views, name):
     build, _ = all_queries()[name]
     df = build(views)

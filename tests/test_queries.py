@@ -27,4 +27,5 @@ def test_entry_has_rows_and_a_stable_schema(spark):
 
 def test_only_non_sql_queries_lack_sql():
     assert set(entry.queries()) - set(entry.oracle_sql()) == {
-        "train_regime", "cv_gate", "feature_importance", "anomaly_scores", "score_assets", "rate_limit"}
+        "train_regime", "cv_gate", "feature_importance", "anomaly_scores", "score_assets", "rate_limit",
+        "stream_rate_limit"}

@@ -72,8 +72,9 @@ def with_handoff_defaults(df: DataFrame, source: str, now: datetime | str | Colu
 
 
 def write_handoff(df: DataFrame, path: str, source: str, now: datetime | str | Column) -> None:
-    """Hand rows to another job as JSON lines."""
-    with_handoff_defaults(df, source, now).write.mode("overwrite").json(path)
+    """Hand rows to another job as JSON lines, times with their microseconds."""
+    (with_handoff_defaults(df, source, now).write.mode("overwrite")
+     .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path))
 
 
 # Merges ------------------------------------------------------------------------------------------

@@ -201,11 +201,16 @@ def _(v: Views):
     return validate.normalize_observations(feed, readers.series_names(v.spark), C.moment(AS_OF))
 
 
-@query("repo_activity", """
-  WITH w AS (SELECT l_orderkey, list(q ORDER BY q) AS q FROM (SELECT l_orderkey,
-               CAST(l_quantity AS BIGINT) AS q FROM lineitem) GROUP BY 1)
-  SELECT 'github' AS source_system, CAST(l_orderkey AS STRING) AS source_record_id,
-    CAST(l_orderkey AS STRING) AS asset_id, 'own/' || l_orderkey AS repo_full_name,
+# the weekly totals of a repository: the digits of an order's key, customer and price
+_DIGITS = ("CAST(o_orderkey AS STRING) || CAST(o_custkey AS STRING) "
+           "|| CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)")
+
+
+@query("repo_activity", f"""
+  WITH w AS (SELECT o_orderkey, list_transform(regexp_extract_all({_DIGITS}, '([0-9])', 1),
+               lambda x: CAST(x AS BIGINT)) AS q FROM orders)
+  SELECT 'github' AS source_system, CAST(o_orderkey AS STRING) AS source_record_id,
+    CAST(o_orderkey AS STRING) AS asset_id, 'own/' || o_orderkey AS repo_full_name,
     5::BIGINT AS stars, 0::BIGINT AS forks, 2::BIGINT AS open_issues,
     CASE WHEN len(q) >= 4 THEN len(list_filter(q[greatest(len(q) - 12, 1):], lambda x: x > 0))
       ELSE 0 END::BIGINT AS contributors_count,
@@ -215,17 +220,17 @@ def _(v: Views):
     30::BIGINT AS repo_age_days, '' AS last_push_at, TIMESTAMP '2024-01-31' AS observed_at,
     TIMESTAMP '2024-01-31' AS ingested_at, 'github_activity_v1' AS payload_version FROM w""")
 def _(v: Views):
-    lines = readers.read_table(v.spark, v.folder, "lineitem")
-    # the weekly totals of a repository: the line quantities of an order
-    feed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
-        F.struct(F.col("l_quantity").cast("bigint").alias("total")))).alias("weeks")).select(
-        F.col("l_orderkey").cast("string").alias("asset_id"), F.lit("own").alias("owner"),
-        F.col("l_orderkey").cast("string").alias("repo"),
+    orders = readers.read_table(v.spark, v.folder, "orders")
+    digits = F.regexp_extract_all(F.expr(_DIGITS), F.lit("([0-9])"), F.lit(1))
+    key = F.col("o_orderkey").cast("string")
+    feed = orders.select(
+        key.alias("asset_id"), F.lit("own").alias("owner"), key.alias("repo"),
         F.lit(5).cast("bigint").alias("stargazers_count"),
         F.lit(None).cast("bigint").alias("forks_count"),
         F.lit(2).cast("bigint").alias("open_issues_count"),
         F.lit(None).cast("string").alias("pushed_at"),
-        F.lit("2024-01-01T00:00:00Z").alias("created_at"), "weeks")
+        F.lit("2024-01-01T00:00:00Z").alias("created_at"),
+        F.transform(digits, lambda d: F.struct(d.cast("bigint").alias("total"))).alias("weeks"))
     now = C.moment(AS_OF)
     return validate.normalize_activity(validate.repo_activity(feed, now), now)
 

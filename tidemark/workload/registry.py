@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.workload import market, operations, text
+from tidemark.workload import market, operations, storage, text
 
 
 def all_queries() -> dict:
-    return {**market.QUERIES, **operations.QUERIES, **text.QUERIES}
+    return {**market.QUERIES, **operations.QUERIES, **text.QUERIES, **storage.QUERIES}
