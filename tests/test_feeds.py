@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.functions import fixed_values as fv
 from tidemark.functions.columns import moment
 from tidemark.operators import validate
 from tidemark.plans import batch
@@ -30,7 +31,7 @@ def checked(spark, *rows):
 def test_market_aliases_and_defaults(spark):
     got = dicts(align.to_bronze_market(checked(spark, ETH).good))[0]
     assert got["asset_id"] == "ethereum" and got["symbol"] == "ETH" and got["market_cap_rank"] == 2
-    assert float(got["price_usd"]) == 3200.0 and got["source_system"] == "coingecko_api"
+    assert float(got["price_usd"]) == 3200.0 and got["source_system"] == fv.DEFAULT_SOURCE_SYSTEM
     assert got["name"] == "unmapped" and got["category"] == "unclassified"
     assert got["source_record_id"] == "ethereum:2024-01-30T10:00:00Z"
 
@@ -129,7 +130,7 @@ def test_run_and_alert_validation(spark):
     alerts = validate.validate_alerts(feed(
         spark, schemas.ALERT_FEED, {"kind": "error_spike", "message": "m"},
         {"kind": "model_drift", "message": "m", "source": "s"}, {"kind": "other", "message": "m"}))
-    assert [r["source"] for r in dicts(alerts.good)] == ["sentinela", "s"]
+    assert [r["source"] for r in dicts(alerts.good)] == [fv.DEFAULT_ALERT_SOURCE, "s"]
 
 
 def test_contract_sees_extra_fields_in_raw_json(spark):

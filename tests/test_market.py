@@ -65,6 +65,14 @@ def test_lookback_equals_brute_force_whatever_the_slices(spark, slice_minutes):
             assert got[k, ts][i] == (max(fits)[1] if fits else None)
 
 
+def test_null_keys_match_nothing_and_stay(frame):
+    df = frame("k string, ts timestamp, v double", (None, at(-60), 1.0), (None, at(0), 2.0))
+    rows = dicts(asof.asof_lookback(df, "k", "ts", "v", {"ago": (55, 65)}))
+    assert [r["ago"] for r in rows] == [None, None]
+    assert [r["p"] for r in dicts(asof.asof_join(
+        df, df.withColumnRenamed("v", "p"), "k", "ts", "ts", ["p"], 0, 90))] == [None, None]
+
+
 def test_asof_join_of_two_tables(frame):
     left = frame("k string, ts timestamp, id int", ("a", at(0), 1), ("a", at(100), 2), ("z", at(0), 3))
     right = frame("k string, ts timestamp, p double", ("a", at(-10), 1.0), ("a", at(0), 2.0),

@@ -31,6 +31,8 @@ ROUTE_POLICY = [
     ("internal_app", 800, 0.03, 2500),
 ]
 ROUTE_ALIASES = {"dashboard.market-overview": "dashboard_api"}
+DASHBOARD_ROUTE, DASHBOARD_ENGINE = "dashboard.market-overview", "dashboard-api"
+DEFAULT_ENGINE, DEFAULT_TIER = "mosaic-ai-agent-framework", "standard"
 
 # Job runs
 RUN_STATUSES = ["SUCCESS", "FAILED", "CANCELLED", "RUNNING", "QUEUED", "PENDING"]
@@ -64,6 +66,7 @@ ALERT_MESSAGES = {
     "freshness_gap": "Freshness metadata is missing or stale.",
     "token_spike": "Token usage is above the expected copilot bound.",
 }
+RUN_EVENT_MESSAGE = "Databricks bundle job %s %s."
 BLOCKER_MESSAGES = {
     "latency_breach": "Route latency exceeded readiness threshold.",
     "cost_anomaly": "Route cost exceeded readiness threshold.",

@@ -148,7 +148,7 @@ def run_event_alerts(runs: DataFrame) -> DataFrame:
     ending = F.when(state == "cancelled", "was cancelled").otherwise("failed")
     return (runs.withColumn("kind", kind).filter(F.col("kind").isNotNull())
             .select("kind", job.alias("job_name"), "run_id",
-                    F.format_string("Databricks bundle job %s %s.", job, ending)
+                    F.format_string(fv.RUN_EVENT_MESSAGE, job, ending)
                     .alias("message")))
 
 

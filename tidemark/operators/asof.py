@@ -15,6 +15,7 @@ for windows shorter than a slice), which keeps the result exact at the cuts.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def asof_lookback(df: DataFrame, key: str | Sequence[str], ts: str, value: str,
     """Add one column per window: ``value`` of the latest row of the same key whose age in
     minutes lies in ``[nearest, farthest]``, both inclusive.
 
-    (key, ts) must be unique. A null value at the chosen row stays null.
+    (key, ts) must be unique. A null value at the chosen row stays null; null keys match nothing.
     """
     keys = [key] if isinstance(key, str) else list(key)
     bounds = _bounds(windows)
@@ -82,9 +83,11 @@ def asof_lookback(df: DataFrame, key: str | Sequence[str], ts: str, value: str,
     for kind, (_, near, far) in enumerate(bounds):
         copies += _candidate_copies(t, kind, near, far, slice_width)
     is_target = F.col("_copy.kind") == len(bounds)
+    known = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in keys])
     marked = (
         df.withColumn("_t", _micros(F.col(ts)))
-        .withColumn("_copy", F.explode(F.array(*copies))).filter("_copy IS NOT NULL")
+        .withColumn("_copy", F.explode(F.array(*copies)))
+        .filter(F.col("_copy").isNotNull() & (is_target | known))
         .select(
             *[F.col(name).alias(f"_k{i}") for i, name in enumerate(keys)],
             F.col("_copy.slice").alias("_slice"), F.col("_copy.kind").alias("_kind"),
@@ -106,7 +109,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], left_
     keyed = [F.col(name).alias(f"_k{i}") for i, name in enumerate(keys)]
     hit = F.struct(t.alias("t"), *values)
     candidates = (
-        right.withColumn("_t", _micros(F.col(right_ts)))
+        right.na.drop(subset=keys).withColumn("_t", _micros(F.col(right_ts)))
         .withColumn("_copy", F.explode(F.array(*_candidate_copies(t, 0, near, far, slice_width))))
         .filter("_copy IS NOT NULL")
         .select(*keyed, F.col("_copy.slice").alias("_slice"), F.lit(0).alias("_kind"),

@@ -1,4 +1,9 @@
-"""Serving tables: deduplicated, banded, labelled with freshness, lineage and quality."""
+"""Serving tables: deduplicated, banded, labelled with freshness, lineage and quality.
+
+The silver builders of this package give one row per key. ``unique=True`` says that the input
+comes from them, which saves the dedup and its shuffle; tables filled in another way may repeat
+keys and are deduplicated.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +29,10 @@ def _not_negative(*names: str) -> Column:
     return pass_or_review(condition)
 
 
+def _one_per_key(df: DataFrame, keys: list[str], order: list[Column], unique: bool) -> DataFrame:
+    return df if unique else latest_version(df, keys, order)
+
+
 def gold_rankings(bronze: DataFrame) -> DataFrame:
     rows = bronze.filter(F.col("asset_id").isNotNull() & F.col("observed_at").isNotNull()
                          & F.col("market_cap_rank").isNotNull())
@@ -40,12 +49,12 @@ def gold_rankings(bronze: DataFrame) -> DataFrame:
         "market_cap_usd", "price_usd", "volume_24h_usd", "circulating_supply"))
 
 
-def gold_movers(changes: DataFrame) -> DataFrame:
+def gold_movers(changes: DataFrame, unique: bool = False) -> DataFrame:
     rows = changes.filter(F.col("asset_id").isNotNull() & F.col("window_id").isNotNull()
                           & F.col("observed_at").isNotNull())
-    best = latest_version(rows, ["asset_id", "window_id", "observed_at"],
-                          [F.abs("price_change_pct_24h").desc(), F.col("volume_24h_usd").desc(),
-                           F.col("symbol").asc()])
+    best = _one_per_key(rows, ["asset_id", "window_id", "observed_at"],
+                        [F.abs("price_change_pct_24h").desc(), F.col("volume_24h_usd").desc(),
+                         F.col("symbol").asc()], unique)
     columns = best.select(
         "asset_id", "symbol", F.coalesce("name", F.lit("unmapped")).alias("name"), "observed_at",
         "window_id", "price_change_pct_1h", "price_change_pct_24h", "price_change_pct_7d",
@@ -57,22 +66,22 @@ def gold_movers(changes: DataFrame) -> DataFrame:
                    pass_or_review(in_range[0] & in_range[1] & in_range[2]))
 
 
-def gold_dominance(dominance: DataFrame) -> DataFrame:
+def gold_dominance(dominance: DataFrame, unique: bool = False) -> DataFrame:
     rows = dominance.filter(F.col("observed_at").isNotNull() & F.col("dominance_group").isNotNull())
-    best = latest_version(rows, ["observed_at", "dominance_group"],
-                          [F.col("dominance_pct").desc(), F.col("market_cap_usd").desc()])
+    best = _one_per_key(rows, ["observed_at", "dominance_group"],
+                        [F.col("dominance_pct").desc(), F.col("market_cap_usd").desc()], unique)
     columns = best.select("observed_at", "dominance_group", "market_cap_usd", "dominance_pct",
                           dominance_band("dominance_pct").alias("dominance_band"))
     return _served(columns, "tier_a", 15, "silver_market_dominance",
                    pass_or_review(F.col("dominance_pct").between(0, 100)))
 
 
-def gold_comparison(comparison: DataFrame) -> DataFrame:
+def gold_comparison(comparison: DataFrame, unique: bool = False) -> DataFrame:
     rows = (comparison.filter(F.col("asset_id").isNotNull() & F.col("observed_at").isNotNull())
             .withColumn("correlation_bucket", F.coalesce("correlation_bucket", F.lit("general"))))
-    best = latest_version(rows, ["asset_id", "observed_at", "correlation_bucket"],
-                          [F.col("volume_24h_usd").desc(), F.col("price_usd").desc(),
-                           F.col("symbol").asc()])
+    best = _one_per_key(rows, ["asset_id", "observed_at", "correlation_bucket"],
+                        [F.col("volume_24h_usd").desc(), F.col("price_usd").desc(),
+                         F.col("symbol").asc()], unique)
     columns = best.select(
         "asset_id", "symbol", "observed_at", "price_usd", "market_cap_usd", "volume_24h_usd",
         "price_change_pct_24h", "price_change_pct_7d", "correlation_bucket",

@@ -14,7 +14,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -87,7 +87,6 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     forest = next(stage for stage in model.stages if hasattr(stage, "featureImportances"))
     rows = [(name, float(value)) for name, value in
             zip(DAILY_FEATURES, forest.featureImportances.toArray())]
-    from pyspark.sql import SparkSession
     return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
 

@@ -133,11 +133,11 @@ def usage_rows(requests: DataFrame, responses: DataFrame) -> DataFrame:
     joined = classify_route(requests).join(responses, "request_id")
     return joined.select(
         F.col("responded_at").alias("event_time"), "request_id", "tenant_id", "user_id",
-        F.when(dashboard, "dashboard.market-overview").otherwise(F.col("route"))
+        F.when(dashboard, fv.DASHBOARD_ROUTE).otherwise(F.col("route"))
         .alias("route_selected"),
-        F.when(dashboard, "dashboard-api").otherwise(
-            F.coalesce("model_id", F.lit("mosaic-ai-agent-framework"))).alias("model_or_engine"),
-        F.when(~dashboard, F.coalesce("model_tier", F.lit("standard"))).alias("model_tier"),
+        F.when(dashboard, fv.DASHBOARD_ENGINE).otherwise(
+            F.coalesce("model_id", F.lit(fv.DEFAULT_ENGINE))).alias("model_or_engine"),
+        F.when(~dashboard, F.coalesce("model_tier", F.lit(fv.DEFAULT_TIER))).alias("model_tier"),
         "prompt_tokens", "completion_tokens", "total_tokens", "latency_ms", "cost_estimate",
         "freshness_watermark", F.lit("success").alias("response_status"))
 

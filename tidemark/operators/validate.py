@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import fixed_values as fv
-from tidemark.functions.columns import blank_to_null, labels_where
+from tidemark.functions.columns import blank_to_null, cap_bucket, labels_where
 
 REASONS = "reasons"
 Rule = tuple[Column, str]  # (violated when true, reason)
@@ -252,7 +253,6 @@ def conform_dominance(df: DataFrame) -> Checked:
 
 
 def conform_comparison(df: DataFrame) -> Checked:
-    from tidemark.functions.columns import cap_bucket
     rows = (df.withColumn("symbol", F.upper("symbol"))
             .withColumn("correlation_bucket", cap_bucket(
                 F.col("market_cap_rank").cast("string").try_cast("bigint"))))
@@ -305,7 +305,6 @@ def check_contract(df: DataFrame, contract: Mapping, raw_json: str | None = None
 
 def filter_assets(df: DataFrame, asset_ids: Sequence[str] | None) -> DataFrame:
     """Keep the listed assets; no list keeps all. The identifiers are checked first."""
-    import re
     if not asset_ids:
         return df
     if any(not re.match(fv.ASSET_ID_PATTERN, asset) for asset in asset_ids):

@@ -48,10 +48,13 @@ def build_layers(tables: Mapping[str, DataFrame], as_of: datetime | str) -> View
             v["bronze_market_snapshots"], v["bronze_protocols"], v["bronze_repo_activity"], as_of),
         "silver_macro_context": lambda: enrich.macro_context(v["bronze_macro"], as_of),
         "gold_market_rankings": lambda: gold.gold_rankings(v["bronze_market_snapshots"]),
-        "gold_top_movers": lambda: gold.gold_movers(v["silver_market_changes"]),
-        "gold_market_dominance": lambda: gold.gold_dominance(v["silver_market_dominance"]),
+        "gold_top_movers": lambda: gold.gold_movers(
+            v["silver_market_changes"], unique="silver_market_changes" not in tables),
+        "gold_market_dominance": lambda: gold.gold_dominance(
+            v["silver_market_dominance"], unique="silver_market_dominance" not in tables),
         "gold_cross_asset_comparison": lambda: gold.gold_comparison(
-            v["silver_cross_asset_comparison"]),
+            v["silver_cross_asset_comparison"],
+            unique="silver_cross_asset_comparison" not in tables),
         "gold_enriched_rankings": lambda: gold.gold_enriched(v["silver_asset_enriched"]),
         "gold_defi_protocols": lambda: gold.gold_protocols(v["silver_asset_enriched"]),
         "gold_macro_regime": lambda: gold.gold_macro_regime(v["silver_macro_context"]),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import escalation
 from tidemark.operators import alerts, gold, metrics, ops, percentiles, serving
+from tidemark.operators.freshness import union_all
 from tidemark.sources import readers
 from tidemark.workload.roles import AS_OF, ORDERS_AS_OF
 from tidemark.workload.views import Views, n, sql
@@ -335,19 +336,19 @@ _PCT3 = "price_change_pct_1h price_change_pct_24h price_change_pct_7d"
 
 @query("top_rankings", _T_RANKINGS)
 def _(v: Views):
-    return serving.top_rankings(gold.gold_rankings(v.role("bronze")))
+    return serving.top_rankings(v.gold["rankings"])
 
 
 @query("app_rankings", """SELECT asset_id, symbol, name, price_usd,
   CAST(NULL AS DOUBLE) AS price_change_pct_24h, market_cap_usd, volume_24h_usd, market_cap_rank,
   observed_at FROM g_rankings ORDER BY market_cap_rank, observed_at DESC, asset_id LIMIT 12""")
 def _(v: Views):
-    return serving.app_rankings(gold.gold_rankings(v.role("bronze")))
+    return serving.app_rankings(v.gold["rankings"])
 
 
 @query("latest_movers", _T_MOVERS, _PCT3)
 def _(v: Views):
-    return serving.latest_movers(gold.gold_movers(v.changes))
+    return serving.latest_movers(v.gold["movers"])
 
 
 _FALLBACK = ("price_change_pct_24h, price_change_pct_7d, volume_24h_usd, market_cap_usd")
@@ -358,31 +359,33 @@ _BY_SIZE = ("ORDER BY abs(price_change_pct_24h) DESC NULLS LAST, asset_id, volum
 @query("movers_or_fallback", f"SELECT asset_id, symbol, name, {_FALLBACK} FROM g_movers {_BY_SIZE}",
        "price_change_pct_24h price_change_pct_7d")
 def _(v: Views):
-    return serving.movers_or_fallback(gold.gold_movers(v.changes), gold.gold_comparison(v.comparison))
+    return serving.movers_or_fallback(v.gold["movers"], v.gold["comparison"])
 
 
 @query("movers_fallback_used", f"SELECT asset_id, symbol, asset_id AS name, {_FALLBACK} "
        f"FROM g_comparison {_BY_SIZE}")
 def _(v: Views):
-    nothing = gold.gold_movers(v.changes).filter("market_cap_usd > 1e18")
-    return serving.movers_or_fallback(nothing, gold.gold_comparison(v.comparison))
+    nothing = v.gold["movers"].filter("market_cap_usd > 1e18")
+    return serving.movers_or_fallback(nothing, v.gold["comparison"])
 
 
 @query("latest_dominance", _T_DOMINANCE, "market_cap_usd dominance_pct")
 def _(v: Views):
-    return serving.latest_dominance(gold.gold_dominance(v.dominance))
+    return serving.latest_dominance(v.gold["dominance"])
 
 
 @query("latest_comparison", _T_COMPARISON)
 def _(v: Views):
-    return serving.latest_comparison(gold.gold_comparison(v.comparison))
+    return serving.latest_comparison(v.gold["comparison"])
+
+
+_ASSETS = [f"asset-{i}" for i in range(100)]
 
 
 @query("latest_comparison_of_assets", _T_COMPARISON.replace(
-    "ORDER BY", "AND asset_id IN ('asset-1', 'asset-2', 'asset-100', 'asset-14') ORDER BY"))
+    "ORDER BY", f"AND asset_id IN ({', '.join(repr(a) for a in _ASSETS)}) ORDER BY"))
 def _(v: Views):
-    return serving.latest_comparison(gold.gold_comparison(v.comparison),
-                                     ["asset-1", "asset-2", "asset-100", "asset-14"])
+    return serving.latest_comparison(v.gold["comparison"], _ASSETS)
 
 
 @query("overview_datasets", f"""
@@ -391,7 +394,6 @@ def _(v: Views):
   UNION ALL SELECT 'dominance', count(*), max(observed_at) FROM ({_T_DOMINANCE})
   UNION ALL SELECT 'comparisons', count(*), max(observed_at) FROM ({_T_COMPARISON})""")
 def _(v: Views):
-    from tidemark.operators.freshness import union_all
     return union_all([df.agg(F.count(F.lit(1)).alias("n"), F.max("observed_at").alias("seen"))
                       .select(F.lit(name).alias("dataset"), "n", "seen")
                       for name, df in serving.overview_datasets(v.gold).items()])
@@ -415,7 +417,7 @@ def _(v: Views):
 
 @query("watermark", "SELECT max(observed_at) AS watermark FROM g_rankings")
 def _(v: Views):
-    return serving.watermark(gold.gold_rankings(v.role("bronze")))
+    return serving.watermark(v.gold["rankings"])
 
 
 _ACTIVITY = """SELECT asset_id, dev_activity_score, commits_30d, stars, contributors_count
@@ -486,7 +488,6 @@ def _(v: Views):
   UNION ALL SELECT 'routes', count(*) FROM routes UNION ALL SELECT 'backlog', count(*) FROM backlog
   UNION ALL SELECT 'runs', count(*) FROM runs_r UNION ALL SELECT 'alerts', count(*) FROM alerts_r""")
 def _(v: Views):
-    from tidemark.operators.freshness import union_all
     release = v.release
     surfaces = serving.readiness_surfaces(
         ops.ready_overview(release), ops.route_latest(release), ops.alert_backlog(v.queue),
@@ -750,7 +751,7 @@ def _(v: Views):
        (SELECT symbol, price_change_pct_24h AS p FROM g_movers WHERE price_change_pct_24h < 0
         ORDER BY p, symbol LIMIT 1) w""", "best_change worst_change")
 def _(v: Views):
-    return metrics.watchlist(gold.gold_rankings(v.role("bronze")), gold.gold_movers(v.changes))
+    return metrics.watchlist(v.gold["rankings"], v.gold["movers"])
 
 
 @query("series_arrays", f"""SELECT series_name,
@@ -765,7 +766,7 @@ def _(v: Views):
   CASE WHEN price_change_pct_24h > 0 THEN 'up' ELSE 'down' END AS sign FROM g_comparison""",
        "market_cap")
 def _(v: Views):
-    rows = metrics.rank_series(gold.gold_comparison(v.comparison))
+    rows = metrics.rank_series(v.gold["comparison"])
     return rows.select("label", (F.col("market_cap_billion") * F.lit(1e9)).alias("market_cap"), "sign")
 
 

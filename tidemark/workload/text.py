@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed_values as fv
 from tidemark.functions import text as T
 from tidemark.operators import access, drift, ml, requests
+from tidemark.operators.freshness import union_all
+from tidemark.plans.layers import register_layers
 from tidemark.session import run_folder
 from tidemark.sources import readers
-from tidemark.workload.roles import AS_OF
+from tidemark.streaming.health import stream_route_health
+from tidemark.workload.roles import AS_OF, ROLES
 from tidemark.workload.views import Views, sql
 
 QUERIES: dict = {}
@@ -304,8 +307,6 @@ def _(v: Views):
        "FROM health)", "avg_latency_ms total_cost_estimate")
 def _(v: Views):
     """The hourly health of the event table read as a stream; the newest hour is still open."""
-    from tidemark.streaming.health import stream_route_health
-    from tidemark.workload.roles import ROLES
     spec = ROLES["usage"]
     stream = (readers.stream_table(v.spark, v.folder, spec.table).selectExpr(*spec.prepare)
               .selectExpr(*[f"{expr} AS {name}" for name, expr in spec.columns.items()]))
@@ -324,8 +325,6 @@ def _(v: Views):
   UNION ALL SELECT 'ops_route_health', count(*) FROM health
   UNION ALL SELECT 'ops_bundle_run_readiness', count(*) FROM runs_r""")
 def _(v: Views):
-    from tidemark.operators.freshness import union_all
-    from tidemark.plans.layers import register_layers
     register_layers(v.spark, {
         "bronze_market_snapshots": v.role("bronze"), "bronze_protocols": v.role("protocols"),
         "bronze_repo_activity": v.role("repos"), "bronze_macro": v.role("macro"),
