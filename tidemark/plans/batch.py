@@ -9,8 +9,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark import schemas
 from tidemark.functions.columns import moment
@@ -20,12 +19,6 @@ from tidemark.sources import readers, writers
 from tidemark.sources.align import conform, to_bronze_market
 
 
-def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
-    """Count rows while they are written instead of reading the table back."""
-    seen = Observation()
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
-
-
 def land_market(spark: SparkSession, feed_path: str, table_path: str, quarantine_path: str,
                 now: datetime | str, lines: bool = False) -> None:
     """Feed files into bronze: normalise, validate, insert what is new, keep the rejects."""
@@ -47,9 +40,9 @@ def refresh_silver(spark: SparkSession, bronze_path: str, silver_path: str) -> d
               "silver_market_dominance": silver.silver_dominance(bronze),
               "silver_cross_asset_comparison": silver.silver_comparison(base)}
     for name, df in tables.items():
-        watched, seen = _counted(df)
-        writers.replace_folder(watched, f"{silver_path}/{name}")
-        written[name] = seen.get["rows"]
+        writers.replace_folder(df, f"{silver_path}/{name}")
+        # the folder holds this run's rows only, and parquet counts them from its footers
+        written[name] = spark.read.parquet(f"{silver_path}/{name}").count()
     return written
 
 
