@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.functions import admission
 from tidemark.functions.admission import admit
 
+# The stream's driver-side worker does not see added files, so the processor travels by value.
+cloudpickle.register_pickle_by_value(admission)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class SlidingWindow(StatefulProcessor):
     """State of a key: the admitted times inside the window (at most ``limit`` longs)."""
