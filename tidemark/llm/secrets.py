@@ -1,0 +1,147 @@
+"""Secret scan: fixed patterns and a sliding-window entropy, in row-local SQL expressions.
+
+Positions are code points. Matches are leftmost and do not overlap within a kind: the text is split
+at the matches, and the lengths of pieces and matches add up to positions.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Fixed values of the base kinds, in the order in which ties are listed.
+ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_LENGTH = 12
+# The runs themselves are maximal, so their least length can stand in the pattern.
+ACCESS = r"AKIA[A-Z0-9]{14,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
+KINDS = ("assign", "access", "hex", "entropy")
+
+WINDOW = 20  # characters
+# Candidates: maximal runs of these characters that hold a digit.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+# Character class -> (pattern of the whole candidate, least bits per character in some window).
+CLASSES = {"hex": (r"^[0-9A-Fa-f]+$", 3.0), "alnum": (r"^[A-Za-z0-9]+$", 3.8), "base64": (r"^", 3.8)}
+# Candidates that are no secrets: digits alone, UUIDs, words and numbers joined by signs, examples.
+ALLOWED = (r"^[0-9]+$",
+           r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
+           r"^([A-Za-z]+|[0-9]+)([+/_=-]+([A-Za-z]+|[0-9]+))*[+/_=-]*$",
+           r"(?i:example|sample|dummy|placeholder|changeme|0123456789|abcdefghij)")
+
+_SPAN = "struct<start:int,kind:int,end:int>"
+
+
+def scaled(count: int) -> int:
+    """count * log2(count) as a whole number of 1/65536 bits."""
+    return round(count * math.log2(count) * 65536) if count else 0
+
+
+def most(bits: float) -> int:
+    """The largest sum of ``scaled`` counts of a window with at least ``bits`` per character."""
+    return math.floor(WINDOW * (math.log2(WINDOW) - bits) * 65536)
+
+
+def located(text: Column, pattern: str, group: int = 0) -> Column:
+    """array<struct<start, end, part>>: every match; ``part`` is the text of ``group``."""
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
+                         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
+                         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
+    # One more piece than matches: the last entry has no match.
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,part:string>>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        begin = state["at"] + F.length(x["gap"])
+        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
+        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), state["out"]).otherwise(F.concat(
+            state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["part"].alias("part"))))).alias("out"))
+
+    found = F.aggregate(parts, start, step, lambda state: state["out"])
+    none = F.array().cast("array<struct<start:int,end:int,part:string>>")
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def _spans(matches: Column, kind: str) -> Column:
+    return F.transform(matches, lambda m: F.struct(
+        m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
+
+
+def _window_scan(chars: Column, limit: Column) -> Column:
+    """struct<first, last>: the ends of the windows whose sum is within ``limit``.
+
+    The sum of count * log2(count) changes by two table differences per step: one for the character
+    that leaves and one for the character that enters."""
+    table = F.array(*[F.lit(scaled(c)) for c in range(WINDOW + 2)])
+
+    def count(low: Column, size: Column, char: Column) -> Column:
+        return F.size(F.filter(F.slice(chars, low, size), lambda c: c == char))
+
+    def step(state: Column, i: Column) -> Column:  # i counts from 1
+        full = i > WINDOW
+        out = count(i - WINDOW, F.lit(WINDOW), F.element_at(chars, i - WINDOW))
+        less = F.when(full, F.element_at(table, out + 1) - F.element_at(table, out)).otherwise(F.lit(0))
+        low = F.greatest(i - WINDOW + 1, F.lit(1))
+        now = count(low, i - low, F.element_at(chars, i))
+        total = state["total"] - less + F.element_at(table, now + 2) - F.element_at(table, now + 1)
+        hit = (i >= WINDOW) & (total <= limit)
+        return F.struct(
+            total.alias("total"),
+            F.when(hit & state["first"].isNull(), i - WINDOW).otherwise(state["first"]).alias("first"),
+            F.when(hit, i).otherwise(state["last"]).alias("last"))
+
+    none = F.lit(None).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), F.size(chars)),
+                       F.struct(F.lit(0).alias("total"), none.alias("first"), none.alias("last")), step)
+
+
+def entropy_spans(text: Column) -> Column:
+    """Spans of candidates with a window of high entropy: from its first such window to its last."""
+    def split(m: Column) -> Column:
+        limit = F.lit(None).cast("int")
+        for pattern, bits in reversed(CLASSES.values()):
+            limit = F.when(m["part"].rlike(pattern), F.lit(most(bits))).otherwise(limit)
+        return F.struct(m["start"].alias("start"), F.split(m["part"], "").alias("chars"), limit.alias("limit"))
+
+    allowed = lambda m: F.array_contains(F.array(*[m["part"].rlike(p) for p in ALLOWED]), True)
+    candidates = F.transform(F.filter(located(text, CANDIDATE), lambda m: ~allowed(m)), split)
+    scanned = F.transform(candidates, lambda c: F.struct(
+        c["start"].alias("start"), _window_scan(c["chars"], c["limit"]).alias("scan")))
+    hits = F.filter(scanned, lambda c: c["scan"]["first"].isNotNull())
+    return F.transform(hits, lambda c: F.struct(
+        (c["start"] + c["scan"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"),
+        (c["start"] + c["scan"]["last"]).alias("end")))
+
+
+def found_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, added): arrays of struct<start, kind, end>, kinds as in ``KINDS``.
+
+    An added span that touches a base span is left out, as the base span says it already."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    assign = F.filter(located(text, ASSIGN, 2), lambda m: F.length(m["part"]) >= ASSIGN_LENGTH)
+    base = F.array_sort(F.concat(_spans(assign, "assign"), _spans(located(text, ACCESS), "access"),
+                                 _spans(located(text, HEX), "hex")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.alias("base"),
+                       entropy_spans(text).alias("entropy"))
+    apart = F.filter("entropy", lambda e: ~F.exists(
+        "base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    return rows.select("doc_id", "base", apart.alias("added"))
+
+
+def _listed(spans: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    A null or empty text has no spans: counts 0, the digest of the empty string, an empty list.
+    Whole texts are read, each row by itself, so repeated rows give equal results; an empty table
+    gives no rows."""
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+              for k in range(3)]
+    return found_spans(docs).select(
+        "doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
+        _listed(F.array_sort(F.concat("base", "added"))).alias("spans"))

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality, sharding
-from tidemark.llm.common import documents
+from tidemark.llm import decontamination, mixing, quality, secrets, sharding
+from tidemark.llm.common import benchmark, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_adaptive_quality": lambda spark, d: quality.judge(documents(spark, d)),
     "op3_source_mix": lambda spark, d: mixing.mix(documents(spark, d)),
+    "op5_entropy_secrets": lambda spark, d: secrets.scan(documents(spark, d)),
+    "op8_positional_index": lambda spark, d: decontamination.contamination(documents(spark, d), benchmark(spark, d)),
     "op9_sampled_shards": lambda spark, d: sharding.byte_shards(documents(spark, d)),
 }
 
