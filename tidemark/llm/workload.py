@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, mixing, quality, secrets, sharding, tokens
+from tidemark.llm import decontamination, mixing, quality, secret_scan, sharding, tokens
 from tidemark.llm.common import benchmark, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,7 +15,7 @@ QUERIES: dict[str, Query] = {
     "op1_adaptive_quality": lambda spark, d: quality.judge(documents(spark, d)),
     "op3_source_mix": lambda spark, d: mixing.mix(documents(spark, d)),
     "op4_packed_tokens": lambda spark, d: tokens.packed(documents(spark, d)),
-    "op5_entropy_secrets": lambda spark, d: secrets.scan(documents(spark, d)),
+    "op5_entropy_secrets": lambda spark, d: secret_scan.scan(documents(spark, d)),
     "op6_separator_scan": lambda spark, d: tokens.counted_tokens(documents(spark, d)),
     "op8_positional_index": lambda spark, d: decontamination.contamination(documents(spark, d), benchmark(spark, d)),
     "op9_sampled_shards": lambda spark, d: sharding.byte_shards(documents(spark, d)),
