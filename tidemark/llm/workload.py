@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, mixing, quality, secret_scan, sharding, tokens
+from tidemark.llm import decontamination, mixing, nearduplicates, quality, secret_scan, sharding, tokens
 from tidemark.llm.common import benchmark, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op6_separator_scan": lambda spark, d: tokens.counted_tokens(documents(spark, d)),
     "op8_positional_index": lambda spark, d: decontamination.contamination(documents(spark, d), benchmark(spark, d)),
     "op9_sampled_shards": lambda spark, d: sharding.byte_shards(documents(spark, d)),
+    "op10_chosen_path": lambda spark, d: nearduplicates.duplicates(documents(spark, d)),
 }
 
 SQL: dict[str, str] = {}
