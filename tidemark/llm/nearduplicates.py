@@ -156,7 +156,7 @@ def next_nodes(rows: DataFrame) -> DataFrame:
                 path = batch["node"].to_numpy().view(np.uint64)
                 found, v = _matrix(batch["signature"]), batch["v"].to_numpy()
                 for k in range(1, BRANCHES + 1):
-                    chosen = mixed(path + np.uint64(k) * _BASE)
+                    chosen = mixed(path + np.uint64(k * int(_BASE) % (1 << 64)))
                     value = found[np.arange(len(v)), (chosen % np.uint64(COORDINATES)).astype(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(mixed(chosen + value).view(np.int64)), pa.array(v)], ["node", "v"])
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, mixing, nearduplicates, quality, secret_scan, sharding, tokens
+from tidemark.llm import decontamination, language, mixing, nearduplicates, quality, secret_scan, sharding, tokens
 from tidemark.llm.common import benchmark, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_adaptive_quality": lambda spark, d: quality.judge(documents(spark, d)),
+    "op2_ppm_language": lambda spark, d: language.identify(documents(spark, d)),
     "op3_source_mix": lambda spark, d: mixing.mix(documents(spark, d)),
     "op4_packed_tokens": lambda spark, d: tokens.packed(documents(spark, d)),
     "op5_entropy_secrets": lambda spark, d: secret_scan.scan(documents(spark, d)),
