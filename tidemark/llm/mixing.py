@@ -108,7 +108,7 @@ def positions(rows: DataFrame, n_rows: int) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE
           ) -> tuple[DataFrame, DataFrame]:
-    """(documents, segments). Documents: doc_id, size, source_size, target, taken, one row each.
+    """(documents, segments). Documents: doc_id, size, text_hash, source_size, target, taken, one row each.
     Segments: slot, doc_id, first_word, words: what each slot of the mix takes, in order.
 
     Sizes are words; a null or blank text has none and takes none. A null source is a source of its
@@ -117,7 +117,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     each other, so reruns agree. An empty table gives no rows."""
     ship_package(docs.sparkSession)
     rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                              F.col("source").cast("string").alias("source"),
+                              F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"),
                               word_count(F.col("text")).alias("size")), "sizes")
     sources, n_rows = source_table(rows, weights, share), rows.count()
     table = docs.sparkSession.createDataFrame(
@@ -125,7 +125,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         "id int, source string, source_size long, target double, aim long")
     rows = rows.alias("r").join(F.broadcast(table).alias("t"),  # a row per source
                                 F.col("r.source").eqNullSafe(F.col("t.source"))).select(
-        "r.doc_id", "r.size", "t.id", "t.source_size", "t.target", "t.aim")
+        "r.doc_id", "r.size", "r.text_hash", "t.id", "t.source_size", "t.target", "t.aim")
     placed = positions(rows, n_rows)
     # Each pass of a document, then each block it touches.
     spans = (placed.filter("size > 0 AND aim > 0")
@@ -144,18 +144,23 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     result = (placed.join(taken.withColumnsRenamed({"id": "i", "start": "s", "size": "z"}),
                           (F.col("id") == F.col("i")) & (F.col("start") == F.col("s"))
                           & (F.col("size") == F.col("z")), "left")
-              .select("doc_id", "size", "source_size", "target",
+              .select("doc_id", "size", "text_hash", "source_size", "target",
                       F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
     return result, segments.select("slot", "doc_id", "first_word", "words")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    return mixed(docs)[0]
+    return mixed(docs)[0].drop("text_hash")
 
 
 def taken_documents(docs: DataFrame) -> DataFrame:
-    """The documents of which the mix takes a word, with all their columns; one whose words the mix
-    takes more often than once over stays one row here, as the segments hold the repeats."""
-    taken = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_taken")).distinct()
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken")), "left_semi")
+    """The documents of the mix, whole and with all their columns: once for each pass in which the mix
+    takes a word of them, so never more often than PASSES times; not at all if it takes none."""
+    times = (mixed(docs)[0].filter("taken > 0").groupBy("doc_id", "text_hash")
+             .agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times")))
+    times = times.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), "_times")
+    rows = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
+    held = rows.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")))
+    return (held.withColumn("_nth", F.explode(F.expr("sequence(1, _times)")))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
