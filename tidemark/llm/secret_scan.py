@@ -140,8 +140,9 @@ def scan(docs: DataFrame) -> DataFrame:
     A null or empty text has no spans: counts 0, the digest of the empty string, an empty list.
     Whole texts are read, each row by itself, so repeated rows give equal results; an empty table
     gives no rows."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-              for k in range(3)]
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
     return found_spans(docs).select(
-        "doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
+        "doc_id", *map(count, KINDS[:3]), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
