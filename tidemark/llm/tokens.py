@@ -1,7 +1,7 @@
 """Token ids of documents in bit-packed files, and separators in flat token files.
 
-Both writers bring the documents into ascending doc_id order by a range partitioning, encode them
-partition by partition, and write binary files through Spark's text sink (one record per file, its
+The packed writer brings the documents into ascending doc_id order by a range partitioning; the flat
+one takes them as they lie. Both encode partition by partition and write binary files through Spark's text sink (one record per file, its
 line end being the last byte of the format), so Spark's commit protocol covers them and any file
 system that Spark knows will do. Readers get the files from Spark as bytes.
 
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWEST
+from tidemark.llm.common import LOWEST, settle
 from tidemark.session import run_folder, ship_package
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -96,12 +96,16 @@ def encoder(path: str, special: bool = True) -> Encoder:
 
 def pack_bits(ids: np.ndarray, width: int) -> bytes:
     """Ids of ``width`` bits each, lowest bit first, filled to a whole byte."""
+    if width in (8, 16, 32):  # whole bytes are these bits already
+        return ids.astype(f"<u{width // 8}").tobytes()
     bits = (ids.astype("<u4")[:, None] >> np.arange(width, dtype="<u4")) & 1
     return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
 def unpack_bits(raw: bytes | memoryview, width: int, n: int) -> np.ndarray:
-    """The first ``n`` ids of a block, gathered from the eight bytes at each id's first byte."""
+    """The first ``n`` ids of a block, gathered from the bytes that each id touches."""
+    if width in (8, 16, 32):
+        return np.frombuffer(raw, f"<u{width // 8}", n).astype("<u4")
     padded = np.frombuffer(bytes(raw) + b"\0" * 8, np.uint8)
     at = np.arange(n, dtype=np.int64) * width
     value = np.zeros(n, np.uint64)
@@ -158,15 +162,15 @@ def flat_file(ids: list[np.ndarray], doc_ids: list[int], width: int, order: int)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, make=packed_file,
-                 special: bool = True) -> int:
-    """Encode whole texts (null: empty), each followed by ``end_id``, in ascending doc_id order (nulls
-    first, ties by a hash of the text) into files below ``path``; returns the width in bits.
+                 special: bool = True, ordered: bool = True) -> int:
+    """Encode whole texts (null: empty), each followed by ``end_id``, into files below ``path``; returns
+    the width in bits. ``ordered`` brings them into ascending doc_id order (nulls first, ties by a hash of the
+    text), in partitions of about PARTITION_BYTES; else they stay in the order of the partitions given, unshuffled.
 
-    Partitions hold about PARTITION_BYTES, and a file about FILE_IDS ids, whatever the input's size."""
+    A file holds about FILE_IDS ids, whatever the input's size."""
     ship_package(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = max(1, int(max(encoder(vocabulary, special).size() - 1, end_id)).bit_length())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +196,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, make=
         if ids:
             yield full()
 
-    ordered = (rows.withColumn("tie", F.xxhash64("text"))
-               .repartitionByRange(max(1, -(-n_bytes // PARTITION_BYTES)), F.col("doc_id").asc_nulls_first(), "tie")
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").drop("tie"))
-    (ordered.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))
+    if ordered:
+        n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        rows = (rows.withColumn("tie", F.xxhash64("text"))
+                .repartitionByRange(max(1, -(-n_bytes // PARTITION_BYTES)), F.col("doc_id").asc_nulls_first(), "tie")
+                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").drop("tie"))
+    (rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))
      .write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path))
     return width
 
@@ -240,7 +246,7 @@ def packed(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID)
     empty text has the end id alone. An empty table gives no rows."""
     spark, path = docs.sparkSession, run_folder(docs.sparkSession, "packed")
     write_tokens(docs, path, vocabulary or vocabulary_path(), end_id)
-    rows = with_file_starts(read_packed(spark, path), "n_tokens")
+    rows = with_file_starts(settle(read_packed(spark, path), "read"), "n_tokens")
     return rows.select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -303,10 +309,12 @@ FLAT_END = 50256  # the vocabulary's own end of text
 
 
 def counted_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = FLAT_END) -> DataFrame:
-    """(doc_no, start, n_tokens): documents of a flat token stream in ascending doc_id order, found by
-    their separators alone; ``n_tokens`` includes the separator. Special tokens named in a text stay
-    ordinary text, so the stream holds no other separators. A null text has the separator alone; a null
-    doc_id comes first; an empty table gives no rows."""
+    """(doc_no, start, n_tokens): the documents of a flat token stream, found by their separators alone;
+    ``n_tokens`` includes the separator, and documents count from 0 in the order of the stream.
+
+    The stream follows the input's partitions, so no text is shuffled. Special tokens named in a text
+    stay ordinary text, so it holds no other separators. A null text has the separator alone; repeated
+    rows count each; an empty table gives no rows."""
     spark, path = docs.sparkSession, run_folder(docs.sparkSession, "flat")
-    width = write_tokens(docs, path, vocabulary or vocabulary_path(), end_id, flat_file, special=False)
+    width = write_tokens(docs, path, vocabulary or vocabulary_path(), end_id, flat_file, special=False, ordered=False)
     return scan_separators(token_files(spark, path), end_id, wide=width > 16)
