@@ -36,6 +36,32 @@ def test_ingest_inserts_each_key_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_late_rows_are_inserted_and_rejects_kept(spark, tmp_path):
+    """Three micro-batches, the last of them far behind: nothing is lost, repeats add nothing."""
+    folder, out, bad = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "bad")
+    folder.mkdir()
+    for name, asset, day in (("1", "btc", 20), ("2", "eth", 21), ("3", "ada", 1), ("4", "ada", 1), ("5", "", 2)):
+        (folder / f"{name}.json").write_text(json.dumps(
+            {"id": asset, "symbol": "s", "market_cap": 1, "current_price": 2, "total_volume": 3, "circulating_supply": 4,
+             "market_cap_rank": 5, "last_updated": f"2024-01-{day:02}T00:00:00Z"}))
+    (stream_ingest(market_stream(spark, str(folder), files_per_batch=1), out, str(tmp_path / "mark"), quarantine_path=bad)
+     .trigger(availableNow=True).start().awaitTermination())
+    assert sorted(r.asset_id for r in spark.read.parquet(out).collect()) == ["ada", "btc", "eth"]
+    assert spark.read.parquet(bad).count() == 1
+
+
+def test_late_and_untimed_requests_get_a_decision(spark, tmp_path):
+    source, out, mark = (str(tmp_path / name) for name in ("in", "out", "mark"))
+    for hour in (10, 12, 1, None):
+        seen = None if hour is None else START + timedelta(hours=hour)
+        spark.createDataFrame([("k", seen, hour or 0)], "k string, ts timestamp, i int").coalesce(1).write.mode(
+            "append").parquet(source)
+    stream = (spark.readStream.schema("k string, ts timestamp, i int").option("maxFilesPerTrigger", 1).parquet(source))
+    (stream_rate_limit(stream, ["k"], "ts", ["i"], limit=4, seconds=30).writeStream.outputMode("append").format("parquet")
+     .option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination())
+    assert {r["i"]: r["admitted"] for r in dicts(spark.read.parquet(out))} == {10: True, 12: True, 1: True, 0: None}
+
+
 def test_stream_health_equals_batch_for_closed_hours(spark, tmp_path):
     schema = ("event_time timestamp, route_selected string, latency_ms int, total_tokens int,"
               "cost_estimate double, freshness_watermark string, response_status string")
@@ -73,7 +99,7 @@ def test_stream_admission_equals_brute_force(spark, tmp_path):
     assert len(files) == 2
     stream = (spark.readStream.schema("k string, ts timestamp, i int")
               .option("maxFilesPerTrigger", 1).parquet(source))
-    (stream_rate_limit(stream, ["k"], "ts", ["i"], limit=4, seconds=30, delay="0 seconds").writeStream
+    (stream_rate_limit(stream, ["k"], "ts", ["i"], limit=4, seconds=30).writeStream
      .outputMode("append").format("parquet").option("path", out).option("checkpointLocation", mark)
      .trigger(availableNow=True).start().awaitTermination())
     got = {r["i"]: (r["admitted"], r["retry_after_s"]) for r in dicts(spark.read.parquet(out))}

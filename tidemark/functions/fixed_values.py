@@ -105,3 +105,11 @@ COST_PER_1K_TOKENS = {"light": 0.0008, "standard": 0.0040, "complex": 0.0250}
 
 # Access
 ADMIN_GROUPS = ["platform_ops", "governance_admin"]
+
+# Fixed values of the drift log and the alert log.
+DRIFT_SOURCE = "model_drift_monitoring_job"
+EVALUATION_SOURCE = "sentinela_evaluation_job"
+DRIFT_MESSAGE = ("Regime PSI=%.3f exceeds threshold %s (24h distribution vs 7d-1d baseline, "
+                 "non-overlapping windows). dist_24h=%s, dist_baseline=%s")
+RETRAIN_MESSAGE = ("Sustained regime drift detected: %d PSI breaches in last %d days. "
+                   "Manual or automated retraining recommended.")

@@ -15,14 +15,13 @@ from tidemark.sources.align import conform
 from tidemark import schemas
 
 AsOf = datetime | str | Column
-EVALUATION_SOURCE = "alert_evaluation"
 
 
 def _recent(df: DataFrame, ts: str, as_of: AsOf, hours: float) -> DataFrame:
     return df.filter(F.col(ts) >= before(as_of, hours=hours))
 
 
-def _as_alerts(df: DataFrame, as_of: AsOf, source: str = EVALUATION_SOURCE) -> DataFrame:
+def _as_alerts(df: DataFrame, as_of: AsOf, source: str = fv.EVALUATION_SOURCE) -> DataFrame:
     """Rows with ``kind``, ``message`` and any other alert columns, completed to the log schema."""
     return conform(df.withColumn("source", F.lit(source))
                    .withColumn("created_at", moment(as_of)), schemas.ALERTS)
@@ -173,7 +172,7 @@ def layered_policy(policy: DataFrame, overrides: DataFrame | None = None,
 def threshold_checks(usage: DataFrame, policy: DataFrame, overrides: DataFrame | None = None,
                      require_freshness: bool = True, **defaults: float) -> DataFrame:
     """Five checks per event against the limits of its route, with the blocker a failed one
-    raises. The policy has one row per route of a fixed list, hence the broadcast."""
+    raises. The policy has one row per route."""
     rows, limit = layered_policy(policy, overrides, **defaults)
     route = F.coalesce("route_selected", F.lit("unknown"))
     latency = F.coalesce("latency_ms", F.lit(0))
@@ -199,7 +198,7 @@ def threshold_checks(usage: DataFrame, policy: DataFrame, overrides: DataFrame |
         one("freshness_valid", fresh, F.col("freshness_watermark"),
             F.lit("required" if require_freshness else "optional"), "freshness_gap"),
         one("status_ok", status != "error", status, F.lit("success"), "error_spike"))
-    return (usage.join(F.broadcast(rows), "route_selected", "left")
+    return (usage.join(rows, "route_selected", "left")
             .select("request_id", "tenant_id", route.alias("route_selected"),
                     F.explode(checks).alias("c"))
             .select("request_id", "tenant_id", "route_selected", "c.*"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.functions import fixed_values as fv
 from tidemark.functions.columns import before, moment
 from tidemark.operators.silver import share_of_total
 from tidemark.sources.align import conform
@@ -25,8 +26,8 @@ def label_distribution(scores: DataFrame, low: Column | None = None, high: Colum
     if high is not None:
         rows = rows.filter(F.col(ts) < high)
     rows = rows.select(F.coalesce(F.col(label).cast("string"), F.lit("None")).alias("_label"),
-                       F.lit(0).alias("_all"), F.lit(1).alias("n"))
-    shares = share_of_total(rows, ["_all"], F.col("_label"), "label", "n", "pct")
+                       F.lit(1).alias("n"))
+    shares = share_of_total(rows, [], F.col("_label"), "label", "n", "pct")
     return shares.select("label", (F.col("pct") / 100).alias("share"))
 
 
@@ -41,8 +42,8 @@ def psi(base: DataFrame, current: DataFrame) -> DataFrame:
                      .alias("psi"))
 
 
-def _log_rows(df: DataFrame, as_of: AsOf) -> DataFrame:
-    return conform(df.withColumn("source", F.lit("model_drift_monitoring"))
+def _log_rows(df: DataFrame, as_of: AsOf, source: str) -> DataFrame:
+    return conform(df.withColumn("source", F.lit(source))
                    .withColumn("created_at", moment(as_of)), schemas.ALERTS)
 
 
@@ -53,22 +54,32 @@ def drift_psi(scores: DataFrame, as_of: AsOf) -> DataFrame:
                label_distribution(scores, day))
 
 
-def drift_alert(scores: DataFrame, as_of: AsOf, threshold: float = 0.2) -> DataFrame:
+def _listed(shares: DataFrame, name: str) -> DataFrame:
+    """One row: the distribution as text, labels in order (a handful of labels)."""
+    entry = F.format_string("'%s': %s", F.col("label"), F.col("share").cast("string"))
+    return shares.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ", "),
+                               F.lit("}")).alias(name))
+
+
+def drift_alert(scores: DataFrame, as_of: AsOf, threshold: float = 0.2,
+                source: str = fv.DRIFT_SOURCE) -> DataFrame:
     """At most one alert row, ready to append. Needs the score history, not the merged table."""
-    found = drift_psi(scores, as_of).filter(F.col("psi") >= threshold)
+    day = before(as_of, days=1)
+    base, current = label_distribution(scores, before(as_of, days=7), day), label_distribution(scores, day)
+    found = (psi(base, current).crossJoin(F.broadcast(_listed(current, "now")))
+             .crossJoin(F.broadcast(_listed(base, "past"))).filter(F.col("psi") >= threshold))
     return _log_rows(found.select(
         F.lit("model_drift").alias("kind"),
-        F.format_string(f"Regime PSI=%.3f exceeds threshold {threshold} (24h distribution vs "
-                        "7d-1d baseline, non-overlapping windows).", "psi").alias("message")),
-        as_of)
+        F.format_string(fv.DRIFT_MESSAGE, "psi", F.lit(str(threshold)), "now", "past").alias("message")),
+        as_of, source)
 
 
-def retrain_trigger(alerts: DataFrame, as_of: AsOf, days: int = 3, times: int = 3) -> DataFrame:
+def retrain_trigger(alerts: DataFrame, as_of: AsOf, days: int = 3, times: int = 3,
+                    source: str = fv.DRIFT_SOURCE) -> DataFrame:
     """One row when drift was reported ``times`` times within ``days``."""
     breaches = alerts.filter((F.col("kind") == "model_drift")
                              & (F.col("created_at") >= before(as_of, days=days)))
     return _log_rows(breaches.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= times).select(
         F.lit("retrain_trigger").alias("kind"),
-        F.format_string(f"Sustained regime drift detected: %d PSI breaches in last {days} days. "
-                        "Manual or automated retraining recommended.", "n").alias("message")),
-        as_of)
+        F.format_string(fv.RETRAIN_MESSAGE, "n", F.lit(days)).alias("message")),
+        as_of, source)

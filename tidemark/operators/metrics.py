@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def _one_row(frames: Sequence[DataFrame]) -> DataFrame:
 
 # Market page ---------------------------------------------------------------------------------------
 
-def _section(df: DataFrame, order: Sequence[Column], limit: int, shown: int, name: str,
+def _section(df: DataFrame, order: Sequence[Column], limit: int | None, shown: int, name: str,
              fields: Sequence[Column]) -> DataFrame:
     rows = serving.ordered_rows(df, order, limit)
     entries = F.array_sort(F.collect_list(F.when(
@@ -31,24 +32,33 @@ def _section(df: DataFrame, order: Sequence[Column], limit: int, shown: int, nam
                     F.max("observed_at").alias(f"_seen_{name}"))
 
 
-def market_overview(gold: Mapping[str, DataFrame],
-                    asset_ids: Sequence[str] | None = None) -> DataFrame:
+class PageLimits(NamedTuple):
+    """Rows a section of the market page takes (None: all) and shows."""
+
+    rankings: tuple[int | None, int] = (100, 5)
+    movers: tuple[int | None, int] = (10, 3)
+    dominance: tuple[int | None, int] = (None, 4)
+    comparisons: tuple[int | None, int] = (50, 3)
+
+
+def market_overview(gold: Mapping[str, DataFrame], asset_ids: Sequence[str] | None = None,
+                    limits: PageLimits = PageLimits()) -> DataFrame:
     """The market page as one row: counts, watermark, warnings and the JSON of four sections."""
     sets = serving.overview_datasets(dict(gold), asset_ids)
     asset = F.upper(F.coalesce(blank_to_null("symbol"), blank_to_null("asset_id"),
                                F.lit("UNKNOWN"))).alias("asset")
     c = F.col
     parts = [
-        _section(sets["rankings"], serving.ranking_order(), 100, 5, "market_rankings",
+        _section(sets["rankings"], serving.ranking_order(), *limits.rankings, "market_rankings",
                  [asset, c("name"), c("market_cap_rank"), c("market_cap_usd"), c("price_usd")]),
-        _section(sets["movers"], serving.mover_order(), 10, 3, "top_movers",
+        _section(sets["movers"], serving.mover_order(), *limits.movers, "top_movers",
                  [asset, c("move_direction_24h").alias("direction"), c("price_change_pct_24h"),
                   c("move_band_24h")]),
-        _section(sets["dominance"], [c("dominance_pct").desc(), c("dominance_group").asc()], 100,
-                 4, "dominance", [c("dominance_group").alias("group"), c("dominance_pct"),
+        _section(sets["dominance"], [c("dominance_pct").desc(), c("dominance_group").asc()],
+                 *limits.dominance, "dominance", [c("dominance_group").alias("group"), c("dominance_pct"),
                                   c("market_cap_usd")]),
-        _section(sets["comparisons"], [c("market_cap_usd").desc(), c("asset_id").asc()], 50, 3,
-                 "comparisons", [asset, c("correlation_bucket"), c("price_change_pct_24h"),
+        _section(sets["comparisons"], [c("market_cap_usd").desc(), c("asset_id").asc()],
+                 *limits.comparisons, "comparisons", [asset, c("correlation_bucket"), c("price_change_pct_24h"),
                                  c("price_change_pct_7d")])]
     names = ["market_rankings", "top_movers", "dominance", "comparisons"]
     page = _one_row(parts).withColumn(
@@ -92,8 +102,8 @@ def watchlist(rankings: DataFrame, movers: DataFrame) -> DataFrame:
         F.col("w.symbol").alias("worst_symbol"), F.col("w.change").alias("worst_change"))
 
 
-def series_arrays(macro: DataFrame, limit: int = 8) -> DataFrame:
-    """Dates and values per series from the ``limit`` rows the chart shows."""
+def series_arrays(macro: DataFrame, limit: int | None = None) -> DataFrame:
+    """Dates and values per series, of all rows or of the newest ``limit``."""
     rows = serving.ordered_rows(macro, [F.col("observation_date").desc(), F.col("series_name")],
                                 limit)
     entries = F.array_sort(F.collect_list(F.struct("_position", "observation_date", "value")))
@@ -121,11 +131,11 @@ def tenant_activity(usage: DataFrame, recent: int | None = None) -> DataFrame:
             .orderBy(F.desc("requests"), "tenant_id"))
 
 
-def latency_quartiles(usage: DataFrame) -> DataFrame:
-    """Box statistics per tier. Latencies are counted per value first, so the percentile state
+def latency_quartiles(usage: DataFrame, tiers: Sequence[str] | None = None) -> DataFrame:
+    """Box statistics per tier, of all tiers or those named. Latencies are counted per value first, so the percentile state
     is bounded by the distinct integer values and not by the rows."""
-    tiers = list(fv.COST_PER_1K_TOKENS)
-    counts = (usage.filter(F.col("model_tier").isin(tiers) & F.col("latency_ms").isNotNull())
+    rows = usage if tiers is None else usage.filter(F.col("model_tier").isin(list(tiers)))
+    counts = (rows.filter(F.col("latency_ms").isNotNull())
               .groupBy("model_tier", "latency_ms").agg(F.count(F.lit(1)).alias("n")))
     at = F.percentile("latency_ms", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
     return counts.groupBy("model_tier").agg(
@@ -136,9 +146,8 @@ def latency_quartiles(usage: DataFrame) -> DataFrame:
 
 def status_distribution(usage: DataFrame) -> DataFrame:
     rows = usage.select(F.coalesce("response_status", F.lit("unknown")).alias("s"),
-                        F.lit(0).alias("all"), F.lit(1).alias("requests"))
-    return share_of_total(rows, ["all"], F.col("s"), "response_status", "requests",
-                          "share_pct").drop("all")
+                        F.lit(1).alias("requests"))
+    return share_of_total(rows, [], F.col("s"), "response_status", "requests", "share_pct")
 
 
 def _label(alerts: DataFrame) -> Column:
@@ -171,10 +180,13 @@ def spend_kpis(tiers: DataFrame) -> DataFrame:
 
 def daily_tier_matrix(daily: DataFrame,
                       tiers: Sequence[str] = tuple(fv.COST_PER_1K_TOKENS)) -> DataFrame:
-    """Day by tier, missing cells 0. The fixed tier list saves the scan pivot would need."""
-    filled = daily.withColumn("model_tier", F.coalesce("model_tier", F.lit("standard")))
-    return (filled.groupBy("day").pivot("model_tier", list(tiers)).agg(F.sum("cost_usd"))
-            .na.fill(0.0, list(tiers)).orderBy("day"))
+    """Day by tier, missing cells 0. The fixed tier list saves the scan pivot would need; all other
+    tiers add up in ``other``, so a row's sum is the day's spend."""
+    names = [*tiers, "other"]
+    tier = F.coalesce("model_tier", F.lit("standard"))
+    filled = daily.withColumn("model_tier", F.when(tier.isin(list(tiers)), tier).otherwise("other"))
+    return (filled.groupBy("day").pivot("model_tier", names).agg(F.sum("cost_usd"))
+            .na.fill(0.0, names).orderBy("day"))
 
 
 def assurance(checks: DataFrame, usage: DataFrame, runs: DataFrame,
@@ -198,28 +210,10 @@ def assurance(checks: DataFrame, usage: DataFrame, runs: DataFrame,
 
 # Operations pages -----------------------------------------------------------------------------------------
 
-# layer, resource, kind of evidence, key in the job or route table
-RESOURCES = [
-    ("external_sources", "market_feed", "job", "market_ingestion_job"),
-    ("external_sources", "protocol_feed", "job", "protocol_ingestion_job"),
-    ("data_plane", "gold_serving", "gold", None),
-    ("data_plane", "scheduled_jobs", "jobs", None),
-    ("ai_analytics", "genie", "route", "genie"),
-    ("ai_analytics", "copilot", "route", "copilot"),
-    ("ai_analytics", "dashboard_api", "route", "dashboard_api"),
-    ("applications", "internal_app", "route", "internal_app"),
-    ("applications", "alerting", "alerts", None),
-]
-
-
 def resource_health(overview: DataFrame, routes: DataFrame, runs: DataFrame, alerts: DataFrame,
-                    backlog: DataFrame,
-                    resources: Sequence[tuple] = tuple(RESOURCES)) -> DataFrame:
-    """State and metric of every resource on the list."""
-    spark = routes.sparkSession
-    listed = spark.createDataFrame(
-        [(i, *row) for i, row in enumerate(resources)],
-        "position int, layer string, resource string, evidence string, key string")
+                    backlog: DataFrame, resources: DataFrame) -> DataFrame:
+    """State and metric of every resource in the table ``resources`` (position, layer, resource,
+    evidence, key); evidence is job, route, gold, jobs or alerts, and key names the job or route."""
     n0 = lambda name: F.coalesce(F.col(name), F.lit(0))
     job_rows = runs.select(
         F.lit("job").alias("evidence"), F.col("job_name").alias("key"),
@@ -235,17 +229,17 @@ def resource_health(overview: DataFrame, routes: DataFrame, runs: DataFrame, ale
         .when(n0("error_count") > 0, "critical").otherwise("warning").alias("status"),
         F.format_string("lat=%dms cost=$%.4f ", n0("avg_latency_ms").cast("bigint"),
                         n0("total_cost_estimate").cast("double")).alias("metric"))
-    newest = serving.top(runs, [F.desc("latest_update_time"), F.asc("job_name")], 6).agg(
+    all_jobs = runs.agg(
         F.coalesce(F.bool_and(F.col("bundle_readiness_status") == "ready"), F.lit(True))
         .alias("calm"))
     totals = _one_row([
         overview.agg(F.coalesce(F.max("stale_freshness_count"), F.lit(0)).alias("stale")),
-        newest, runs.agg(F.count(F.lit(1)).alias("jobs")),
+        all_jobs, runs.agg(F.count(F.lit(1)).alias("jobs")),
         alerts.agg(F.max("alert_status").alias("alert_status"),
                    F.coalesce(F.max("runtime_alerts"), F.lit(0)).alias("runtime"),
                    F.coalesce(F.max("bundle_alerts"), F.lit(0)).alias("bundle"))])
     evidence, alerted = F.col("evidence"), F.coalesce("waiting", F.lit(0))
-    joined = (listed.join(job_rows.unionByName(route_rows), ["evidence", "key"], "left")
+    joined = (resources.join(job_rows.unionByName(route_rows), ["evidence", "key"], "left")
               .join(waiting, "key", "left").crossJoin(F.broadcast(totals)))
     status = (F.when(evidence == "gold", F.when(F.col("stale") == 0, "healthy").otherwise("warning"))
               .when(evidence == "jobs", F.when(F.col("calm"), "healthy").otherwise("warning"))
@@ -272,7 +266,7 @@ def health_kpis(resources: DataFrame, overview: DataFrame, tiers: DataFrame) ->
                        (F.col("_route_cost") + F.col("_tier_cost")).alias("total_cost"))
 
 
-def _items(rows: DataFrame, fallback: str, impact: str, limit: int = 6) -> DataFrame:
+def _items(rows: DataFrame, fallback: str, impact: str, limit: int | None) -> DataFrame:
     """Findings in order of priority, or the all-clear row where there are none."""
     none = rows.limit(1).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 0).select(
         F.lit(99).alias("priority"), F.lit("").alias("subject"), F.lit(fallback).alias("rule"),
@@ -294,8 +288,8 @@ def _near_cost_limit() -> Column:
 
 
 def optimization_items(routes: DataFrame, runs: DataFrame, trend: DataFrame,
-                       alerts: DataFrame) -> DataFrame:
-    """Up to six findings on cost and operation, most important first."""
+                       alerts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Findings on cost and operation, most important first; all, or the first ``limit``."""
     route, count = F.col("route_selected"), F.col("n")
     tally = lambda df, condition: df.agg(F.count_if(condition).alias("n"))
     rows = [
@@ -311,11 +305,11 @@ def optimization_items(routes: DataFrame, runs: DataFrame, trend: DataFrame,
                  "medium", F.col("runtime_alerts")),
         _finding(tally(trend, F.col("total_cost_estimate") >= 0.03), count > 0, 6,
                  F.lit("routes"), "costly_hours", "medium", count)]
-    return _items(reduce(DataFrame.unionByName, rows), "all_clear", "low")
+    return _items(reduce(DataFrame.unionByName, rows), "all_clear", "low", limit)
 
 
-def cost_items(routes: DataFrame, runs: DataFrame) -> DataFrame:
-    """Cost findings per route, then failed jobs; up to six."""
+def cost_items(routes: DataFrame, runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Cost findings per route, then failed jobs; all, or the first ``limit``."""
     route = F.col("route_selected")
     latency = F.coalesce("avg_latency_ms", F.lit(0)).cast("bigint")
     failed = runs.agg(F.count_if(F.col("failed_count") > 0).alias("n"))
@@ -328,14 +322,13 @@ def cost_items(routes: DataFrame, runs: DataFrame) -> DataFrame:
             latency.cast("double").alias("value")))))).alias("i"))
     rows = found.select(F.lit(1).alias("priority"), route.alias("subject"), "i.*").unionByName(
         _finding(failed, F.col("n") > 0, 2, F.lit("jobs"), "failed_jobs", "danger", F.col("n")))
-    return _items(rows, "all_clear", "success")
+    return _items(rows, "all_clear", "success", limit)
 
 
-def infra_rows(routes: DataFrame, runs: DataFrame) -> DataFrame:
-    """Cost, latency and state of three routes and of the jobs (longest mean duration)."""
-    spark = routes.sparkSession
-    listed = spark.createDataFrame([(1, "genie"), (2, "copilot"), (3, "dashboard_api")],
-                                   "position int, route_selected string")
+def infra_rows(routes: DataFrame, runs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Cost, latency and state of the named routes and of the jobs (longest mean duration)."""
+    listed = routes.sparkSession.createDataFrame(
+        list(enumerate(names, 1)), "position int, route_selected string")
     measured = listed.join(routes, "route_selected", "left").select(
         "position", F.col("route_selected").alias("resource"),
         F.coalesce("total_cost_estimate", F.lit(0.0)).alias("cost"),
@@ -344,7 +337,7 @@ def infra_rows(routes: DataFrame, runs: DataFrame) -> DataFrame:
     all_ready = F.coalesce(F.bool_and(F.col("bundle_readiness_status") == "ready"), F.lit(True))
     jobs = runs.agg(F.coalesce(F.max("avg_duration_ms"), F.lit(0)).cast("bigint").alias("latency"),
                     F.when(all_ready, "ready").otherwise("hold").alias("status")).select(
-        F.lit(4).alias("position"), F.lit("jobs").alias("resource"), F.lit(0.0).alias("cost"),
+        F.lit(len(names) + 1).alias("position"), F.lit("jobs").alias("resource"), F.lit(0.0).alias("cost"),
         "latency", "status")
     return measured.unionByName(jobs).orderBy("position")
 

@@ -140,17 +140,33 @@ def _grow(rows: np.ndarray, rng: np.random.Generator, limit: int) -> np.ndarray:
 
 def _tree_samples(df: DataFrame, ids: Sequence[str], columns: Sequence[str], rows: int,
                   trees: int, sample: int, seed: int) -> DataFrame:
-    """Up to ``sample`` rows per tree, drawn by hash so that reruns agree."""
+    """Up to ``sample`` rows per tree, drawn by hash so that reruns agree.
+
+    Each tree draws each row with the same chance, on its own. One hash tells how many trees a row
+    serves (by the binomial distribution), further hashes tell which; rows that serve none are dropped
+    before anything is multiplied, so one rule holds at every size. ``sample`` is the algorithm's own
+    parameter, the rows a tree is grown from.
+    """
     unit = lambda salt: (F.pmod(F.xxhash64(*ids, *columns, salt), F.lit(1 << 40))
                          / F.lit(float(1 << 40)))
     share = min(1.0, 1.5 * sample / max(rows, 1))
-    base = df.select(*ids, *columns)
-    if share * trees <= 1.0:  # large input: a row serves one tree at most
-        drawn = (base.withColumn("_u", unit(F.lit(seed))).filter(F.col("_u") < share * trees)
-                 .withColumn("tree", F.floor(F.col("_u") / share).cast("int")))
+    below, chance, limits = 0.0, (1.0 - share) ** trees, []  # chance of serving exactly k trees
+    for k in range(trees):
+        below += chance
+        if share == 1.0 or below >= 1.0 - 1e-15:
+            break
+        limits.append(below)
+        chance *= (trees - k) / (k + 1) * share / (1.0 - share)
+    if share == 1.0:
+        serves = F.lit(trees)
     else:
-        drawn = (base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-                 .withColumn("_u", unit(F.col("tree") + seed)).filter(F.col("_u") < share))
+        steps = F.array(*[F.lit(x) for x in limits])
+        serves = F.size(F.filter(steps, lambda x: x <= F.col("_u")))
+    base = df.select(*ids, *columns).withColumn("_u", unit(F.lit(seed))).withColumn("_serves", serves)
+    shuffled = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        F.xxhash64(*ids, *columns, t + seed).alias("h"), t.alias("tree"))))
+    drawn = (base.filter("_serves > 0")
+             .withColumn("tree", F.explode(F.slice(shuffled, F.lit(1), F.col("_serves"))["tree"])))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(
         F.xxhash64(*ids, *columns, F.col("tree") + seed + 1), *ids))
     return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= sample).select("tree", *columns)
@@ -207,8 +223,24 @@ def _score(model: AnomalyModel) -> Column:
 
 
 def _threshold(scored: DataFrame, contamination: float) -> float:
-    return float(scored.agg(F.percentile_approx(
-        "anomaly_raw", 1.0 - contamination, 10_000)).first()[0])
+    """The raw score at the rank that leaves ``contamination`` of the rows above it, found by counting
+    rows per 2**-16 of the score and then per 2**-32 within one such range: at most 65,536 counts are
+    ranked at a time, whatever the number of rows."""
+    def located(rows: DataFrame, scale: int, rank: int) -> tuple[int, int, float]:
+        part = F.floor(F.col("anomaly_raw") * F.lit(float(scale))).cast("long")
+        counts = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"),
+                                                      F.max("anomaly_raw").alias("high"))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("part")))
+        row = upto.filter(F.col("upto") >= rank).orderBy("part").first()
+        return row["part"], row["upto"] - row["n"], row["high"]
+
+    total = scored.count()
+    if not total:
+        return 2.0
+    rank = max(1, int(np.ceil(total * (1.0 - contamination))))
+    part, before, _ = located(scored, 1 << 16, rank)
+    inside = scored.filter(F.floor(F.col("anomaly_raw") * F.lit(float(1 << 16))) == part)
+    return float(located(inside, 1 << 32, rank - before)[2])
 
 
 def _label(scored: DataFrame, threshold: float) -> DataFrame:
@@ -221,7 +253,7 @@ def train_anomaly(df: DataFrame, columns: Sequence[str] = tuple(ANOMALY_FEATURES
                   sample: int = 256, seed: int = 42) -> AnomalyModel:
     rows = df.select(*ids, *[F.col(name).cast("double").alias(name) for name in columns])
     model = _grow_forest(rows, columns, ids, trees, sample, seed)
-    scored = rows.select(_score(model).alias("anomaly_raw"))
+    scored = cut_lineage(rows.select(_score(model).alias("anomaly_raw")))
     return model._replace(threshold=_threshold(scored, contamination))
 
 

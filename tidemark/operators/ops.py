@@ -63,7 +63,7 @@ def release_readiness(health: DataFrame, policy: DataFrame, serving: DataFrame)
              & (F.col("total_tokens") < F.col("policy_max_total_tokens"))
              & (F.col("stale_freshness_count") == 0)
              & (F.col("gold_assets_ready") == F.col("gold_assets_total")))
-    return (health.join(F.broadcast(limits), "route_selected").crossJoin(F.broadcast(gold))
+    return (health.join(limits, "route_selected").crossJoin(F.broadcast(gold))
             .withColumn("readiness_status", F.when(ready, "ready").otherwise("hold")))
 
 

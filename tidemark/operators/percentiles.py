@@ -34,7 +34,13 @@ def p95_floor(df: DataFrame, by: Sequence[str], measure: str, share: float = 0.9
                       & (F.col("_upto") - F.col("_in_range") < F.col("_rank")))
               .select(*keys, "_range", "_rank",
                       (F.col("_upto") - F.col("_in_range")).alias("_before")))
-    fine = (ranged.join(coarse, [*keys, "_range"])
+    # null is a group like any other, so the join must meet it
+    other = coarse.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)],
+                          F.col("_range").alias("_r"), "_rank", "_before")
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
+    fine = (ranged.join(other, same)
             .withColumn("_upto", F.col("_before")
                         + F.sum("_n").over(running.orderBy("_value")))
             .filter((F.col("_upto") >= F.col("_rank"))

@@ -49,7 +49,8 @@ def estimate_cost(df: DataFrame, tier: str = "model_tier",
 def rate_limit(df: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str], limit: int = 12,
                seconds: int = 60) -> DataFrame:
     """Adds ``admitted`` and ``retry_after_s``: at most ``limit`` admitted events per key and
-    window; only admitted events count. A missing key part counts as ``anonymous``.
+    window; only admitted events count. A missing key part counts as ``anonymous``. Events without
+    a time cannot be placed: both new columns are null for them.
 
     Admission looks back over admitted events and is sequential within a key, but not without
     end. Time is cut into slots as long as the window and events are counted per (key, slot). If
@@ -63,7 +64,9 @@ def rate_limit(df: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str], l
     width = seconds * 1_000_000
     named = df.withColumns({k: F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")),
                                           F.lit("anonymous")) for k, name in zip(keys, key)})
-    events = (named.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    timed, untimed = named.filter(F.col(ts).isNotNull()), df.filter(F.col(ts).isNull()).withColumns(
+        {"admitted": F.lit(None).cast("boolean"), "retry_after_s": F.lit(None).cast("long")})
+    events = (timed.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
               .withColumn("_slot", F.floor(F.col("_t") / width).cast("long")))
     counts = events.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*keys).orderBy("_slot")
@@ -85,7 +88,8 @@ def rate_limit(df: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str], l
     out_schema = T.StructType(list(crowded.schema) + [
         T.StructField("admitted", T.BooleanType()), T.StructField("retry_after_s", T.LongType())])
     decided = crowded.mapInPandas(_stretch_decider(keys, limit, width), out_schema)
-    return settled.unionByName(decided).select(*df.columns, "admitted", "retry_after_s")
+    return (settled.unionByName(decided).select(*df.columns, "admitted", "retry_after_s")
+            .unionByName(untimed))
 
 
 def _stretch_decider(keys: list[str], limit: int, width: int):

@@ -20,8 +20,9 @@ def _passing(df: DataFrame) -> DataFrame:
     return df.filter(F.col("quality_status") == "pass")
 
 
-def top(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    return df.orderBy(*order).limit(limit)
+def top(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
+    """The first rows in order; all rows where there is no limit."""
+    return df.orderBy(*order) if limit is None else df.orderBy(*order).limit(limit)
 
 
 def top_at_latest(df: DataFrame, ts: str, order: Sequence[Column], limit: int) -> DataFrame:
@@ -118,7 +119,7 @@ def top_protocols(protocols: DataFrame, limit: int = 10) -> DataFrame:
                       F.col("protocol_name").asc()], limit)
 
 
-def macro_latest(macro: DataFrame, limit: int = 8) -> DataFrame:
+def macro_latest(macro: DataFrame, limit: int | None = 8) -> DataFrame:
     rows = _passing(macro).select(
         "series_name", F.col("latest_date").alias("observation_date"),
         F.col("current_value").alias("value"), "regime_label", "change_30d_pct")
@@ -224,8 +225,9 @@ def job_totals(runs: DataFrame) -> DataFrame:
             .orderBy(F.desc("last_run"), "job_name"))
 
 
-def ordered_rows(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    """The top rows with their position; the window sees at most ``limit`` rows."""
+def ordered_rows(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
+    """The top rows with their position; the window sees at most ``limit`` rows, or all rows of a
+    table that is small by nature (groups, series) where there is none."""
     position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
     return top(df, order, limit).withColumn("_position", position)
 

@@ -53,10 +53,15 @@ def share_of_total(df: DataFrame, part: Sequence[str], group: Column, group_name
                    measure: str, share_name: str) -> DataFrame:
     """Share of each group in its part, in percent; null where the total is zero.
 
-    Groups are summed first (combined map-side), the total is a window over the few group rows.
+    Groups are summed first (combined map-side), the total is a window over the few group rows; of
+    a whole table (no ``part``) it is a one-row sum, as there may be many groups.
     """
     sums = df.groupBy(*part, group.alias(group_name)).agg(F.sum(measure).alias(measure))
     total = F.sum(measure).over(Window.partitionBy(*part))
+    if not part:
+        sums = sums.crossJoin(F.broadcast(sums.agg(F.sum(measure).alias("_total"))))
+        total = F.col("_total")
+        return sums.withColumn(share_name, F.when(total != 0, F.col(measure) / total * 100)).drop("_total")
     return sums.withColumn(share_name, F.when(total != 0, F.col(measure) / total * 100))
 
 

@@ -141,13 +141,13 @@ def normalize_protocols(df: DataFrame, now: Column, strict_chain: bool = False)
 def normalize_observations(df: DataFrame, names: DataFrame, now: Column) -> DataFrame:
     """Macro observations: one row per dated numeric value of a known series.
 
-    ``names`` is the fixed series table (four rows), hence the broadcast.
+    ``names`` is the table of series names.
     """
     rows = (df.select("series_id", F.explode("observations").alias("o"))
             .select("series_id", F.col("o.date").alias("observation_date"),
                     _number(F.col("o.value")).alias("value"))
             .filter(blank_to_null("observation_date").isNotNull() & F.col("value").isNotNull()))
-    return rows.join(F.broadcast(names), "series_id").select(
+    return rows.join(names, "series_id").select(
         F.lit(fv.MACRO_SOURCE).alias("source_system"),
         F.concat_ws(":", "series_id", "observation_date").alias("source_record_id"),
         "series_id", "series_name", "observation_date", "value",

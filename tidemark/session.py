@@ -48,10 +48,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; only where the session
-    names none (tests, a laptop) a temporary one."""
-    return (spark.conf.get("spark.checkpoint.dir", None)
-            or tempfile.mkdtemp(prefix="tidemark-"))
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only a session in one local
+    process (tests, a laptop) may name none and gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {master}: executors "
+                         "do not see each other's local folders")
+    return tempfile.mkdtemp(prefix="tidemark-")
 
 
 def run_folder(spark: SparkSession, purpose: str) -> str:

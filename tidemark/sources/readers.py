@@ -55,12 +55,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table as a file stream, whether it is one parquet file or a folder of them."""
+def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 100) -> DataFrame:
+    """A table as a file stream, whether it is one parquet file or a folder of them;
+    ``files_per_batch`` bounds a micro-batch."""
     path, schema = f"{folder.rstrip('/')}/{name}.parquet", read_table(spark, folder, name).schema
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if system.getFileStatus(target).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)

@@ -25,13 +25,10 @@ def overwrite_table(df: DataFrame, name: str) -> None:
 def overwrite_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
     """Replace the partitions present in ``df`` and leave the others alone.
 
-    The exchange on the partition columns plus a salt keeps the number of files small without
-    sending a whole hot partition to one task. The salt is a hash of the row, so a task rerun
-    after the loss of an executor sends every row where it went before.
+    The rows are rebalanced by the partition columns: files stay few, and a hot partition is split
+    into as many tasks as its measured size asks for.
     """
-    rest = [name for name in df.columns if name not in by] or list(by)
-    (df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(64)))
-     .repartition(*by, "_salt").drop("_salt")
+    (df.hint("rebalance", *by)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*by).parquet(path))
 

@@ -24,8 +24,9 @@ class SlidingWindow(StatefulProcessor):
     """State of a key: the admitted times inside the window (at most ``limit`` longs)."""
 
     def __init__(self, columns: list[str], ts: str, tie: list[str], limit: int,
-                 window: int) -> None:
+                 window: int, idle: int) -> None:
         self.columns, self.order, self.limit, self.window = columns, [ts, *tie], limit, window
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -33,7 +34,13 @@ class SlidingWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame],
                         timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        whole = pd.concat(list(rows))
+        lost = whole[self.order[0]].isna()
+        if lost.any():  # without a time there is no decision
+            yield whole.loc[lost, self.columns].assign(
+                admitted=pd.array([None] * int(lost.sum()), "boolean"),
+                retry_after_s=pd.array([None] * int(lost.sum()), "Int64"))
+        batch = whole[~lost].sort_values(self.order, kind="stable")
         times = batch[self.order[0]].to_numpy("datetime64[us]").astype(np.int64)
         held = list(self.held.get()[0]) if self.held.exists() else []
         admitted, retry, held = admit(times, held, self.limit, self.window)
@@ -41,7 +48,7 @@ class SlidingWindow(StatefulProcessor):
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         if held:
-            self.handle.registerTimer((held[-1] + self.window) // 1000 + 1)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
         yield batch[self.columns].assign(admitted=admitted, retry_after_s=retry)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -53,14 +60,15 @@ class SlidingWindow(StatefulProcessor):
 
 
 def stream_rate_limit(requests: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str],
-                      limit: int = 12, seconds: int = 60, delay: str = "1 minute") -> DataFrame:
-    """Adds ``admitted`` and ``retry_after_s``. Rows of a key are decided in time order within a
-    micro-batch; its size (files or offsets per trigger) bounds what one key brings at a time.
-    State is cleared once the watermark has passed the last admitted window. Needs the RocksDB
-    state store."""
+                      limit: int = 12, seconds: int = 60, idle_hours: float = 24) -> DataFrame:
+    """Adds ``admitted`` and ``retry_after_s`` to every row, late ones included. Rows of a key are
+    decided in time order within a micro-batch; a late row meets the admitted times that are held by
+    then. The size of a micro-batch (files or offsets per trigger) bounds what one key brings at a
+    time, so set it on the source. A key's state is cleared when it brought nothing for ``idle_hours``
+    of clock time. Rows without a time get null in both columns. Needs the RocksDB state store."""
     columns = requests.columns
     schema = T.StructType(list(requests.schema) + [
         T.StructField("admitted", T.BooleanType()), T.StructField("retry_after_s", T.LongType())])
-    return requests.withWatermark(ts, delay).groupBy(*key).transformWithStateInPandas(
-        SlidingWindow(columns, ts, list(tie), limit, seconds * 1_000_000), schema, "append",
-        "EventTime")
+    return requests.groupBy(*key).transformWithStateInPandas(
+        SlidingWindow(columns, ts, list(tie), limit, seconds * 1_000_000, int(idle_hours * 3_600_000)),
+        schema, "append", "ProcessingTime")

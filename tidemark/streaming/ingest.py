@@ -2,42 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark import schemas
-from tidemark.operators.validate import normalize_market, validate_market
+from tidemark.operators.validate import REASONS, Checked, normalize_market, validate_market
 from tidemark.sources.align import to_bronze_market
 from tidemark.sources.writers import append_new_rows
 
 
 def market_stream(spark: SparkSession, in_path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Feed files (JSON lines) as typed, validated bronze rows."""
+    """Feed files (JSON lines) as typed rows with the reasons against each."""
     feed = (spark.readStream.schema(schemas.MARKET_FEED)
             .option("maxFilesPerTrigger", files_per_batch).json(in_path))
     rows = normalize_market(feed, F.current_timestamp())
-    return to_bronze_market(validate_market(rows).good)
+    return validate_market(rows).checked
 
 
 def stream_ingest(rows: DataFrame, out_path: str, checkpoint: str,
                   keys: Sequence[str] = ("asset_id", "observed_at"), ts: str = "observed_at",
-                  delay: str = "2 days") -> DataStreamWriter:
+                  quarantine_path: str | None = None,
+                  finish: Callable[[DataFrame], DataFrame] | None = to_bronze_market
+                  ) -> DataStreamWriter:
     """Writer that inserts each key once.
 
-    Repeats within ``delay`` are dropped by watermarked state; later ones, and batches replayed
-    after a failure, are stopped by the merge against the target, whose scan is limited to the
-    time range of the batch. Reruns therefore change nothing.
+    Each micro-batch is merged into the target: repeats in it, keys that are there already, and
+    batches replayed after a failure add nothing, while a late or back-filled row is new and comes
+    in however old it is. The merge reads the target only in the time range of the batch. Rows that
+    failed their checks (a non-empty list of reasons) go to ``quarantine_path``, if one is given.
     """
     keys = list(keys)
-    once = rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
     def insert(batch: DataFrame, epoch: int) -> None:
         held = batch.persist()
-        if not held.isEmpty():
-            append_new_rows(batch.sparkSession, out_path, held, keys, prune_by=ts)
+        checked = Checked(held) if REASONS in held.columns else None
+        good = held if checked is None else checked.good
+        if checked is not None and quarantine_path:
+            bad = checked.quarantine
+            if not bad.isEmpty():
+                bad.write.mode("append").parquet(quarantine_path)
+        good = finish(good) if finish else good
+        if not good.isEmpty():
+            append_new_rows(batch.sparkSession, out_path, good, keys, prune_by=ts)
         held.unpersist()
 
-    return once.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
+    return rows.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)

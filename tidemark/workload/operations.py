@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import escalation
@@ -576,7 +577,7 @@ def _(v: Views):
 @query("latency_quartiles", """SELECT model_tier, min(latency_ms) AS low,
   quantile_cont(latency_ms, 0.25) AS q1, quantile_cont(latency_ms, 0.5) AS median,
   quantile_cont(latency_ms, 0.75) AS q3, max(latency_ms) AS high FROM usage
-  WHERE model_tier IN ('light', 'standard', 'complex') GROUP BY model_tier""", "q1 median q3")
+  WHERE latency_ms IS NOT NULL GROUP BY model_tier""", "q1 median q3")
 def _(v: Views):
     return metrics.latency_quartiles(v.role("usage"))
 
@@ -608,13 +609,12 @@ def _(v: Views):
     return metrics.alert_badges(counted)
 
 
-_RESOURCES = """SELECT * FROM (VALUES (0, 'external_sources', 'market_feed', 'job', 'market_ingestion_job'),
-  (1, 'external_sources', 'protocol_feed', 'job', 'protocol_ingestion_job'),
-  (2, 'data_plane', 'gold_serving', 'gold', NULL), (3, 'data_plane', 'scheduled_jobs', 'jobs', NULL),
-  (4, 'ai_analytics', 'genie', 'route', 'genie'), (5, 'ai_analytics', 'copilot', 'route', 'copilot'),
-  (6, 'ai_analytics', 'dashboard_api', 'route', 'dashboard_api'),
-  (7, 'applications', 'internal_app', 'route', 'internal_app'),
-  (8, 'applications', 'alerting', 'alerts', NULL)) AS x(position, layer, resource, evidence, key)"""
+# Every route and job found in the tables, and the three resources judged as a whole.
+_RESOURCES = """SELECT row_number() OVER (ORDER BY evidence, key) AS position, 'layer of ' || evidence AS layer,
+    coalesce(key, evidence) AS resource, evidence, key
+  FROM (SELECT 'job' AS evidence, job_name AS key FROM runs_r UNION ALL SELECT 'job', 'absent_job'
+    UNION ALL SELECT 'route', route_selected FROM routes UNION ALL SELECT 'route', 'absent_route'
+    UNION ALL SELECT unnest(['gold', 'jobs', 'alerts']), NULL)"""
 _RESOURCE_HEALTH = f"""SELECT position, layer, resource, CASE evidence
     WHEN 'gold' THEN CASE WHEN o.stale_freshness_count = 0 THEN 'healthy' ELSE 'warning' END
     WHEN 'jobs' THEN CASE WHEN (SELECT bool_and(bundle_readiness_status = 'ready') FROM runs_r)
@@ -638,11 +638,22 @@ _RESOURCE_HEALTH = f"""SELECT position, layer, resource, CASE evidence
     ON b.route_selected = x.key CROSS JOIN overview o CROSS JOIN alerts_r a"""
 
 
+def _resource_table(v: Views):
+    named = lambda df, name, kind: df.select(F.lit(kind).alias("evidence"), F.col(name).alias("key"))
+    rest = v.spark.createDataFrame([("job", "absent_job"), ("route", "absent_route"), ("gold", None), ("jobs", None),
+                                    ("alerts", None)], "evidence string, key string")
+    rows = (named(v.run_readiness, "job_name", "job").unionByName(named(ops.route_latest(v.release), "route_selected", "route"))
+            .unionByName(rest))
+    position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("evidence", F.col("key").asc_nulls_last()))
+    return rows.select(position.alias("position"), F.concat(F.lit("layer of "), "evidence").alias("layer"),
+                       F.coalesce("key", "evidence").alias("resource"), "evidence", "key")
+
+
 def _resources(v: Views):
     release = v.release
     return metrics.resource_health(
         ops.ready_overview(release), ops.route_latest(release), v.run_readiness,
-        v.alert_readiness, ops.alert_backlog(v.queue))
+        v.alert_readiness, ops.alert_backlog(v.queue), _resource_table(v))
 
 
 @query("resource_health", _RESOURCE_HEALTH)
@@ -665,7 +676,7 @@ _NEAR = "policy_max_cost_estimate > 0 AND total_cost_estimate >= policy_max_cost
 def _items(rows: str, clear: str, impact: str) -> str:
     return f"""WITH f AS ({rows}) SELECT * FROM (SELECT * FROM f UNION ALL
       SELECT 99, '', '{clear}', '{impact}', NULL WHERE NOT EXISTS (SELECT 1 FROM f))
-      ORDER BY priority, subject, rule LIMIT 6"""
+      ORDER BY priority, subject, rule"""
 
 
 @query("optimization_items", _items(f"""
@@ -710,7 +721,8 @@ def _(v: Views):
     CASE WHEN bool_and(bundle_readiness_status = 'ready') THEN 'ready' ELSE 'hold' END
   FROM runs_r""", "cost")
 def _(v: Views):
-    return metrics.infra_rows(ops.route_latest(v.release), v.run_readiness)
+    return metrics.infra_rows(ops.route_latest(v.release), v.run_readiness,
+                              ["genie", "copilot", "dashboard_api"])
 
 
 @query("spend_kpis", """SELECT sum(total_cost_usd) AS total_cost_usd,
@@ -723,9 +735,10 @@ def _(v: Views):
 
 @query("daily_tier_matrix", f"""SELECT day, coalesce(sum(cost_usd) FILTER (t = 'light'), 0) AS light,
   coalesce(sum(cost_usd) FILTER (t = 'standard'), 0) AS standard,
-  coalesce(sum(cost_usd) FILTER (t = 'complex'), 0) AS complex
+  coalesce(sum(cost_usd) FILTER (t = 'complex'), 0) AS complex,
+  coalesce(sum(cost_usd) FILTER (t NOT IN ('light', 'standard', 'complex')), 0) AS other
   FROM (SELECT *, coalesce(model_tier, 'standard') AS t FROM ({_DAILY})) GROUP BY day""",
-       "light standard complex")
+       "light standard complex other")
 def _(v: Views):
     return metrics.daily_tier_matrix(serving.daily_spend(v.role("usage"), AS_OF))
 
@@ -739,7 +752,7 @@ def _(v: Views):
     max(value) FILTER (series_name = 'M2 Growth') AS money FROM macro_latest_rows)""",
        "rate cpi money")
 def _(v: Views):
-    latest = serving.macro_latest(gold.gold_macro_regime(v.macro))
+    latest = serving.macro_latest(gold.gold_macro_regime(v.macro), limit=None)
     return metrics.market_regime(latest)
 
 
@@ -756,10 +769,12 @@ def _(v: Views):
 
 @query("series_arrays", f"""SELECT series_name,
   string_agg(observation_date, '|' ORDER BY observation_date DESC) AS dates,
-  CAST(count(*) AS INT) AS points FROM ({_MACRO}) GROUP BY series_name""")
+  string_agg(printf('%.3f', value), '|' ORDER BY observation_date DESC) AS points
+  FROM ({_MACRO.replace('LIMIT 8', '')}) GROUP BY series_name""")
 def _(v: Views):
-    rows = metrics.series_arrays(serving.macro_latest(gold.gold_macro_regime(v.macro)))
-    return rows.select("series_name", "dates", F.size("values").alias("points"))
+    rows = metrics.series_arrays(serving.macro_latest(gold.gold_macro_regime(v.macro), limit=None))
+    points = F.transform("values", lambda x: F.format_string("%.3f", x.cast("double")))
+    return rows.select("series_name", "dates", F.array_join(points, "|").alias("points"))
 
 
 @query("rank_series", """SELECT symbol AS label, market_cap_usd / 1e9 * 1e9 AS market_cap,

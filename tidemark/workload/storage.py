@@ -13,6 +13,7 @@ from tidemark.operators import validate
 from tidemark.session import run_folder
 from tidemark.sources import align, readers, writers
 from tidemark.workload.roles import AS_OF, role
+from tidemark.workload.text import admission_sql
 from tidemark.workload.views import Views, sql
 
 QUERIES: dict = {}
@@ -104,19 +105,19 @@ def _(v: Views):
     return v.spark.read.parquet(f"{path}/bronze").select("asset_id", "observed_at")
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", admission_sql("SELECT *, user_id AS k, ts AS seen FROM events", 2, 86400))
 def _(v: Views):
-    """Admission per event type on a stream of the event table."""
+    """Admission per user on a stream of the event table, two a day."""
     from tidemark.streaming.admission import stream_rate_limit
     path, before = run_folder(v.spark, "admission"), v.spark.conf.get(_PROVIDER)
     events = readers.stream_table(v.spark, v.folder, "events").select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id")
     v.spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
-        (stream_rate_limit(events, ["event_type"], "ts", ["event_id"], limit=3, seconds=3600)
+        (stream_rate_limit(events, ["user_id"], "ts", ["event_id"], limit=2, seconds=86400)
          .writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows")
          .option("checkpointLocation", f"{path}/checkpoint")
          .trigger(availableNow=True).start().awaitTermination())
     finally:
         v.spark.conf.set(_PROVIDER, before)
-    return v.spark.read.parquet(f"{path}/rows")
+    return v.spark.read.parquet(f"{path}/rows").select("event_id", "admitted", "retry_after_s")

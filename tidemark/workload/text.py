@@ -9,7 +9,7 @@ from tidemark.functions import text as T
 from tidemark.operators import access, drift, ml, requests
 from tidemark.operators.freshness import union_all
 from tidemark.plans.layers import register_layers
-from tidemark.session import run_folder
+from tidemark.session import cut_lineage, run_folder
 from tidemark.sources import readers
 from tidemark.streaming.health import stream_route_health
 from tidemark.workload.roles import AS_OF, ROLES
@@ -195,18 +195,22 @@ def _(v: Views):
     return drift.drift_psi(v.role("scores"), AS_OF)
 
 
-@query("drift_alert", f"""SELECT 'model_drift' AS kind, printf('Regime PSI=%.3f exceeds threshold 0.2 (24h distribution vs 7d-1d baseline, non-overlapping windows).', psi) AS message
-  FROM ({_PSI}) WHERE psi >= 0.2""")
+@query("drift_alert", f"""SELECT 'model_drift' AS kind, printf('Regime PSI=%.3f exceeds threshold 0.2 (24h distribution vs 7d-1d baseline, non-overlapping windows).', psi) AS message,
+  'model_drift_monitoring_job' AS source, true AS distributions FROM ({_PSI}) WHERE psi >= 0.2""")
 def _(v: Views):
-    return drift.drift_alert(v.role("scores"), AS_OF).select("kind", "message")
+    rows = drift.drift_alert(v.role("scores"), AS_OF)
+    told = F.col("message").rlike(r" dist_24h=\{'.+': 0.*\}, dist_baseline=\{'.+': 0.*\}$")
+    return rows.select("kind", F.substring_index("message", " dist_24h=", 1).alias("message"), "source",
+                       told.alias("distributions"))
 
 
 @query("retrain_trigger", f"""SELECT 'retrain_trigger' AS kind, 'Sustained regime drift detected: ' || n
-  || ' PSI breaches in last 3 days. Manual or automated retraining recommended.' AS message
+  || ' PSI breaches in last 3 days. Manual or automated retraining recommended.' AS message,
+  'model_drift_monitoring_job' AS source
   FROM (SELECT count(*) AS n FROM alerts WHERE kind = 'model_drift'
     AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY) WHERE n >= 3""")
 def _(v: Views):
-    return drift.retrain_trigger(v.role("alerts"), AS_OF).select("kind", "message")
+    return drift.retrain_trigger(v.role("alerts"), AS_OF).select("kind", "message", "source")
 
 
 # Models ---------------------------------------------------------------------------------------------
@@ -240,42 +244,62 @@ def _(v: Views):
     return ml.latest_snapshot(v.features)
 
 
-@query("train_regime")
+_RULE = """CASE WHEN avg_price_change_pct_7d > 5 THEN 'bull' WHEN avg_price_change_pct_7d < -5 THEN 'risk_off'
+  WHEN avg_price_change_pct_7d BETWEEN -2 AND 2 THEN 'neutral' ELSE 'bear' END"""
+
+
+@query("train_regime", f"""SELECT feature_date, {_RULE} AS regime, true AS learned FROM ({_DAILY}) WHERE {_WHOLE}""")
 def _(v: Views):
-    daily = ml.regime_features(v.features).persist()
-    model = ml.train_regime(daily)
-    return model.transform(ml.labelled(daily)).select("feature_date", "regime", "predicted_regime")
+    """Days with the rule's label; the forest must give most days of its own training their label."""
+    daily = cut_lineage(ml.regime_features(v.features))
+    rows = ml.train_regime(daily).transform(ml.labelled(daily))
+    right = F.avg(F.when(F.col("regime") == F.col("predicted_regime"), 1.0).otherwise(0.0))
+    learned = rows.agg((right >= 0.9).alias("learned"))
+    return rows.select("feature_date", "regime").crossJoin(F.broadcast(learned))
 
 
-@query("cv_gate")
+@query("cv_gate", f"""SELECT count(*) AS days, true AS consistent FROM ({_DAILY}) WHERE {_WHOLE}""")
 def _(v: Views):
-    daily = ml.regime_features(v.features).persist()
+    """Days judged, and whether the verdict follows from the accuracy."""
+    daily = cut_lineage(ml.regime_features(v.features))
     accuracy, passed = ml.cv_gate(daily)
-    return daily.agg(F.count(F.lit(1)).alias("days")).select(
-        "days", F.lit(accuracy).cast("double").alias("accuracy"), F.lit(passed).alias("passed"))
+    follows = (accuracy is None and not passed) or (accuracy is not None and 0 <= accuracy <= 1 and passed == (accuracy >= 0.6))
+    return daily.agg(F.count(F.lit(1)).alias("days")).select("days", F.lit(follows).alias("consistent"))
 
 
-@query("feature_importance")
+@query("feature_importance", "SELECT unnest([" + ", ".join(f"'{c}'" for c in ml.DAILY_FEATURES) + "]) AS feature, "
+       "true AS whole")
 def _(v: Views):
-    return ml.feature_importance(ml.train_regime(ml.regime_features(v.features).persist()))
+    """The features; their importances add up to 1, or to 0 where all days have one label."""
+    rows = ml.feature_importance(ml.train_regime(cut_lineage(ml.regime_features(v.features))))
+    whole = rows.agg(F.round(F.sum("importance"), 6).isin(0.0, 1.0).alias("whole"))
+    return rows.select("feature").crossJoin(F.broadcast(whole))
 
 
-@query("anomaly_scores")
+@query("anomaly_scores", "SELECT count(*) AS n, true AS within, true AS odd_first FROM lineitem")
 def _(v: Views):
+    """Rows labelled; at most 5 % of them odd, up to ties at the cut, and none odd below a normal one."""
     lines = readers.read_table(v.spark, v.folder, "lineitem")
     columns = ["l_quantity", "l_extendedprice", "l_discount"]
     ids = ["l_orderkey", "l_linenumber"]
-    return ml.fit_anomaly_scores(lines.select(*ids, *columns), columns, ids).drop("anomaly_raw")
+    rows = ml.fit_anomaly_scores(lines.select(*ids, *columns), columns, ids)
+    odd, raw = F.col("anomaly_score") == -1, F.col("anomaly_raw")
+    share = F.count_if(odd) / F.count(F.lit(1))
+    return rows.agg(F.count(F.lit(1)).alias("n"), share.between(0.02, 0.05).alias("within"),
+                    (F.min(F.when(odd, raw)) > F.max(F.when(~odd, raw))).alias("odd_first"))
 
 
-@query("score_assets")
+@query("score_assets", f"""SELECT asset_id, symbol, momentum_score, TIMESTAMP '{AS_OF}' AS scored_at, true AS valid
+  FROM features WHERE feature_date = (SELECT max(feature_date) FROM features)
+  AND price_change_pct_24h IS NOT NULL AND price_change_pct_7d IS NOT NULL AND dominance_pct_btc IS NOT NULL
+  AND vol_to_cap_ratio IS NOT NULL AND market_cap_usd IS NOT NULL""", "momentum_score")
 def _(v: Views):
-    features = v.features.persist()
-    daily = ml.regime_features(features).persist()
-    newest = features.filter("price_change_pct_24h IS NOT NULL AND price_change_pct_7d IS NOT NULL")
-    model = ml.train_anomaly(newest.select("asset_id", *ml.ANOMALY_FEATURES).na.drop(),
-                             ids=["asset_id"], trees=25)
-    return ml.score_assets(newest, ml.train_regime(daily), model, AS_OF)
+    features = v.features
+    daily = cut_lineage(ml.regime_features(features))
+    model = ml.train_anomaly(ml.latest_snapshot(features, keep=["asset_id"]), ids=["asset_id"])
+    rows = ml.score_assets(features, ml.train_regime(daily), model, AS_OF)
+    valid = F.col("anomaly_score").isin(-1, 1) & F.col("regime_confidence").between(0.25, 1.0) & F.col("predicted_regime").isin("bull", "bear", "neutral", "risk_off")
+    return rows.select("asset_id", "symbol", "momentum_score", "scored_at", valid.alias("valid"))
 
 
 @query("champion", """SELECT model_name, version, trained_at, cv_accuracy, path, previous_version
@@ -294,13 +318,30 @@ def _(v: Views):
     return ml.champion(runs)
 
 
+def admission_sql(events: str, limit: int, seconds: int) -> str:
+    """Admission event by event: each key's admitted times inside the window are carried along."""
+    width = seconds * 1_000_000
+    return f"""WITH RECURSIVE e AS (SELECT event_id, k, epoch_us(seen) AS t,
+      row_number() OVER (PARTITION BY k ORDER BY seen, event_id) AS n FROM ({events}) WHERE seen IS NOT NULL),
+    r AS (SELECT event_id, k, n, [t] AS held, true AS admitted, CAST(0 AS BIGINT) AS retry_after_s FROM e WHERE n = 1
+      UNION ALL SELECT event_id, k, n, CASE WHEN len(kept) < {limit} THEN list_append(kept, t) ELSE kept END,
+        len(kept) < {limit}, CASE WHEN len(kept) < {limit} THEN 0 ELSE greatest(1, (kept[1] + {width} - t) // 1000000) END
+      FROM (SELECT e.*, list_filter(r.held, lambda x: x > e.t - {width}) AS kept
+            FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1))
+    SELECT event_id, admitted, retry_after_s FROM r
+    UNION ALL SELECT event_id, NULL, NULL FROM ({events}) WHERE seen IS NULL"""
+
+
 # Admission and streams ------------------------------------------------------------------------------
 
-@query("rate_limit")
+@query("rate_limit", admission_sql("""SELECT *, concat_ws(':', user_id, event_type) AS k,
+    CASE WHEN event_id % 97 <> 0 THEN ts END AS seen FROM events""", 1, 86400))
 def _(v: Views):
+    """Admission per user and event type, one a day; every 97th event has lost its time."""
     events = readers.read_table(v.spark, v.folder, "events").select(
-        "event_id", "ts", "event_type", "user_id")
-    return requests.rate_limit(events, ["event_type"], "ts", ["event_id"], limit=3, seconds=3600)
+        "event_id", F.when(F.col("event_id") % 97 != 0, F.col("ts")).alias("ts"), "event_type", "user_id")
+    rows = requests.rate_limit(events, ["user_id", "event_type"], "ts", ["event_id"], limit=1, seconds=86400)
+    return rows.select("event_id", "admitted", "retry_after_s")
 
 
 @query("stream_route_health", "SELECT * FROM health WHERE hour_bucket < (SELECT max(hour_bucket) "
