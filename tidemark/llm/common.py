@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import run_folder
+from tidemark.session import run_folder, ship_package
 
 # A word: a run without space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,6 +14,19 @@ GAP = r"[\x20\x09-\x0D]+"
 LOWEST = -(1 << 63)
 
 
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before Python reads texts: ship this package to the workers, and let a batch hold 1,000 texts
+    instead of Spark's default of 10,000, unless the session has another number. Texts of some kilobytes
+    make batches of some megabytes then, on both sides of the pipe."""
+    ship_package(spark)
+    name, default, texts = ARROW_ROWS
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, texts)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

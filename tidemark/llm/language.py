@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import ship_package
+from tidemark.llm.common import prepare
+
 
 ORDER = 3  # bytes of the longest context
 FIT_DOCUMENTS = 1000  # expected number of whole texts per language from which the trees are grown
@@ -156,7 +157,7 @@ def identify(docs: DataFrame, per_language: int = FIT_DOCUMENTS) -> DataFrame:
     with score 0. A null doc_id is in no fold: it is neither learned from nor held out. Rows are judged
     one by one from the text alone, so repeated rows agree; an empty table gives no rows."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     trees = spark.sparkContext.broadcast(fit(docs, per_language))  # bounded by the sample
     names = ["doc_id", "held_out", "lang_pred", "score"]
 

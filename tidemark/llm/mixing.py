@@ -13,8 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle, word_count
-from tidemark.session import ship_package
+from tidemark.llm.common import prepare, settle, word_count
 
 WEIGHTS = (3, 1, 2)  # of the sources in code point order, null last, repeating
 SHARE = 1.5  # of all words
@@ -115,7 +114,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     own, last in order. Each source takes its target, rounded to a word; no document exceeds twice
     its size. The order is a hash of doc_id, ties are settled by size, and equal rows can stand for
     each other, so reruns agree. An empty table gives no rows."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                               F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"),
                               word_count(F.col("text")).alias("size")), "sizes")

@@ -16,11 +16,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle
-from tidemark.session import ship_package
+from tidemark.llm.common import prepare, settle
 
 SHINGLE = 5  # words
 PERCENT = 85  # least similarity of a link
@@ -30,10 +30,12 @@ COORDINATES = 128  # of a signature
 AGREE = 87
 TREES = 10  # a pair at the threshold shares a first node with 0.85 each: 6 in 1e9 pairs share none
 BRANCHES = 2  # coordinates by which a node branches; on average 1.7 children keep such a pair together
-NODE = 1024  # documents that are compared exhaustively
+NODE = 2048  # documents that are compared exhaustively
+BLOCK = 1024  # documents of a block of a larger group
 DEPTH = 6  # levels below the first; larger nodes then are compared in blocks, all against all
 SET_LIMIT = 1_000_000  # shingles compared in one task
-CHUNK = 1 << 21  # text bytes hashed at once
+CHUNK = 1 << 20  # text bytes hashed at once
+BROADCAST_ROWS = 200_000  # more clustered documents than these are joined with the texts by a shuffle
 
 _RANDOM = np.random.default_rng(20240607)
 _BYTES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -100,13 +102,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def _in_chunks(texts: list[bytes]) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _in_chunks(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(index of the first text, sets) for runs of texts of about CHUNK bytes."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        held += size
         if held >= CHUNK or i + 1 == len(texts):
-            yield start, shingle_sets(texts[start:i + 1])
+            yield start, shingle_sets(texts.slice(start, i + 1 - start).to_pylist())
             start, held = i + 1, 0
 
 
@@ -116,8 +118,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch["doc_id"], batch["text"].to_pylist()
-            for start, sets in _in_chunks(texts):
+            ids = batch["doc_id"]
+            for start, sets in _in_chunks(batch["text"]):
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(start, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
@@ -178,7 +180,7 @@ def leaves(documents: DataFrame) -> DataFrame:
         if large.isEmpty():
             break
         if level == DEPTH:
-            found.append(block_pairs(large.withColumn("blocks", F.ceil(F.col("size") / NODE).cast("int")), "node", "v")
+            found.append(block_pairs(large.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "node", "v")
                          .select("node", "part", "other", "v"))
         else:
             rows = next_nodes(large.join(documents.select("v", "signature"), "v"))
@@ -275,7 +277,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = batch.drop_columns(["text"])
-            for start, found in _in_chunks(batch["text"].to_pylist()):
+            for start, found in _in_chunks(batch["text"]):
                 yield pa.RecordBatch.from_arrays([*rest.slice(start, len(found)).columns, pa.array(
                     [s.tobytes() for s in found], pa.binary())], [*rest.schema.names, "shingles"])
 
@@ -301,8 +303,10 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
         return links
 
     weight = clusters.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
-    blocks = F.greatest(F.ceil(F.col("n") / SET_LIMIT), F.ceil(F.col("m") / NODE)).cast("int")
-    members = clusters.select("v", "c").join(weight.select("c", blocks.alias("blocks")), "c")
+    blocks = F.greatest(F.ceil(F.col("n") / SET_LIMIT), F.ceil(F.col("m") / BLOCK)).cast("int")
+    members = settle(clusters.select("v", "c").join(weight.select("c", blocks.alias("blocks")), "c"), "members")
+    if members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        members = F.broadcast(members)  # then the texts of all others stay where they are
     held = _texts(docs).join(members, F.col("doc_id") == F.col("v")).select("v", "c", "blocks", "text")
     rows = held.mapInArrow(sets, "v long, c long, blocks int, shingles binary")
     rows = block_pairs(rows, "c", "v").select("c", "part", "other", "v", "shingles")
@@ -348,7 +352,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     that it is the row's own. Rows that share a doc_id are one vertex and share a component. A row with a
     null doc_id is no vertex: it takes the component of the equal sets, none if there are none, and is kept
     then. An empty table gives no rows."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     signed = settle(signatures(docs), "signatures")
     groups = settle(signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("v"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "sets")

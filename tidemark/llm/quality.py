@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import WORD, settle
-from tidemark.session import ship_package
+from tidemark.llm.common import WORD, prepare, settle
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -62,12 +61,12 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 
 def counted(docs: DataFrame) -> DataFrame:
     """Adds ``_counts``, a struct of ``_COUNTS``, to the rows; all their columns stay."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = T.StructType([T.StructField(name, T.LongType()) for name in _COUNTS])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_counts(text) for text in batch["text"].to_pylist()]
+            rows = [text_counts(text.as_py()) for text in batch["text"]]
             columns = list(zip(*rows)) or [()] * len(_COUNTS)
             counts = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], _COUNTS)
             yield pa.RecordBatch.from_arrays([*batch.columns, counts], [*batch.schema.names, "_counts"])

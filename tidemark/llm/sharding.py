@@ -14,8 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWEST, settle, unsigned_crc32
-from tidemark.session import ship_package
+from tidemark.llm.common import LOWEST, prepare, settle, unsigned_crc32
 
 OVERHEAD = 16  # bytes a record costs besides its text
 WHOLE = 32  # groups of equal texts up to 1/WHOLE of a shard are never cut
@@ -108,7 +107,7 @@ def byte_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     share a place in the order and get any of its slots. An empty table gives no rows. ``grown_shard``
     is null, as this law fills shards by bytes.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = settle(record_sizes(docs), "sizes")
     total = rows.agg(F.sum("size")).first()[0] or 1
     # At most WHOLE * shards groups can be larger than 1/WHOLE of a shard, hence the broadcast.
