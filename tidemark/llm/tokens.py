@@ -10,11 +10,13 @@ lowest int64 for null) and uint32 ids, then uint32 number of blocks and the uint
 block, then the blocks: BLOCK ids (the last may have fewer) of ``width`` bits, lowest bit first, each
 block filled to a whole byte; uint64 order (partition << 32 | file), and the line end.
 
-Flat file: ids as little-endian uint16 (uint32 beyond 2**16), uint64 order, the line end; no index.
+Flat file: ids as little-endian uint16 (uint32 beyond 2**16), uint64 order, the line end; no index. It
+is gzipped at rest.
 """
 
 from __future__ import annotations
 
+import gzip
 import os
 import re
 import struct
@@ -28,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWEST, settle
-from tidemark.session import run_folder, ship_package
+from tidemark.llm.common import LOWEST, prepare, settle
+from tidemark.session import run_folder
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -162,13 +164,13 @@ def flat_file(ids: list[np.ndarray], doc_ids: list[int], width: int, order: int)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, make=packed_file,
-                 special: bool = True, ordered: bool = True) -> int:
+                 special: bool = True, ordered: bool = True, compression: str = "none") -> int:
     """Encode whole texts (null: empty), each followed by ``end_id``, into files below ``path``; returns
     the width in bits. ``ordered`` brings them into ascending doc_id order (nulls first, ties by a hash of the
     text), in partitions of about PARTITION_BYTES; else they stay in the order of the partitions given, unshuffled.
 
     A file holds about FILE_IDS ids, whatever the input's size."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     width = max(1, int(max(encoder(vocabulary, special).size() - 1, end_id)).bit_length())
@@ -202,7 +204,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, make=
                 .repartitionByRange(max(1, -(-n_bytes // PARTITION_BYTES)), F.col("doc_id").asc_nulls_first(), "tie")
                 .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").drop("tie"))
     (rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))
-     .write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path))
+     .write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", compression).text(path))
     return width
 
 
@@ -250,7 +252,8 @@ def packed(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID)
     return rows.select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def scan_separators(files: DataFrame, end_id: int, wide: bool = False, block: int = 1 << 18) -> DataFrame:
+def scan_separators(files: DataFrame, end_id: int, wide: bool = False, block: int = 1 << 18,
+                    zipped: bool = False) -> DataFrame:
     """(doc_no, start, n_tokens) from flat token files: a document ends with each ``end_id``.
 
     Files are cut into blocks; numpy finds the separators of a block. A prefix scan over one row per
@@ -259,6 +262,9 @@ def scan_separators(files: DataFrame, end_id: int, wide: bool = False, block: in
     kind, names = ("<u4" if wide else "<u2"), ["order", "block", "size", "n_ends", "first_end", "last_end"]
 
     def ids_of(raw: bytes) -> tuple[int, np.ndarray]:
+        raw = gzip.decompress(raw) if zipped else raw
+        if not raw:  # the file that the sink writes for no rows
+            return 0, np.array([], kind)
         return struct.unpack("<Q", raw[-9:-1])[0], np.frombuffer(raw, kind, (len(raw) - 9) // np.dtype(kind).itemsize)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,5 +322,6 @@ def counted_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int =
     stay ordinary text, so it holds no other separators. A null text has the separator alone; repeated
     rows count each; an empty table gives no rows."""
     spark, path = docs.sparkSession, run_folder(docs.sparkSession, "flat")
-    width = write_tokens(docs, path, vocabulary or vocabulary_path(), end_id, flat_file, special=False, ordered=False)
-    return scan_separators(token_files(spark, path), end_id, wide=width > 16)
+    width = write_tokens(docs, path, vocabulary or vocabulary_path(), end_id, flat_file, special=False, ordered=False,
+                         compression="gzip")
+    return scan_separators(token_files(spark, path), end_id, wide=width > 16, zipped=True)
