@@ -24,9 +24,8 @@ class SlidingWindow(StatefulProcessor):
     """State of a key: the admitted times inside the window (at most ``limit`` longs)."""
 
     def __init__(self, columns: list[str], ts: str, tie: list[str], limit: int,
-                 window: int, idle: int) -> None:
+                 window: int) -> None:
         self.columns, self.order, self.limit, self.window = columns, [ts, *tie], limit, window
-        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -45,30 +44,22 @@ class SlidingWindow(StatefulProcessor):
         held = list(self.held.get()[0]) if self.held.exists() else []
         admitted, retry, held = admit(times, held, self.limit, self.window)
         self.held.update((held,))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if held:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
         yield batch[self.columns].assign(admitted=admitted, retry_after_s=retry)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.held.clear()
-        return iter(())
-
     def close(self) -> None:
         pass
 
 
 def stream_rate_limit(requests: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str],
-                      limit: int = 12, seconds: int = 60, idle_hours: float = 24) -> DataFrame:
+                      limit: int = 12, seconds: int = 60) -> DataFrame:
     """Adds ``admitted`` and ``retry_after_s`` to every row, late ones included. Rows of a key are
     decided in time order within a micro-batch; a late row meets the admitted times that are held by
     then. The size of a micro-batch (files or offsets per trigger) bounds what one key brings at a
-    time, so set it on the source. A key's state is cleared when it brought nothing for ``idle_hours``
-    of clock time. Rows without a time get null in both columns. Needs the RocksDB state store."""
+    time, so set it on the source. State is at most ``limit`` times per key and has no timer: one in
+    event time would drop late rows, one in clock time keeps an available-now run from ending. Rows without a time get null in both columns. Needs the RocksDB state store."""
     columns = requests.columns
     schema = T.StructType(list(requests.schema) + [
         T.StructField("admitted", T.BooleanType()), T.StructField("retry_after_s", T.LongType())])
     return requests.groupBy(*key).transformWithStateInPandas(
-        SlidingWindow(columns, ts, list(tie), limit, seconds * 1_000_000, int(idle_hours * 3_600_000)),
-        schema, "append", "ProcessingTime")
+        SlidingWindow(columns, ts, list(tie), limit, seconds * 1_000_000),
+        schema, "append", "None")
