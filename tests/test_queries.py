@@ -26,6 +26,6 @@ def test_entry_has_rows_and_a_stable_schema(spark):
 
 
 def test_every_own_query_has_sql():
-    """Queries of the corpus operators are held against brute force in their own tests."""
-    own = {name for name in entry.queries() if not name.startswith("op") or not name[2].isdigit()} - {"pipeline"}
-    assert own == set(entry.oracle_sql())
+    """Queries of the corpus operators are held against brute force in their own tests; some have SQL too."""
+    corpus = {name for name in entry.queries() if name.startswith("op") and name[2].isdigit()} | {"pipeline"}
+    assert set(entry.queries()) - corpus == set(entry.oracle_sql()) - corpus
