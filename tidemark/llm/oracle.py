@@ -3,6 +3,7 @@ whole lists, for tables of a size that one process can hold."""
 
 from __future__ import annotations
 
+from tidemark.llm import secret_scan
 from tidemark.llm.common import WORD
 from tidemark.llm.decontamination import ITEM_WORD
 from tidemark.llm.quality import FENCE, MAX_REPEAT_PERCENT, MEASURES, MIN_DOCUMENTS, MIN_WORDS
@@ -129,3 +130,48 @@ reached(v, c) AS (
 least_reached AS (SELECT v, min(c) AS c FROM reached GROUP BY v)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
 FROM texts LEFT JOIN sizes USING (doc_id) LEFT JOIN least_reached ON v = doc_id"""
+
+# Letters in either case are spelled out, as case-blind matching here goes beyond ASCII.
+_EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+                   for word in ("password", "passwd", "secret", "token", "api_?key"))
+_PATTERNS = (rf"""({_EITHER})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "AKIA[A-Z0-9]+", "[0-9a-f]+",
+             "[A-Za-z0-9+/_=-]+")
+_PIECES = " UNION ALL ".join(
+    "SELECT r, {0} AS kind, string_split_regex(t, '{1}') AS gaps, regexp_extract_all(t, '{1}') AS found, "
+    "regexp_extract_all(t, '{1}', {2}) AS parts FROM texts".format(kind, pattern.replace("'", "''"), 0 if kind else 2)
+    for kind, pattern in enumerate(_PATTERNS))
+_BITS = " ".join(f"WHEN regexp_matches(part, '{pattern}') THEN {secret_scan.most(bits)}"
+                 for pattern, bits in secret_scan.CLASSES.values())
+_ALLOWED = " OR ".join(f"regexp_matches(part, '{pattern}')" for pattern in secret_scan.ALLOWED)
+_SCALED = [secret_scan.scaled(c) for c in range(secret_scan.WINDOW + 1)]
+_LIST = f"{list(secret_scan.KINDS)}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop"
+
+SECRETS = f"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+pieces AS (
+  SELECT r, kind, unnest(found) AS hit, unnest(parts) AS part, unnest(gaps[1:len(found)]) AS gap,
+         unnest(range(1, len(found) + 1)) AS j FROM ({_PIECES})),
+located AS MATERIALIZED (
+  SELECT r, kind, part, stop - length(hit) AS start, stop
+  FROM (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY r, kind ORDER BY j) AS BIGINT) AS stop FROM pieces)),
+base AS MATERIALIZED (
+  SELECT r, kind, start, stop FROM located WHERE length(part) >= [{secret_scan.ASSIGN_LENGTH}, 18, 16][kind + 1] AND kind < 3),
+candidates AS (
+  SELECT r, part, start, CASE {_BITS} END AS most FROM located
+  WHERE kind = 3 AND length(part) >= {secret_scan.WINDOW} AND regexp_matches(part, '[0-9]') AND NOT ({_ALLOWED})),
+windows AS (
+  SELECT r, start, most, k, list_histogram(string_split(substr(part, k + 1, {secret_scan.WINDOW}), '')) AS counts
+  FROM (SELECT *, unnest(range(0, length(part) - {secret_scan.WINDOW - 1})) AS k FROM candidates)),
+dense AS (
+  SELECT r, start + min(k) AS start, start + max(k) + {secret_scan.WINDOW} AS stop FROM windows w
+  WHERE list_sum(list_transform(map_values(counts), lambda c: {_SCALED}[c::BIGINT + 1])) <= most GROUP BY r, w.start),
+spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT r, 3, start, stop FROM dense d
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = d.r AND b.start < d.stop AND d.start < b.stop)),
+listed AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg({_LIST}) FILTER (kind < 3) AS base, string_agg({_LIST}) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN listed USING (r)"""

@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {
 # query against brute force alone.
 SQL: dict[str, str] = {
     "op1_adaptive_quality": oracle.QUALITY,
+    "op5_entropy_secrets": oracle.SECRETS,
     "op8_positional_index": oracle.DECONTAMINATION,
     "op9_sampled_shards": oracle.SHARDS,
     "op10_chosen_path": oracle.NEAR_DUPLICATES,
