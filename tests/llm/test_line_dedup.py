@@ -2,6 +2,7 @@ import random
 
 from tests.llm.cases import empty, frame, odd, odd_rows, prose, real
 from tidemark.llm import line_dedup
+from tidemark.llm.workload import QUERIES
 
 
 def within_one(a, b):
@@ -89,3 +90,39 @@ def test_odd_rows(spark):
 def test_runs_no_python(spark):
     plan = line_dedup.line_report(odd(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def brute_every(rows):
+    """doc_id -> (n_lines, n_long, n_kept, kept_sum, n_compared) when all lines that are not blank take part."""
+    rows, least = sorted(rows), 20
+    takes_part = lambda x: len(x) >= least or bool(x.strip(" \t\n\x0b\x0c\r"))
+    first = {}
+    for doc_id, text in rows:
+        for i, line in enumerate((text or "").split("\n")):
+            if takes_part(line):
+                first.setdefault(line, (doc_id, i))
+    long = [x for x in first if len(x) >= least]
+    dropped = {b for b in long for a in long if first[a] < first[b] and within_one(a, b)}
+    out = {}
+    for doc_id, text in rows:
+        lines = [] if text is None else text.split("\n")
+        kept = [i + 1 for i, x in enumerate(lines) if first.get(x) == (doc_id, i) and x not in dropped]
+        out[doc_id] = (len(lines), sum(len(x) >= least for x in lines), len(kept), sum(kept), sum(map(takes_part, lines)))
+    return out
+
+
+def test_query_drops_repeats_of_short_lines(spark, tmp_path):
+    short = ["Menu", "Log in", "menu", "x" * 19, "x" * 20, "", " \t", " " * 25, "\u00a0", "é中😀"]
+    rng = random.Random(8)
+    rows = [(i, None if t is None else "\n".join([t, *rng.choices(short, k=rng.randint(0, 5))])) for i, t in edited(rng)]
+    frame(spark, [(i, t, "en", "a", 0) for i, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_every(rows)
+    assert report(QUERIES["op7_line_neighbours"](spark, str(tmp_path))) == want
+    assert sum(w[2] for w in want.values()) < sum(w[4] for w in want.values())
+
+
+def test_cleaned_texts_of_every_line(spark):
+    a, b = "the first line of the text", "the first line of the texts"
+    docs = frame(spark, [(1, f"{a}\nshort\n{a}\n\nshort\n", "en", "x", 0), (2, f"{b}\n\nshort\nshorts", "en", "x", 0), (3, None, "en", "x", 0)])
+    got = {r.doc_id: r.text for r in line_dedup.cleaned(docs, every=True).collect()}
+    assert got == {1: f"{a}\nshort\n\n", 2: "\nshorts", 3: None}

@@ -4,6 +4,10 @@ Two lines within one edit have a variant in common: the lines themselves, or wha
 character of each goes. Variants are emitted as hashed keys and equal ones joined. As one edit leaves
 the first or the last half of a line alone, variants are needed only of lines that share a half with
 another line; this loses no pair.
+
+Equal lines need no variants: with ``every``, all lines that are not blank are grouped by their hashes, and
+MIN_CHARS only says which lines are compared within an edit. A blank line (nothing but space and \\t to \\r)
+of fewer code points parts paragraphs and always stays.
 """
 
 from __future__ import annotations
@@ -11,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle
+from tidemark.llm.common import WORD, settle
 
-MIN_CHARS = 20  # shorter lines are left alone: one edit would change too much of them
+MIN_CHARS = 20  # shorter lines are not compared within an edit: it would change too much of them
 BROADCAST_ROWS = 200_000  # longer lists of keys or lines are joined by a shuffle
 LAST = (1 << 63) - 1  # stands for a null doc_id, which comes last
 
@@ -27,15 +31,21 @@ def hashed(value: Column) -> tuple[Column, Column]:
     return F.xxhash64(value), F.xxhash64(F.lit(1), value)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(_id, _h, line_no, line, h1, h2): the lines of at least MIN_CHARS code points.
+def compared(line: Column, every: bool) -> Column:
+    """Whether a line can be dropped: it is not blank (``every``), or has at least MIN_CHARS code points."""
+    long = F.length(line) >= MIN_CHARS
+    return line.rlike(WORD) | long if every else long
+
+
+def lines(docs: DataFrame, every: bool = False) -> DataFrame:
+    """(_id, _h, line_no, line, h1, h2): the lines that are ``compared``.
 
     (_id, _h) names a document by doc_id and a hash of its text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(text).alias("_h"),
                        F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     h1, h2 = hashed(F.col("line"))
-    return rows.filter(F.length("line") >= MIN_CHARS).withColumn("h1", h1).withColumn("h2", h2)
+    return rows.filter(compared(F.col("line"), every)).withColumn("h1", h1).withColumn("h2", h2)
 
 
 def half_keys(line: Column) -> Column:
@@ -50,9 +60,9 @@ def half_keys(line: Column) -> Column:
     return F.concat(first, last)
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
+def distinct_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     """(h1, h2, first, n): each distinct line with its earliest place and its number of places."""
-    return lines(docs).groupBy("h1", "h2").agg(F.min(F.struct("_id", "_h", "line_no")).alias("first"),
+    return lines(docs, every).groupBy("h1", "h2").agg(F.min(F.struct("_id", "_h", "line_no")).alias("first"),
                                                F.count(F.lit(1)).alias("n"))
 
 
@@ -107,40 +117,47 @@ def near_pairs(near: DataFrame) -> DataFrame:
     return both.filter(F.levenshtein("line", "earlier", 1) >= 0).select("h1", "h2", "k1", "k2")
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """(_id, _h, line_no): places of long lines that stay: the earliest of equal lines, unless an
-    earlier different line is within one edit."""
-    distinct = settle(distinct_lines(docs), "lines")
+def kept_lines(docs: DataFrame, every: bool = False) -> DataFrame:
+    """(_id, _h, line_no): places of compared lines that stay: the earliest of equal lines, unless it is
+    long and an earlier different long line is within one edit."""
+    distinct = settle(distinct_lines(docs, every), "lines")
     near = settle(near_lines(docs, distinct), "near")
     dropped = settle(near_pairs(near).select("h1", "h2").distinct(), "dropped")
     return distinct.join(small(dropped), ["h1", "h2"], "left_anti").select("first.*")
 
 
-def line_report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_long, n_kept, kept_sum.
+def line_report(docs: DataFrame, every: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_long, n_kept, kept_sum; with ``every`` also n_compared.
 
-    Lines are pieces between line feeds; those under 20 code points are never dropped and not compared.
-    ``n_kept`` counts the long lines that stay and ``kept_sum`` adds their numbers, from 1. Order is by
+    Lines are pieces between line feeds. With ``every``, as in the registered query, all lines that are not
+    blank are compared for equality and those of at least 20 code points also within an edit; blank lines
+    under 20 stay and count nowhere but in ``n_lines``. Without it, only lines of at least 20 take part.
+    ``n_long`` counts the lines of at least 20 and ``n_compared`` those that take part; ``n_kept`` counts
+    those of them that stay and ``kept_sum`` adds their numbers, from 1. Order is by
     doc_id (null last), a hash of the text, and line number. A null text has no lines. Equal rows share
     their lines: both keep them. An empty table gives no rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = (kept_lines(docs).groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("n_kept"),
-                                                      F.sum(F.col("line_no") + 1).alias("kept_sum")))
+    kept = (kept_lines(docs, every).groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("n_kept"),
+                                                             F.sum(F.col("line_no") + 1).alias("kept_sum")))
     pieces = F.split(text, "\n", -1)
+    size = lambda kind: F.size(F.filter(pieces, lambda x: compared(x, kind))).cast("long")
+    more = [size(True).alias("n_compared")] if every else []
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"),
         F.xxhash64(text).alias("_h"), F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).cast("long").alias("n_lines"),
-        F.size(F.filter(pieces, lambda x: F.length(x) >= MIN_CHARS)).cast("long").alias("n_long"))
+        size(False).alias("n_long"), *more)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.join(kept, ["_id", "_h"], "left").select("doc_id", "n_lines", "n_long", zero("n_kept"), zero("kept_sum"))
+    return rows.join(kept, ["_id", "_h"], "left").select(
+        "doc_id", "n_lines", "n_long", zero("n_kept"), zero("kept_sum"), *["n_compared"] * every)
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """The documents with the dropped lines taken out of their texts; all columns stay."""
-    kept = (kept_lines(docs).groupBy("_id", "_h").agg(F.collect_list("line_no").alias("_kept")))  # as long as the document
+def cleaned(docs: DataFrame, every: bool = False) -> DataFrame:
+    """The documents with the dropped lines taken out of their texts; all columns stay. ``every`` is as in
+    ``line_report``: with it, repeats of short lines go too."""
+    kept = (kept_lines(docs, every).groupBy("_id", "_h").agg(F.collect_list("line_no").alias("_kept")))  # as long as the document
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_h", F.xxhash64(text))
-    stays = F.filter(F.split(text, "\n", -1), lambda x, i: (F.length(x) < MIN_CHARS) | F.coalesce(
+    stays = F.filter(F.split(text, "\n", -1), lambda x, i: ~compared(x, every) | F.coalesce(
         F.array_contains("_kept", i), F.lit(False)))
     return (rows.join(kept, ["_id", "_h"], "left")
             .withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(stays, "\n")))
