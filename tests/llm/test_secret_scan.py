@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -74,3 +75,34 @@ def test_odd_rows(spark):
 def test_runs_no_python(spark):
     plan = secret_scan.scan(odd(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def dense(text):
+    """The entropy spans of ``text``, where a window in a run of hexadecimal digits has the limit of these."""
+    out = []
+    for m in RUN.finditer(text):
+        run = m[0]
+        if len(run) < 20 or not re.search("[0-9]", run) or any(re.search(p, run) for p in secret_scan.ALLOWED):
+            continue
+        bits = next(b for p, b in secret_scan.CLASSES.values() if re.search(p, run))
+        hexes = [h.span() for h in re.finditer("[0-9A-Fa-f]+", run) if not h[0].isdigit()]
+        limits = [3.0 if any(a <= i and i + 20 <= z for a, z in hexes) else bits for i in range(len(run) - 19)]
+        good = [i for i, b in enumerate(limits) if sum(
+            map(secret_scan.scaled, collections.Counter(run[i:i + 20]).values())) <= secret_scan.most(b)]
+        if good:
+            out.append(f"entropy:{m.start() + good[0]}:{m.start() + good[-1] + 20}")
+    return ",".join(out)
+
+
+def test_hex_keys_behind_names_and_paths(spark):
+    rng = random.Random(4)
+    key = lambda n, digits="0123456789ABCDEF": "".join(rng.choice(digits) for _ in range(n))
+    keys = [f"{before}{key(n)}" for before in ("", "KEY=", "id_", "path/", "LICENSE_KEY=", "x1-") for n in (40, 64) for _ in range(20)]
+    others = [key(30) + "/x_" + key(24), "q1_" + key(30, "0123456789"), key(5) + "_q1_" + key(40, "0123456789") + "=", "12AB_34" + key(25, "AB"),
+              "1" + key(30, "0123456789") + "_A" + key(30, "0123456789"), "KEY=" + key(19) + "_" + key(19), "K3Y=" + "A1" * 20]
+    texts = keys + [f"say {x}, then" for x in others]
+    docs = frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
+    assert all(got[i] for i in range(len(keys)))
+    plain = [i for i, t in enumerate(texts) if not brute(t)[0] + brute(t)[1] + brute(t)[2]]
+    assert len(plain) > len(keys) // 2 and {i: got[i] for i in plain} == {i: dense(texts[i]) for i in plain}

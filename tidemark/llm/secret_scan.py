@@ -2,6 +2,9 @@
 
 Positions are code points. Matches are leftmost and do not overlap within a kind: the text is split
 at the matches, and the lengths of pieces and matches add up to positions.
+
+A window within a run of hexadecimal digits is judged as such wherever the run stands, so a name, path or sign
+before a key does not raise its limit. Runs of decimal digits alone are no such runs.
 """
 
 from __future__ import annotations
@@ -22,8 +25,12 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20  # characters
 # Candidates: maximal runs of these characters that hold a digit.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
-# Character class -> (pattern of the whole candidate, least bits per character in some window).
+# Character class -> (pattern, least bits per character in some window). A window takes the limit of its
+# candidate's class, and that of "hex" if it lies in a run of HEX_DIGIT that is not of decimal digits alone.
 CLASSES = {"hex": (r"^[0-9A-Fa-f]+$", 3.0), "alnum": (r"^[A-Za-z0-9]+$", 3.8), "base64": (r"^", 3.8)}
+HEX_DIGIT = "[0-9A-Fa-f]"
+# Each digit of such a run of decimal digits alone.
+DECIMAL = rf"(?:(?!^)\G|(?<!{HEX_DIGIT})(?=[0-9]+(?!{HEX_DIGIT})))[0-9]"
 # Candidates that are no secrets: digits alone, UUIDs, words and numbers joined by signs, examples.
 ALLOWED = (r"^[0-9]+$",
            r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
@@ -67,11 +74,13 @@ def _spans(matches: Column, kind: str) -> Column:
         m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
 
 
-def _window_scan(chars: Column, limit: Column) -> Column:
-    """struct<first, last>: the ends of the windows whose sum is within ``limit``.
+def _window_scan(chars: Column, hexes: Column, limit: Column) -> Column:
+    """struct<first, last>: the ends of the windows whose sum is within ``limit``, or within that of "hex"
+    where all their ``hexes`` are '#'.
 
     The sum of count * log2(count) changes by two table differences per step: one for the character
     that leaves and one for the character that enters."""
+    hex_limit = F.lit(most(CLASSES["hex"][1]))
     table = F.array(*[F.lit(scaled(c)) for c in range(WINDOW + 2)])
 
     def count(low: Column, size: Column, char: Column) -> Column:
@@ -84,15 +93,16 @@ def _window_scan(chars: Column, limit: Column) -> Column:
         low = F.greatest(i - WINDOW + 1, F.lit(1))
         now = count(low, i - low, F.element_at(chars, i))
         total = state["total"] - less + F.element_at(table, now + 2) - F.element_at(table, now + 1)
-        hit = (i >= WINDOW) & (total <= limit)
+        run = F.when(F.element_at(hexes, i) == "#", state["run"] + 1).otherwise(F.lit(0))
+        hit = (i >= WINDOW) & ((total <= limit) | ((run >= WINDOW) & (total <= hex_limit)))
         return F.struct(
-            total.alias("total"),
+            total.alias("total"), run.alias("run"),
             F.when(hit & state["first"].isNull(), i - WINDOW).otherwise(state["first"]).alias("first"),
             F.when(hit, i).otherwise(state["last"]).alias("last"))
 
     none = F.lit(None).cast("int")
     return F.aggregate(F.sequence(F.lit(1), F.size(chars)),
-                       F.struct(F.lit(0).alias("total"), none.alias("first"), none.alias("last")), step)
+                       F.struct(F.lit(0).alias("total"), F.lit(0).alias("run"), none.alias("first"), none.alias("last")), step)
 
 
 def entropy_spans(text: Column) -> Column:
@@ -101,12 +111,14 @@ def entropy_spans(text: Column) -> Column:
         limit = F.lit(None).cast("int")
         for pattern, bits in reversed(CLASSES.values()):
             limit = F.when(m["part"].rlike(pattern), F.lit(most(bits))).otherwise(limit)
-        return F.struct(m["start"].alias("start"), F.split(m["part"], "").alias("chars"), limit.alias("limit"))
+        hexes = F.regexp_replace(F.regexp_replace(m["part"], DECIMAL, "."), HEX_DIGIT, "#")
+        return F.struct(m["start"].alias("start"), F.split(m["part"], "").alias("chars"),
+                        F.split(hexes, "").alias("hexes"), limit.alias("limit"))
 
     allowed = lambda m: F.array_contains(F.array(*[m["part"].rlike(p) for p in ALLOWED]), True)
     candidates = F.transform(F.filter(located(text, CANDIDATE), lambda m: ~allowed(m)), split)
     scanned = F.transform(candidates, lambda c: F.struct(
-        c["start"].alias("start"), _window_scan(c["chars"], c["limit"]).alias("scan")))
+        c["start"].alias("start"), _window_scan(c["chars"], c["hexes"], c["limit"]).alias("scan")))
     hits = F.filter(scanned, lambda c: c["scan"]["first"].isNotNull())
     return F.transform(hits, lambda c: F.struct(
         (c["start"] + c["scan"]["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"),
