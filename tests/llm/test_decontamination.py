@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import re
@@ -6,6 +7,7 @@ import pytest
 
 from tests.llm.cases import DATA, empty, frame, odd, odd_rows, prose, real
 from tidemark.llm import decontamination
+from tidemark.llm.workload import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -108,3 +110,37 @@ def test_runs_no_python(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     plan = decontamination.contamination(odd(spark), bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def brute_proximity(rows, items, slop=5):
+    counts, out = collections.Counter(w for _, text in rows for w in split(text)), []
+    anchors = []
+    for _, text in items:
+        places = [(counts[w], i, w) for i, w in enumerate(split(text))]
+        anchors.append({(w, i) for k in range(max(1, len(places) - 9)) for _, i, w in sorted(places[k:k + 10])[:2]})
+    for doc_id, text in rows:
+        at, near = collections.defaultdict(list), []
+        for i, w in enumerate(split(text)):
+            at[w].append(i)
+        for some in anchors:
+            have = [(i - place, place) for w, place in some for i in at[w]]
+            near.append(sum(any(1 <= s - t <= slop and p != q for t, q in have) for s, p in have))
+        out.append((doc_id, sum(near), sum(n > 0 for n in near)))
+    return sorted(out, key=str)
+
+
+def test_proximity_query_equals_brute_force(spark, tmp_path):
+    rows, items = planted(random.Random(2))
+    rows = [r for r in rows if r[0] != 60] + [(70, " ".join(["same"] * 40)), (71, None), rows[3], rows[3]]
+    frame(spark, [(i, t, "en", "a", 0) for i, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, QUERIES["op8_proximity"](spark, str(tmp_path)).collect()), key=str)
+    assert got == brute_proximity(rows, items) and sum(r[1] > 0 for r in got) > 5
+
+
+def test_proximity_past_a_nearer_posting(spark):
+    """A at shifts 0 and 3, B at shift 3: the pair of the first A and B is within reach, past the second A."""
+    docs = frame(spark, [(1, "aa x x aa x x x bb", "en", "a", 0)])
+    anchor = spark.createDataFrame([(0, "aa", 0), (0, "bb", 4)], "iid long, word string, place int")
+    index = decontamination.postings(decontamination.keyed(docs), anchor.select("word"))
+    assert [r.near for r in decontamination.proximity_matches(index, anchor).collect()] == [1]

@@ -127,24 +127,32 @@ def phrase_matches(texts: DataFrame, items: DataFrame, found: DataFrame, window:
 
 def proximity_matches(index: DataFrame, anchor: DataFrame, slop: int = 5) -> DataFrame:
     """(_id, _h, iid, near): documents in which two anchors of an item stand at most ``slop`` words off
-    their distance in the item, but not at it; ``near`` counts such neighbouring places.
-
-    The shifts of an item's anchors in a document are sorted; only neighbours are compared."""
-    lists = index.join(small(anchor), "word").withColumn("shift", F.col("position") - F.col("place"))
-    order = Window.partitionBy("_id", "_h", "iid").orderBy("shift", "place")
-    near = (lists.withColumn("gap", F.col("shift") - F.lag("shift").over(order))
-            .withColumn("other", F.lag("place").over(order) != F.col("place")))
-    return (near.filter(f"gap BETWEEN 1 AND {slop} AND other").groupBy("_id", "_h", "iid")
-            .agg(F.count(F.lit(1)).alias("near")))
-
-
-def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(texts, items, phrase matches, (index, anchors)) of documents and benchmark."""
+    their distance in the item, but not at it; ``near`` counts the postings that have one of another place of the
+    item at a shift less by 1 to ``slop``.
+
+    The shifts of an item's anchors in a document are sorted; the least and the last place among the shifts in
+    reach tell whether another place is there. Places of one shift share that, and a place has a shift once, so
+    a frame holds at most ``slop`` times the item's anchors. Equal rows count once."""
+    keys = ["_id", "_h", "iid"]
+    shift = F.col("position") - F.col("place")
+    lists = index.join(small(anchor), "word").select(*keys, "place", shift.alias("shift")).repartition(*keys).distinct()
+    reach = Window.partitionBy(*keys).orderBy("shift").rangeBetween(-slop, -1)
+    near = lists.withColumn("least", F.min("place").over(reach)).withColumn("last", F.max("place").over(reach))
+    return near.filter("least <> place OR last <> place").groupBy(*keys).agg(F.count(F.lit(1)).alias("near"))
+
+
+def indexed(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(texts, items, index, anchors) of documents and benchmark."""
     texts, items = keyed(docs), item_words(benchmark)
     vocabulary = settle(items.select(F.explode("words").alias("word")).distinct(), "vocabulary")
     counts = settle(word_counts(texts, vocabulary), "counts")
     anchor = settle(anchors(items, counts), "anchors")
-    index = postings(texts, settle(anchor.select("word").distinct(), "rarest"))
+    return texts, items, postings(texts, settle(anchor.select("word").distinct(), "rarest")), anchor
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(texts, items, phrase matches, (index, anchors)) of documents and benchmark."""
+    texts, items, index, anchor = indexed(docs, benchmark)
     found = settle(shifts(index, anchor, items), "shifts")
     return texts, items, phrase_matches(texts, items, found), (index, anchor)
 
@@ -174,6 +182,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                          F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 5) -> DataFrame:
+    """One row per document: doc_id, n_near, n_near_items.
+
+    ``n_near`` adds the counts of ``proximity_matches`` over the index and anchors of ``contamination``, and
+    ``n_near_items`` counts the items with one. Null, empty and wordless texts and items have none; equal rows
+    each get the full result. An empty table gives no rows, an empty benchmark no matches."""
+    texts, _, index, anchor = indexed(docs, benchmark)
+    near = (proximity_matches(index, anchor, slop).groupBy("_id", "_h")
+            .agg(F.sum("near").alias("n_near"), F.count(F.lit(1)).alias("n_near_items")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return (texts.select("doc_id", "_id", "_h").join(near, ["_id", "_h"], "left")
+            .select("doc_id", zero("n_near"), zero("n_near_items")))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a phrase match, with all their columns."""
     _, _, found, _ = matches(docs, benchmark)
