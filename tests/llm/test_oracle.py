@@ -5,7 +5,7 @@ import pytest
 
 from tests.llm.cases import frame, odd_rows
 from tests.llm.test_secret_scan import TEXTS
-from tidemark.llm import decontamination, nearduplicates, oracle, quality, secret_scan, sharding
+from tidemark.llm import decontamination, fill_middle, nearduplicates, oracle, quality, secret_scan, sharding
 from tools.compare import rows_of
 
 ITEMS = [(1, "one two three"), (2, odd_rows()[4][1]), (None, "12345 67890"), (3, None), (4, " - "), (10, odd_rows()[4][1][30:200])]
@@ -22,6 +22,8 @@ CASES = {
     "secrets": (secret_scan.scan, oracle.SECRETS, odd_rows() + [(100 + i, t, "en", "a", 0) for i, t in enumerate(TEXTS)]),
     "decontamination": (lambda docs: decontamination.contamination(
         docs, docs.sparkSession.createDataFrame(ITEMS, "item_id long, text string")), oracle.DECONTAMINATION, odd_rows()),
+    "fill_middle": (fill_middle.report, oracle.FILL_MIDDLE, odd_rows() + [(200 + i, t, "en", "a", 0) for i, t in enumerate(
+        ["\n", "a\nb", "a\n\nb\n", "<P>", "é\n𝔘\n" * 9])]),
     "shards": (sharding.byte_shards, oracle.SHARDS, odd_rows()),
     "near_duplicates": (nearduplicates.duplicates, oracle.NEAR_DUPLICATES, told_apart(odd_rows())),
 }

@@ -35,6 +35,10 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as a table below the shared folder and go on from there: it is computed once,
     is read by column, and survives the loss of executors. The folder's owner clears it."""

@@ -3,7 +3,7 @@ whole lists, for tables of a size that one process can hold."""
 
 from __future__ import annotations
 
-from tidemark.llm import secret_scan
+from tidemark.llm import chat_format, fill_middle, prefix_trie, secret_scan
 from tidemark.llm.common import WORD
 from tidemark.llm.decontamination import ITEM_WORD
 from tidemark.llm.quality import FENCE, MAX_REPEAT_PERCENT, MEASURES, MIN_DOCUMENTS, MIN_WORDS
@@ -90,10 +90,11 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM texts LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)"""
 
 # The checksum takes one byte a step, by the table of its 256 remainders.
-SHARDS = """
-WITH remainders AS MATERIALIZED (
+_REMAINDERS = """remainders AS MATERIALIZED (
   SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
-              ORDER BY i) AS tab FROM range(256) AS t(i)),
+              ORDER BY i) AS tab FROM range(256) AS t(i)),"""
+SHARDS = f"""
+WITH {_REMAINDERS}
 texts AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(md5(text), '') AS digest,
          16 + octet_length(encode(coalesce(text, ''))) AS size FROM documents),
@@ -175,3 +176,81 @@ listed AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts LEFT JOIN listed USING (r)"""
+
+_SPM, _PREFIX, _SUFFIX, _MIDDLE = fill_middle.SPM, *(m.decode() for m in (fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE))
+
+FILL_MIDDLE = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+split AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS lines,
+         [('0x' || substr(digest, 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS h FROM texts),
+cuts AS (
+  SELECT *, len(lines) AS n, least(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS low,
+         greatest(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS high,
+         CASE WHEN t = '' OR contains(t, '{_PREFIX}') OR contains(t, '{_SUFFIX}') OR contains(t, '{_MIDDLE}')
+                   OR h[3] % 100 >= {fill_middle.RATE} THEN 'plain' WHEN h[4] % 100 < {_SPM} THEN 'spm' ELSE 'psm' END AS form
+  FROM split),
+parts AS (
+  SELECT *, array_to_string(lines[1:low], '') AS prefix, array_to_string(lines[low + 1:high], '') AS middle,
+         array_to_string(lines[high + 1:], '') AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '{_SUFFIX}' || suffix || '{_PREFIX}' || prefix || '{_MIDDLE}' || middle
+              ELSE '{_PREFIX}' || prefix || '{_SUFFIX}' || suffix || '{_MIDDLE}' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts"""
+
+_CLOSED = f"chr(10) || '{chat_format.END}' || chr(10)"
+
+CHAT = f"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, 0 AS planted FROM conversations
+  UNION ALL VALUES ({chat_format.PLANTED_ID}, 0, 'user', '{chat_format.PLANTED}', 1),
+                   ({chat_format.PLANTED_ID}, 1, '{chat_format.LEARNED}', '{chat_format.PLANTED}', 1)),
+turns AS (
+  SELECT *, length({_CLOSED}) AS closing,
+         CASE WHEN regexp_matches(text, '{chat_format.ESCAPED}') OR strpos(text || {_CLOSED}, {_CLOSED}) <= length(text)
+              THEN regexp_replace(text, '{chat_format.CONTROL}', '\\\\\\1', 'g') ELSE text END AS body,
+         replace(replace(role, '\\', '\\\\'), chr(10), '\\n') AS head FROM given)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = '{chat_format.LEARNED}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = '{chat_format.LEARNED}'), '')) AS loss_sha256,
+       sum(length('{chat_format.HEAD}') + length(head) + 1 + length(body) + closing)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id, planted"""
+
+# Here a prefix is the digest of its turns' digests, and subtrees are read off the paths of their nodes' first conversations.
+TRIE = f"""
+WITH {_REMAINDERS}
+turns AS MATERIALIZED (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos, digest, bytes
+  FROM (SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS bytes,
+               md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+        FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT c, c - c % {prefix_trie.GROUP} AS first,
+         xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                         lambda s, x: xor(s >> 8, tab[(xor(s, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % {prefix_trie.MOST} AS h
+  FROM (SELECT DISTINCT c FROM turns), remainders),
+rebuilt AS (
+  SELECT v.c, 0 AS part, pos, digest, bytes FROM convs v JOIN turns t ON t.c = v.first AND pos <= h
+  UNION ALL SELECT v.c, 1, pos, digest, bytes FROM convs v JOIN turns t ON t.c = v.c AND pos > h),
+depths AS (SELECT c, digest, bytes, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d FROM rebuilt),
+paths AS MATERIALIZED (
+  SELECT c, d, bytes, md5(string_agg(digest, ',') OVER up) AS key, coalesce(md5(string_agg(digest, ',') OVER above), '') AS parent
+  FROM depths WINDOW up AS (PARTITION BY c ORDER BY d),
+                     above AS (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  UNION ALL SELECT c, 0, 0, '', NULL FROM convs),
+nodes AS MATERIALIZED (
+  SELECT key, min(parent) AS parent, min(c) AS c, min(d) AS d, count(*) AS n, min(bytes) AS bytes FROM paths GROUP BY key),
+children AS (SELECT parent, count(*) AS n_children FROM nodes GROUP BY parent),
+below AS (
+  SELECT p.key, count(*) FILTER (x.parent IS NULL) AS n_leaves, sum((v.n - 1) * v.bytes)::BIGINT AS saved_tokens
+  FROM nodes v JOIN paths p ON p.c = v.c AND p.d <= v.d LEFT JOIN children x ON x.parent = v.key GROUP BY p.key),
+ends AS (
+  SELECT key, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS digest
+  FROM (SELECT key, c, d, max(d) OVER (PARTITION BY c) AS last FROM paths) WHERE d = last GROUP BY key)
+SELECT v.c AS conv_id, v.d AS depth, u.c AS parent_conv_id, v.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+       coalesce(e.digest, sha256('')) AS ends_sha256
+FROM nodes v LEFT JOIN nodes u ON u.key = v.parent LEFT JOIN children x ON x.parent = v.key JOIN below b ON b.key = v.key
+     LEFT JOIN ends e ON e.key = v.key"""

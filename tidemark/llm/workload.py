@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, language, line_dedup, mixing, nearduplicates, oracle, quality, secret_scan, sharding, tokens
-from tidemark.llm.common import benchmark, documents
+from tidemark.llm import (chat_format, decontamination, fill_middle, language, line_dedup, mixing, nearduplicates, oracle,
+                          prefix_trie, quality, secret_scan, sharding, tokens)
+from tidemark.llm.common import benchmark, conversations, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,9 @@ QUERIES: dict[str, Query] = {
     "op8_proximity": lambda spark, d: decontamination.proximity(documents(spark, d), benchmark(spark, d)),
     "op9_sampled_shards": lambda spark, d: sharding.byte_shards(documents(spark, d)),
     "op10_chosen_path": lambda spark, d: nearduplicates.duplicates(documents(spark, d)),
+    "op11_prefix_trie": lambda spark, d: prefix_trie.trie(conversations(spark, d)),
+    "op12_fill_middle": lambda spark, d: fill_middle.report(documents(spark, d)),
+    "op13_chat_format": lambda spark, d: chat_format.report(conversations(spark, d)),
 }
 
 # Where a tokenizer, hash orders, a fitted model or too slow a search stand in the way, tests hold the
@@ -33,4 +37,7 @@ SQL: dict[str, str] = {
     "op8_positional_index": oracle.DECONTAMINATION,
     "op9_sampled_shards": oracle.SHARDS,
     "op10_chosen_path": oracle.NEAR_DUPLICATES,
+    "op11_prefix_trie": oracle.TRIE,
+    "op12_fill_middle": oracle.FILL_MIDDLE,
+    "op13_chat_format": oracle.CHAT,
 }
