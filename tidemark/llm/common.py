@@ -47,6 +47,16 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed_rows(df: DataFrame, **names: Column) -> DataFrame:
+    """All columns of ``df`` in one struct column ``row`` and the given columns beside it, so that no name clashes."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in names.items()])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The columns of ``row``."""
+    return df.select("row.*")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. ``lower`` does that much faster where no other letter of the
     text has a lower case."""

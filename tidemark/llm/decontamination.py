@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWEST, ascii_lower, settle, word_count
+from tidemark.llm.common import LOWEST, ascii_lower, packed_rows, settle, unpacked, word_count
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -158,13 +158,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, n_near_items.
 
     A word is hit if it lies in an occurrence of any window of 10 consecutive item words (of all words of
-    a shorter item). A null, empty or wordless text has no words and no hits; wordless items have no windows;
-    items without an item_id hit words but are not listed; repeated rows each get the full result.
-    An empty table gives no rows, an empty benchmark no hits."""
-    texts, items, found, _ = matches(docs, benchmark)
+    a shorter item). ``n_near`` adds the counts of ``proximity_matches``, ``n_near_items`` counts the items with
+    one; they do not make a document contaminated. A null, empty or wordless text has no words and no hits;
+    wordless items have no windows; items without an item_id hit words but are not listed; repeated rows each
+    get the full result. An empty table gives no rows, an empty benchmark no hits."""
+    texts, items, found, (index, anchor) = matches(docs, benchmark)
     found = settle(found.join(items.select("iid", "item_id"), "iid"), "matches")
     order = Window.partitionBy("_id", "_h").orderBy("start", "end")
     before = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -174,32 +175,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # One string per document, as long as the list of its items.
     listed = (found.select("_id", "_h", "item_id").filter("item_id IS NOT NULL").distinct().groupBy("_id", "_h")
               .agg(F.array_sort(F.collect_list("item_id")).alias("items")))
+    near = (proximity_matches(index, anchor).groupBy("_id", "_h")
+            .agg(F.sum("near").alias("n_near"), F.count(F.lit(1)).alias("n_near_items")))
     counted = texts.select("doc_id", "_id", "_h", word_count(F.col("text"), ITEM_WORD).alias("n_words"))
-    joined = counted.join(hits.join(listed, ["_id", "_h"], "left"), ["_id", "_h"], "left")
+    result = settle(hits.join(listed, ["_id", "_h"], "left").join(near, ["_id", "_h"], "full"), "found")
+    joined = counted.join(result, ["_id", "_h"], "left")
     ids = F.coalesce("items", F.array().cast("array<string>"))
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    n_hit, n_near, n_near_items = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n_hit", "n_near", "n_near_items"))
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-                         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
-
-
-def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_near, n_near_items.
-
-    ``n_near`` adds the counts of ``proximity_matches`` over the index and anchors of ``contamination``, and
-    ``n_near_items`` counts the items with one. Null, empty and wordless texts and items have none; equal rows
-    each get the full result. An empty table gives no rows, an empty benchmark no matches."""
-    texts, _, index, anchor = indexed(docs, benchmark)
-    near = (proximity_matches(index, anchor, slop).groupBy("_id", "_h")
-            .agg(F.sum("near").alias("n_near"), F.count(F.lit(1)).alias("n_near_items")))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return (texts.select("doc_id", "_id", "_h").join(near, ["_id", "_h"], "left")
-            .select("doc_id", zero("n_near"), zero("n_near_items")))
+                         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+                         n_near.alias("n_near"), n_near_items.alias("n_near_items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a phrase match, with all their columns."""
+    """The documents without a phrase match, with all their columns.
+
+    Rows are judged by doc_id and text, so repeated rows go or stay together; null, empty and wordless texts
+    stay. An empty table gives no rows, an empty benchmark takes none away."""
     _, _, found, _ = matches(docs, benchmark)
     hit = settle(found.select("_id", "_h").distinct(), "contaminated")
-    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
-    rows = docs.withColumn("_id", doc_id).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.join(small(hit), ["_id", "_h"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return unpacked(packed_rows(docs, _id=F.coalesce(doc_id, F.lit(LOWEST)), _h=F.xxhash64(text))
+                    .join(small(hit), ["_id", "_h"], "left_anti"))

@@ -72,22 +72,38 @@ DECONTAMINATION = f"""
 WITH texts AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{ITEM_WORD}') AS w FROM documents),
 items AS (
-  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '{ITEM_WORD}') AS w FROM benchmark),
+  SELECT row_number() OVER () AS i, CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '{ITEM_WORD}') AS w FROM benchmark),
+words AS MATERIALIZED (SELECT DISTINCT doc_id, w, pos, w[pos] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM texts)),
+counts AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM texts) GROUP BY word),
+places AS (
+  SELECT i, place, w[place] AS word, coalesce(n, 0) AS n, least(len(w), 10) AS size, len(w) AS len
+  FROM (SELECT i, w, unnest(range(1, len(w) + 1)) AS place FROM items) p LEFT JOIN counts c ON c.word = p.w[p.place]),
+anchors AS (
+  SELECT DISTINCT i, place, word FROM (
+    SELECT i, place, word, n, unnest(range(greatest(place - size + 1, 1), least(place, len - size + 1) + 1)) AS start FROM places)
+  QUALIFY row_number() OVER (PARTITION BY i, start ORDER BY n, place) <= 2),
+shifts AS MATERIALIZED (SELECT doc_id, w, i, place, pos - place AS shift FROM words JOIN anchors USING (word)),
+near AS (
+  SELECT doc_id, w, count(*) AS n_near, count(DISTINCT i) AS n_near_items FROM shifts x
+  WHERE EXISTS (SELECT 1 FROM shifts y WHERE y.doc_id IS NOT DISTINCT FROM x.doc_id AND y.w = x.w AND y.i = x.i
+                AND y.place <> x.place AND x.shift - y.shift BETWEEN 1 AND 5) GROUP BY doc_id, w),
 windows AS MATERIALIZED (
   SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k:k + 9], ' ') AS key
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM items WHERE len(w) > 0)),
-places AS (
+runs AS (
   SELECT r, k, size, array_to_string(w[k:k + size - 1], ' ') AS key
   FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM texts, (SELECT DISTINCT size FROM windows))),
-hits AS MATERIALIZED (SELECT r, k, size, item_id FROM places JOIN windows USING (size, key)),
+hits AS MATERIALIZED (SELECT r, k, size, item_id FROM runs JOIN windows USING (size, key)),
 covered AS (
   SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS place FROM hits) GROUP BY r),
 listed AS (
   SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
   FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM texts LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)"""
+SELECT t.doc_id, len(t.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0) AS n_near, coalesce(n_near_items, 0) AS n_near_items
+FROM texts t LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
+     LEFT JOIN near n ON n.doc_id IS NOT DISTINCT FROM t.doc_id AND n.w = t.w"""
 
 # The checksum takes one byte a step, by the table of its 256 remainders.
 _REMAINDERS = """remainders AS MATERIALIZED (

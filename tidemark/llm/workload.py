@@ -21,7 +21,6 @@ QUERIES: dict[str, Query] = {
     "op6_separator_scan": lambda spark, d: tokens.counted_tokens(documents(spark, d)),
     "op7_line_neighbours": lambda spark, d: line_dedup.line_report(documents(spark, d), every=True),
     "op8_positional_index": lambda spark, d: decontamination.contamination(documents(spark, d), benchmark(spark, d)),
-    "op8_proximity": lambda spark, d: decontamination.proximity(documents(spark, d), benchmark(spark, d)),
     "op9_sampled_shards": lambda spark, d: sharding.byte_shards(documents(spark, d)),
     "op10_chosen_path": lambda spark, d: nearduplicates.duplicates(documents(spark, d)),
     "op11_prefix_trie": lambda spark, d: prefix_trie.trie(conversations(spark, d)),
