@@ -7,6 +7,12 @@ compared exhaustively on signatures, whose agreement estimates similarity. What
 the threshold is left behind; the rest forms clusters, within which links are confirmed on full
 shingle sets. Only links that join two parts are kept, as components need no others: a group of
 thousands of copies gives a forest, not all its pairs.
+
+A large node first compares all its documents with one of them, the pivot. What agrees is linked with it
+and goes on only as a partner of documents that did not ("open" ones); a node without open documents
+ends. So a hot group of near copies ends at its first node, in rows in proportion to its size. Large
+clusters are confirmed alike: along the links found first, and only what these leave apart from the
+cluster's largest part is compared with all of it, in blocks.
 """
 
 from __future__ import annotations
@@ -17,10 +23,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, settle
+from tidemark.llm.common import packed_rows, prepare, settle, unpacked
 
 SHINGLE = 5  # words
 PERCENT = 85  # least similarity of a link
@@ -35,7 +41,9 @@ BLOCK = 1024  # documents of a block of a larger group
 DEPTH = 6  # levels below the first; larger nodes then are compared in blocks, all against all
 SET_LIMIT = 1_000_000  # shingles compared in one task
 CHUNK = 1 << 20  # text bytes hashed at once
-BROADCAST_ROWS = 200_000  # more clustered documents than these are joined with the texts by a shuffle
+BROADCAST_ROWS = 200_000  # of 20 bytes: more clustered documents than these are joined with the texts by a shuffle
+BROADCAST_BYTES = 16 << 20  # of the sets that the documents of large clusters are compared with first
+ROUNDS = 4  # likely links of a document of a large cluster that are tried before blocks
 
 _RANDOM = np.random.default_rng(20240607)
 _BYTES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -113,19 +121,20 @@ def _in_chunks(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature); digest and signature are null for an empty set."""
-    names = ["doc_id", "n_shingles", "digest", "signature"]
+    """(doc_id, text_hash, n_shingles, digest, signature); digest and signature are null for an empty set."""
+    names = ["doc_id", "text_hash", "n_shingles", "digest", "signature"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["doc_id"]
+            ids, hashes = batch["doc_id"], batch["text_hash"]
             for start, sets in _in_chunks(batch["text"]):
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(start, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                    ids.slice(start, len(sets)), hashes.slice(start, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], names)
 
-    return _texts(docs).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, signature binary")
+    return _texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        sign, "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -151,50 +160,80 @@ def first_nodes(documents: DataFrame, trees: int = TREES) -> DataFrame:
 
 
 def next_nodes(rows: DataFrame) -> DataFrame:
-    """(node, v) one level down: each node draws BRANCHES coordinates by its own path."""
+    """(kind, a, b, open): links ("link", v, pivot) of documents that agree with their node's pivot, and
+    memberships ("node", node, v) one level down, where each node draws BRANCHES coordinates by its own path.
+    The pivot has met the whole node and goes no further."""
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                path = batch["node"].to_numpy().view(np.uint64)
-                found, v = _matrix(batch["signature"]), batch["v"].to_numpy()
-                for k in range(1, BRANCHES + 1):
-                    chosen = mixed(path + np.uint64(k * int(_BASE) % (1 << 64)))
-                    value = found[np.arange(len(v)), (chosen % np.uint64(COORDINATES)).astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(mixed(chosen + value).view(np.int64)), pa.array(v)], ["node", "v"])
-
-    return rows.select("node", "v", "signature").mapInArrow(branch, "node long, v long")
-
-
-def leaves(documents: DataFrame) -> DataFrame:
-    """(node, part, other, v): nodes of all trees that are compared exhaustively.
-
-    Nodes of one document are dropped. A node above NODE documents after all levels is cut into blocks,
-    and (part, other) names a pair of blocks."""
-    found, rows = [], first_nodes(documents)
+            if not batch.num_rows:
+                continue
+            path, v, pivot = (batch[c].to_numpy() for c in ("node", "v", "pivot"))
+            path, found, open_ = path.view(np.uint64), _matrix(batch["signature"]), batch["open"].to_numpy(zero_copy_only=False)
+            agrees = (found == _matrix(batch["pivot_signature"])).sum(axis=1) >= AGREE
+            linked, on = agrees & (v != pivot), v != pivot
+            yield _rows("link", v[linked], pivot[linked], open_[linked])
+            for k in range(1, BRANCHES + 1):
+                chosen = mixed(path + np.uint64(k * int(_BASE) % (1 << 64)))
+                value = found[np.arange(len(v)), (chosen % np.uint64(COORDINATES)).astype(np.int64)]
+                yield _rows("node", mixed(chosen + value).view(np.int64)[on], v[on], (open_ & ~agrees)[on])
+
+    return rows.select("node", "v", "open", "pivot", "signature", "pivot_signature").mapInArrow(
+        branch, "kind string, a long, b long, open boolean")
+
+
+def _rows(kind: str, a: np.ndarray, b: np.ndarray, open_: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.string()), pa.array(a), pa.array(b), pa.array(open_)],
+                                      ["kind", "a", "b", "open"])
+
+
+def leaves(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, part, other, v), (a, b)): nodes of all trees that are compared exhaustively, and the links of
+    pivots.
+
+    Nodes of one document and such without an open one are dropped. A node above NODE documents after all
+    levels is cut into blocks, and (part, other) names a pair of blocks with an open document."""
+    found, links = [], []
+    signed = documents.select("v", "signature")
+    rows = first_nodes(documents).withColumn("open", F.lit(True))
     for level in range(DEPTH + 1):
         rows = settle(rows, "nodes")
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        some = F.col("open").cast("long")
+        pivot = F.min_by("v", F.when(F.col("open"), F.xxhash64("v", "node")))
+        sizes = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum(some).alias("n_open"), pivot.alias("pivot"))
+                 .filter("size > 1 AND n_open > 0"))
         kept = settle(rows.join(sizes, "node"), "sized")
         found.append(kept.filter(F.col("size") <= NODE).select("node", F.lit(0).alias("part"), F.lit(0).alias("other"), "v"))
         large = kept.filter(F.col("size") > NODE)
         if large.isEmpty():
             break
         if level == DEPTH:
-            found.append(block_pairs(large.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "node", "v")
-                         .select("node", "part", "other", "v"))
+            found.append(block_pairs(large, "node", "v", F.ceil(F.col("n_open") / BLOCK),
+                                     F.ceil((F.col("size") - F.col("n_open")) / BLOCK)).select("node", "part", "other", "v"))
         else:
-            rows = next_nodes(large.join(documents.select("v", "signature"), "v"))
-    result = found[0]
+            pivots = large.select("node", "pivot").distinct().join(
+                signed.withColumnsRenamed({"v": "pivot", "signature": "pivot_signature"}), "pivot").drop("pivot")
+            below = settle(next_nodes(large.join(signed, "v").join(pivots, "node")), "below")
+            links.append(below.filter("kind = 'link'").select("a", "b"))
+            rows = below.filter("kind = 'node'").select(F.col("a").alias("node"), F.col("b").alias("v"), "open")
+    result, linked = found[0], documents.filter("false").select(F.col("v").alias("a"), F.col("v").alias("b"))
     for more in found[1:]:
         result = result.unionByName(more)
-    return result
+    for more in links:
+        linked = linked.unionByName(more)
+    return result, linked
 
 
-def block_pairs(rows: DataFrame, group: str, member: str) -> DataFrame:
-    """Adds (part, other): each pair of blocks of a group, a member's block being drawn by a hash."""
-    block = F.pmod(F.xxhash64(member, F.lit(11)), F.col("blocks")).cast("int")
-    return (rows.withColumn("_own", block).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .withColumn("part", F.least("_own", "_with")).withColumn("other", F.greatest("_own", "_with")).drop("_own", "_with"))
+def block_pairs(rows: DataFrame, group: str, member: str, n_open: Column, n_closed: Column) -> DataFrame:
+    """Adds (part, other): each pair of blocks of a group that has an open block. A member's block is drawn by a
+    hash among the ``n_open`` blocks of open members or the ``n_closed`` others behind them."""
+    drawn = F.xxhash64(member, F.lit(11))
+    rows = rows.withColumn("_opens", n_open.cast("int")).withColumn("_all", n_open.cast("int") + n_closed.cast("int"))
+    own = F.when(F.col("open"), F.pmod(drawn, F.col("_opens"))).otherwise(
+        F.col("_opens") + F.pmod(drawn, F.col("_all") - F.col("_opens"))).cast("int")
+    with_ = F.sequence(F.lit(0), F.when(F.col("open"), F.col("_all")).otherwise(F.col("_opens")) - 1)
+    return (rows.withColumn("_own", own).withColumn("_with", F.explode(with_))
+            .withColumn("part", F.least("_own", "_with")).withColumn("other", F.greatest("_own", "_with"))
+            .drop("_own", "_with", "_opens", "_all"))
 
 
 def agreement(found: np.ndarray) -> np.ndarray:
@@ -260,57 +299,120 @@ def _pairs(made: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def likely_links(documents: DataFrame) -> DataFrame:
-    """(a, b): a forest per node over the pairs whose signatures agree well enough."""
+    """(a, b): a forest per node over the pairs whose signatures agree well enough, and the pivots' links."""
     def compare(table: pa.Table) -> list[tuple[int, int]]:
         v = table["v"].to_numpy()
         label = _labels(agreement(_matrix(table["signature"])) >= AGREE)
         return [(int(v[i]), int(v[l])) for i, l in enumerate(label) if i != l and v[i] != v[l]]
 
-    rows = leaves(documents).join(documents.select("v", "signature"), "v")
-    return by_group(rows.select("node", "part", "other", "v", "signature"), ["node", "part", "other"], compare)
+    nodes, linked = leaves(documents)
+    rows = nodes.join(documents.select("v", "signature"), "v")
+    return by_group(rows.select("node", "part", "other", "v", "signature"), ["node", "part", "other"], compare).unionByName(linked)
+
+
+def _joins(v: np.ndarray, found: list[np.ndarray], part: np.ndarray) -> list[tuple[int, int]]:
+    """Links of full sets that join two of the parts ``part`` names. Pairs are tried in descending order of
+    agreement, and only while they would join two parts."""
+    agree = agreement(np.stack([signature(s) for s in found]))
+    size, part, links = np.array([len(s) for s in found]), part.copy(), []
+    i, j = np.nonzero(np.triu(agree >= AGREE, 1))
+    fits = (part[i] != part[j]) & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))
+    i, j = i[fits], j[fits]
+    order = np.argsort(-agree[i, j].astype(np.int16), kind="stable")
+    for low in range(0, len(order), 4096):
+        some = order[low:low + 4096]
+        some = some[part[i[some]] != part[j[some]]]
+        for a, b in zip(i[some].tolist(), j[some].tolist()):
+            if part[a] != part[b] and similar(found[a], found[b]):
+                links.append((int(v[a]), int(v[b])))
+                part[part == part[b]] = part[a]
+    return links
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def confirmed_links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b): links of full shingle sets, a forest per cluster or pair of blocks of it.
+def _sets(rows: DataFrame) -> DataFrame:
+    """``shingles`` (bytes of the sorted hashes) in place of ``text``."""
+    names = [c for c in rows.columns if c != "text"]
 
-    Pairs are tried in descending order of agreement, and only while they would join two parts."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.drop_columns(["text"])
+            rest = batch.select(names)
             for start, found in _in_chunks(batch["text"]):
                 yield pa.RecordBatch.from_arrays([*rest.slice(start, len(found)).columns, pa.array(
-                    [s.tobytes() for s in found], pa.binary())], [*rest.schema.names, "shingles"])
+                    [s.tobytes() for s in found], pa.binary())], [*names, "shingles"])
 
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    return rows.mapInArrow(sets, f"{fields}, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets are linked. The sets of ``b``, which many share, are sent around
+    if they are small, else joined by a shuffle, whose skewed partitions AQE splits."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(
+                batch["x"].to_pylist(), batch["y"].to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    own = sets.select(F.col("v").alias("a"), F.col("shingles").alias("x"))
+    shared = pairs.select("b").distinct().join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = settle(shared, "pivots")
+    if (shared.agg(F.sum(F.octet_length("y"))).first()[0] or 0) <= BROADCAST_BYTES:
+        shared = F.broadcast(shared)
+    return settle(pairs.join(own, "a").join(shared, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "verified")
+
+
+def confirmed_links(docs: DataFrame, clusters: DataFrame, likely: DataFrame) -> DataFrame:
+    """(a, b): links of full shingle sets that join all parts of each cluster that are linked.
+
+    Small clusters are compared by themselves. In large ones each document first tries up to ROUNDS of its
+    likely links; what stays outside the largest part found so is open and is compared in blocks with the
+    whole cluster."""
     def confirm(table: pa.Table) -> list[tuple[int, int]]:
-        v = table["v"].to_numpy()
-        found = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
-        agree = agreement(np.stack([signature(s) for s in found]))
-        size = np.array([len(s) for s in found])
-        i, j = np.nonzero(np.triu(agree >= AGREE, 1))
-        fits = 100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j])
-        i, j = i[fits], j[fits]
-        order = np.argsort(-agree[i, j].astype(np.int16), kind="stable")
-        part, links = np.arange(len(v)), []
-        for low in range(0, len(order), 4096):
-            some = order[low:low + 4096]
-            some = some[part[i[some]] != part[j[some]]]
-            for a, b in zip(i[some].tolist(), j[some].tolist()):
-                if part[a] != part[b]:
-                    both = len(np.intersect1d(found[a], found[b], assume_unique=True))
-                    if 100 * both >= PERCENT * (size[a] + size[b] - both):
-                        links.append((int(v[a]), int(v[b])))
-                        part[part == part[b]] = part[a]
-        return links
+        return _joins(table["v"].to_numpy(), [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()],
+                      np.unique(table["g"].to_numpy(), return_inverse=True)[1])
 
     weight = clusters.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
-    blocks = F.greatest(F.ceil(F.col("n") / SET_LIMIT), F.ceil(F.col("m") / BLOCK)).cast("int")
-    members = settle(clusters.select("v", "c").join(weight.select("c", blocks.alias("blocks")), "c"), "members")
+    large = (F.col("n") > SET_LIMIT) | (F.col("m") > BLOCK)
+    members = settle(clusters.select("v", "c", "n").join(weight.select("c", large.alias("large")), "c"), "members")
+    near = members.select("v", "c", "large")
     if members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)  # then the texts of all others stay where they are
-    held = _texts(docs).join(members, F.col("doc_id") == F.col("v")).select("v", "c", "blocks", "text")
-    rows = held.mapInArrow(sets, "v long, c long, blocks int, shingles binary")
-    rows = block_pairs(rows, "c", "v").select("c", "part", "other", "v", "shingles")
-    return by_group(rows, ["c", "part", "other"], confirm)
+        near = F.broadcast(near)  # then the texts of all others stay where they are
+    held = _sets(_texts(docs).join(near, F.col("doc_id") == F.col("v")).select("v", "c", "large", "text"))
+    if members.filter("large").isEmpty():
+        return by_group(held.select("c", "v", F.col("v").alias("g"), "shingles"), ["c"], confirm)
+    held = settle(held, "held")
+    links = by_group(held.filter("NOT large").select("c", "v", F.col("v").alias("g"), "shingles"), ["c"], confirm)
+
+    wide = members.filter("large").select("v", "c", "n")
+    sets = held.filter("large").select("v", "shingles").dropDuplicates(["v"])
+    ranked = Window.partitionBy("a").orderBy(F.xxhash64("b"), "b")
+    tries = settle(likely.distinct().join(wide.select(F.col("v").alias("a")), "a")
+                   .withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= ROUNDS), "tries")
+    joined = None
+    for k in range(1, ROUNDS + 1):
+        some = tries.filter(F.col("nth") == k).select("a", "b")
+        if joined is not None:
+            some = some.join(joined.select("a"), "a", "left_anti")
+        good = verified(some, sets)
+        joined = good if joined is None else joined.unionByName(good)
+    parts = components(joined)
+    placed = wide.join(parts.select("v", F.col("c").alias("g")), "v", "left").withColumn("g", F.coalesce("g", "v"))
+    most = (placed.groupBy("c", "g").agg(F.count(F.lit(1)).alias("k")).groupBy("c")
+            .agg(F.max_by("g", F.struct("k", "g")).alias("most")))
+    placed = settle(placed.join(most, "c").withColumn("open", F.col("g") != F.col("most")), "placed")
+
+    def blocks(of: Column) -> Column:
+        return F.greatest(F.ceil(F.sum(F.when(of, F.col("n"))) / SET_LIMIT), F.ceil(F.count(F.when(of, 1)) / BLOCK))
+
+    counts = placed.groupBy("c").agg(blocks(F.col("open")).alias("opens"), blocks(~F.col("open")).alias("rest")).filter("opens > 0")
+    pairs = block_pairs(placed.join(counts, "c"), "c", "v", F.col("opens"), F.col("rest"))
+    rows = pairs.select("v", "c", "g", "part", "other").join(sets, "v").select("c", "part", "other", "v", "g", "shingles")
+    return links.unionByName(joined).unionByName(by_group(rows, ["c", "part", "other"], confirm))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -343,15 +445,8 @@ def components(edges: DataFrame) -> DataFrame:
     return label.join(label.groupBy("p").agg(F.min("v").alias("c")), "p").select("v", "c")
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Sets are the distinct 5-word shingles of the text with A-Z in lower case, compared by 64-bit hashes;
-    a text of fewer words is one shingle, a null or wordless one has none and links with nothing. Links
-    have 100 * intersection >= 85 * union. ``component_id`` is the least doc_id reachable, ``kept`` says
-    that it is the row's own. Rows that share a doc_id are one vertex and share a component. A row with a
-    null doc_id is no vertex: it takes the component of the equal sets, none if there are none, and is kept
-    then. An empty table gives no rows."""
+def judged(docs: DataFrame) -> DataFrame:
+    """What ``duplicates`` returns, and ``text_hash``."""
     prepare(docs.sparkSession)
     signed = settle(signatures(docs), "signatures")
     groups = settle(signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
@@ -361,24 +456,39 @@ def duplicates(docs: DataFrame) -> DataFrame:
                .groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id"))
     same_id = (signed.join(several, "doc_id").select("doc_id", "digest").distinct().join(groups.select("digest", "v"), "digest")
                .select(F.col("doc_id").alias("a"), F.col("v").alias("b")))
-    clusters = components(likely_links(groups)).join(groups.select("v", "n"), "v")
-    links = confirmed_links(docs, settle(clusters, "clusters")).unionByName(same_id)
+    likely = settle(likely_links(groups), "likely")
+    clusters = components(likely).join(groups.select("v", "n"), "v")
+    links = confirmed_links(docs, settle(clusters, "clusters"), likely).unionByName(same_id)
     reached = components(links)
-    own = (signed.select("doc_id", "n_shingles", "digest").join(groups.select("digest", "v"), "digest", "left")
+    own = (signed.select("doc_id", "text_hash", "n_shingles", "digest").join(groups.select("digest", "v"), "digest", "left")
            .join(reached, "v", "left"))
     component = F.coalesce("c", "v", "doc_id")
-    return own.select("doc_id", "n_shingles", component.alias("component_id"),
+    return own.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Sets are the distinct 5-word shingles of the text with A-Z in lower case, compared by 64-bit hashes;
+    a text of fewer words is one shingle, a null or wordless one has none and links with nothing. Links
+    have 100 * intersection >= 85 * union. ``component_id`` is the least doc_id reachable, ``kept`` says
+    that it is the row's own. Rows that share a doc_id are one vertex and share a component. A row with a
+    null doc_id is no vertex: it takes the component of the equal sets, none if there are none, and is kept
+    then. An empty table gives no rows."""
+    return judged(docs).drop("text_hash")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns.
 
-    Of several rows with the kept doc_id the first by a hash of the text stays. Rows with a null doc_id
-    cannot be told apart and all stay."""
-    kept = duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return (named.withColumn("_nth", first).filter("_nth = 1").select(*columns)
-            .unionByName(docs.filter("doc_id IS NULL").select(*columns)))
+    Rows are named by doc_id and text: unlike texts of a kept doc_id all stay, of equal ones the first by a
+    hash of the row. A row with a null doc_id stays if no document has its set of shingles, again once per
+    text; null and wordless texts link with nothing. An empty table gives no rows."""
+    kept = judged(docs).filter("kept").select("doc_id", "text_hash").distinct()
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = packed_rows(docs, doc_id=F.col("doc_id").cast("long"), text_hash=F.xxhash64(text))
+    named = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64("row")))
+    return unpacked(named.withColumn("nth", first).filter("nth = 1"))
