@@ -32,7 +32,7 @@ def texts():
     rng = random.Random(4)
     parts = ["\n", "\n\n", "é", "<", ">", "<P", "S>", "<M", "𝔘", "word ", "\r", "<<S", "P>", "\0"]
     rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(300)]
-    rows += ["<P>", "a<S>b", "<M>\n", "\n", "a", "a\nb", "a\nb\n", "<", "P>", ">\n<", None, "", "中\n文\n" * 3000, prose(rng, 9)]
+    rows += ["<P>", "a<S>b", "<M>\n", "\n", "a", "a\nb", "a\nb\n", "<", "P>", ">\n<", "<", "S><P>", "<", "P><M>x", None, "", "中\n文\n" * 3000, prose(rng, 9)]
     return [(i, t, "en", "a", 0) for i, t in enumerate(rows)]
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import prepare, settle
 
 # The sentinels, the seed of the hash, and the shares in percent.
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
@@ -51,12 +51,13 @@ def shifts(at: np.ndarray, change: np.ndarray, size: int) -> Iterator[tuple[int,
         yield low, high, np.cumsum(step)
 
 
-def marks(raw: np.ndarray) -> np.ndarray:
-    """Where a sentinel begins."""
+def marks(raw: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Where a sentinel begins that lies in one of the texts from ``base[i]`` to ``base[i + 1]``."""
     if len(raw) < MARK:
         return np.zeros(0, np.int64)
     likely = np.flatnonzero((raw[:-2] == PREFIX[0]) & (raw[2:] == PREFIX[2]))
-    return likely[np.isin(raw[likely + 1], [PREFIX[1], SUFFIX[1], MIDDLE[1]])]
+    likely = likely[np.isin(raw[likely + 1], [PREFIX[1], SUFFIX[1], MIDDLE[1]])]
+    return likely[likely + MARK <= base[np.searchsorted(base, likely, side="right")]]
 
 
 def _differences(source: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -77,9 +78,8 @@ def cut(raw: np.ndarray, base: np.ndarray, drawn: np.ndarray, rate: int = RATE,
     behind = np.concatenate([[0], breaks + 1])  # behind the k-th line feed, k from 1
     ends = np.where(units == 0, low[:, None], np.where(
         units <= full[:, None], behind[(first[:, None] + units).clip(max=len(breaks))], high[:, None]))
-    found = marks(raw)
-    inside = found[found + MARK <= base[np.searchsorted(base, found, side="right")]] if len(found) else found
-    marked = np.searchsorted(inside, high) > np.searchsorted(inside, low)
+    found = marks(raw, base)
+    marked = np.searchsorted(found, high) > np.searchsorted(found, low)
     plain = (high == low) | marked | (drawn[:, 2] % 100 >= rate)
     form = np.where(plain, PLAIN_FORM, np.where(drawn[:, 3] % 100 < spm, SPM_FORM, PSM_FORM))
     return lines, form, np.where(plain[:, None], low[:, None], ends)
@@ -109,8 +109,8 @@ def gathered(out: np.ndarray, offsets: np.ndarray, form: np.ndarray) -> tuple[np
     """(restored bytes, offsets of the texts), from outputs and forms alone."""
     changed = form != PLAIN_FORM
     low, high = offsets[:-1], offsets[1:]
-    found = marks(out)
-    found = found[changed[(np.searchsorted(offsets, found, side="right") - 1).clip(max=len(form) - 1)]] if len(found) else found
+    found = marks(out, offsets)
+    found = found[changed[np.searchsorted(offsets, found, side="right") - 1]]
     found = found.reshape(-1, 3)  # a transformed output holds each sentinel once
     if len(found) != changed.sum():
         raise ValueError("an output does not have its three sentinels")
@@ -201,6 +201,6 @@ def restore(rows: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256."""
-    return restore(transform(docs)).select(
+    return settle(restore(transform(docs)).select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
-        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")), "digests")
