@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that operators use inside; documents may have columns of these names.
-EXTRA = "size long, kept boolean, key string, word string, line string, v long, shard int, n_words long, start long"
+EXTRA = "size long, kept boolean, key string, word string, line string, v long, shard int, n_words long, start long, "
+EXTRA += ("_id long, _h long, _hash long, _nth int, _kept int, _counts int, _times int, _text string, _lang string, _l string, _cuts int, "
+          "row int, times int, hash long, row_hash long, text_hash long, nth int, id long, own_lang string")
 DATA = "/root/testdata/sf0.001"
 
 
@@ -32,7 +34,8 @@ def odd_rows() -> list[tuple]:
 
 def frame(spark: SparkSession, rows: list[tuple], extra: bool = False) -> DataFrame:
     if extra:
-        return spark.createDataFrame([(*r, 1, True, "k", "w", "l", 2, 3, 4, 5) for r in rows], f"{SCHEMA}, {EXTRA}")
+        extra = (1, True, "k", "w", "l", 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, "t", "la", "l2", 13, 14, 15, 16, 17, 18, 19, 20, "o")
+        return spark.createDataFrame([(*r, *extra) for r in rows], f"{SCHEMA}, {EXTRA}")
     return spark.createDataFrame(rows, SCHEMA)
 
 
