@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +17,27 @@ GAP = r"[\x20\x09-\x0D]+"
 LOWEST = -(1 << 63)
 
 
+# While a table is written, an Arrow batch holds 1,000 rows where the session has Spark's default of 10,000: texts of
+# some kilobytes make batches of some megabytes then, on both sides of the pipe.
 ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
 
 def prepare(spark: SparkSession) -> None:
-    """Before Python reads texts: ship this package to the workers, and let a batch hold 1,000 texts
-    instead of Spark's default of 10,000, unless the session has another number. Texts of some kilobytes
-    make batches of some megabytes then, on both sides of the pipe."""
+    """Before Python reads rows: ship this package to the workers."""
     ship_package(spark)
-    name, default, texts = ARROW_ROWS
-    if spark.conf.get(name) == default:
-        spark.conf.set(name, texts)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """ARROW_ROWS for what runs inside; the session's own number afterwards."""
+    name, default, rows = ARROW_ROWS
+    before = spark.conf.get(name)
+    if before == default:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +56,8 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as a table below the shared folder and go on from there: it is computed once,
     is read by column, and survives the loss of executors. The folder's owner clears it."""
     path = run_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

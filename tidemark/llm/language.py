@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import prepare, settle
 
 
 ORDER = 3  # bytes of the longest context
@@ -180,4 +180,4 @@ def identify(docs: DataFrame, per_language: int = FIT_DOCUMENTS) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(fold(doc_id) == 2, F.lit(False)).alias("held_out"),
                        F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return settle(rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double"), "languages")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import WORD, prepare, settle
+from tidemark.llm.common import WORD, packed_rows, prepare, settle, unpacked
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -59,14 +59,16 @@ def text_counts(text: str | None) -> tuple[int, ...]:
             len(raw) - len(raw.translate(None, _CAPITALS)))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """Adds ``_counts``, a struct of ``_COUNTS``, to the rows; all their columns stay."""
+def counted(docs: DataFrame, packed: bool = False) -> DataFrame:
+    """Adds ``_counts``, a struct of ``_COUNTS``, to the rows; all their columns stay. The text is in the column
+    ``text``, or in that field of the column ``row``."""
     prepare(docs.sparkSession)
     kind = T.StructType([T.StructField(name, T.LongType()) for name in _COUNTS])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_counts(text.as_py()) for text in batch["text"]]
+            texts = batch["row"].field("text") if packed else batch["text"]
+            rows = [text_counts(text.as_py()) for text in texts]
             columns = list(zip(*rows)) or [()] * len(_COUNTS)
             counts = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], _COUNTS)
             yield pa.RecordBatch.from_arrays([*batch.columns, counts], [*batch.schema.names, "_counts"])
@@ -186,7 +188,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that ``judge`` keeps, with all their columns, judged one by one.
+    """The rows that ``judge`` keeps, with all their columns, judged one by one: so ties and repeated rows go or
+    stay together, and null, empty and wordless texts go. An empty table gives no rows.
 
     Counts are taken once for the thresholds and once more beside the texts, which so need no
     shuffle unless there are over BROADCAST_ROWS thresholds."""
@@ -194,11 +197,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
         F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct("*").alias("_cuts")), "cuts")
     if cuts.count() <= BROADCAST_ROWS:
         cuts = F.broadcast(cuts)
-    rows = counted(docs).select("*", F.col("lang").alias("_l"), F.col("source").alias("_s"))
-    joined = rows.join(cuts, F.col("_l").eqNullSafe(F.col("_lang"))
-                       & F.col("_s").eqNullSafe(F.col("_source")), "left")
+    rows = counted(packed_rows(docs, own_lang=F.col("lang").cast("string"), own_source=F.col("source").cast("string")), packed=True)
+    joined = rows.join(cuts, F.col("own_lang").eqNullSafe(F.col("_lang"))
+                       & F.col("own_source").eqNullSafe(F.col("_source")), "left")
     inner = "_counts."
     failed = F.expr(re.sub(r"\bn_", inner + "n_", _BASE))
     measures = F.struct(*[c.alias(m) for m, c in _measures(inner).items()])
-    return joined.filter(~failed & ~beyond(measures, F.col("_cuts"))).select(*[
-        F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(joined.filter(~failed & ~beyond(measures, F.col("_cuts"))))

@@ -21,16 +21,16 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWEST, prepare, settle
+from tidemark.llm.common import LOWEST, prepare, settle, small_batches
 from tidemark.session import run_folder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,7 +39,9 @@ PACK = b"TPK1"
 BLOCK = 4096  # ids of a block
 FILE_IDS = 2_000_000  # a file is closed by the document that reaches so many ids
 PARTITION_BYTES = 64 << 20  # text bytes of a partition, about
-CACHED_WORDS = 600_000  # encoded words a worker remembers; then it starts anew
+CACHED_BYTES = 20 << 20  # of words and ids that a task remembers, with ENTRY_BYTES for each; then it starts anew
+ENTRY_BYTES = 150
+RUN_CHARS = 1 << 20  # texts of so many characters are learned at once; longer ones are cut where that changes no id
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -53,12 +55,24 @@ _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_L
 _PLAIN = re.compile(rf"[\x00-\x1b\x20-\x7e{_LETTER}]*")
 
 
+# Between these the pre-tokenizer's words end in any context, so a text can be cut there.
+_CUT = re.compile(r"(?<=[0-9A-Za-z.,]\n)(?=[0-9A-Za-z])")
+
+
+def pieces(text: str) -> list[str]:
+    """``text`` in pieces of at least RUN_CHARS that give its ids one behind the other."""
+    cuts = [0]
+    while len(text) - cuts[-1] > RUN_CHARS and (found := _CUT.search(text, cuts[-1] + RUN_CHARS)):
+        cuts.append(found.start())
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
 class Encoder:
     """Ids of whole texts, equal to those of the tokenizer's own ``encode``.
 
-    Byte-level BPE merges within the words of its pre-tokenizer only, so each distinct word is given
-    to the tokenizer once and remembered. ``special`` tells whether the names of special tokens in a
-    text count as these tokens, which is the tokenizer's default."""
+    Byte-level BPE merges within the words of its pre-tokenizer only, so the distinct words of many texts
+    are given to the tokenizer at once and remembered. ``special`` tells whether the names of special tokens
+    in a text count as these tokens, which is the tokenizer's default."""
 
     def __init__(self, path: str, special: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,32 +81,52 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
-        self.known: dict[str, bytes] = {}
+        self.forget()
 
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in set(words) if w not in self.known]
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def _learn(self, words: set[str]) -> None:
+        if self.held > CACHED_BYTES:
+            self.forget()
+        new = list(words.difference(self.known))
         for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+            ids = self.known[word] = np.array(found.ids, "<u4").tobytes()
+            self.held += len(word) + len(ids) + ENTRY_BYTES
+
+    def _run(self, texts: list[str]) -> list[np.ndarray]:
+        split = [_WORDS.findall(t) if _PLAIN.fullmatch(t) and not any(n in t for n in self.names) else None for t in texts]
+        self._learn(set().union(*filter(None, split)))
+        return [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4") if words is None else
+                np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for text, words in zip(texts, split)]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in runs of about RUN_CHARS."""
+        run, held = [], 0
+        for text in texts:
+            if len(text) > RUN_CHARS:
+                yield from self._run(run)
+                run, held = [], 0
+                yield np.concatenate([self._run([piece])[0] for piece in pieces(text)])
+                continue
+            run.append(text)
+            held += len(text)
+            if held >= RUN_CHARS:
+                yield from self._run(run)
+                run, held = [], 0
+        yield from self._run(run)
 
     def encode(self, text: str) -> np.ndarray:
-        if not _PLAIN.fullmatch(text) or any(name in text for name in self.names):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        words = _WORDS.findall(text)
-        try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
-        except KeyError:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-            self._learn(words)
-            return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
-
-
-@lru_cache(maxsize=2)
+        return next(self.encode_all([text]))
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str, special: bool = True) -> Encoder:
-    """One per worker process; its memory of words serves all tasks of the process."""
+    """One per worker process, for its vocabulary; tasks forget the words they learned."""
     return Encoder(path, special)
 
 
@@ -187,24 +221,29 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, make=
                                                         pa.binary())], ["value"])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids.append(np.concatenate([code.encode(text), end]))
+            texts = (x.as_py() for x in batch["text"])
+            for doc_id, found in zip(batch["doc_id"].to_pylist(), code.encode_all(texts)):
+                ids.append(np.concatenate([found, end]))
                 names.append(LOWEST if doc_id is None else doc_id)
                 held += len(ids[-1])
                 if held >= FILE_IDS:
                     yield full()
                     made, held = made + 1, 0
                     ids.clear(), names.clear()
+        code.forget()
         if ids:
             yield full()
+            ids.clear()
+        pa.default_memory_pool().release_unused()
 
     if ordered:
         n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         rows = (rows.withColumn("tie", F.xxhash64("text"))
                 .repartitionByRange(max(1, -(-n_bytes // PARTITION_BYTES)), F.col("doc_id").asc_nulls_first(), "tie")
                 .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").drop("tie"))
-    (rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))
-     .write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", compression).text(path))
+    files = rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))
+    with small_batches(docs.sparkSession):
+        files.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", compression).text(path)
     return width
 
 
@@ -231,13 +270,38 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
     return token_files(spark, path).mapInArrow(read, ", ".join(f"`{n}` long" for n in names))
 
 
-def with_file_starts(rows: DataFrame, size: str, order: str = "order") -> DataFrame:
-    """Adds ``before``: the sum of ``size`` over all files of lower order. One window over a row per
-    file, some hundred thousand for petabytes."""
-    files = rows.groupBy(order).agg(F.sum(size).alias("_n"))
-    window = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = files.select(order, F.coalesce(F.sum("_n").over(window), F.lit(0)).alias("before"))
-    return rows.join(before, order)
+def before_each(rows: DataFrame, key: str, sums: dict[str, Column], coarse: int = 1 << 10) -> DataFrame:
+    """Adds, for each of ``sums``, its total over all rows of lower ``key`` (unique, from 0). Rows are numbered by runs of
+    ``coarse`` keys, runs by runs of runs, and so on until one run is left: no window is longer than ``coarse``."""
+    most = rows.agg(F.max(key)).first()[0] or 0
+    table = rows.select(F.col(key).alias("_key"), *[v.cast("long").alias(n) for n, v in sums.items()])
+    levels = [table]
+    while most >= coarse:
+        most //= coarse
+        table = table.groupBy(F.expr(f"_key div {coarse}").alias("_key")).agg(*[F.sum(n).alias(n) for n in sums])
+        levels.append(table)
+    found = None
+    for table in reversed(levels):
+        run = F.expr(f"_key div {coarse}")
+        order = Window.partitionBy("_run").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+        inside = table.withColumn("_run", run).withColumns({n: F.coalesce(F.sum(n).over(order), F.lit(0)) for n in sums})
+        if found is not None:
+            above = found.select(F.col("_key").alias("_run"), *[F.col(n).alias(f"_{n}") for n in sums])
+            inside = inside.join(above, "_run").withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums})
+        found = inside.select("_key", *sums)
+    return rows.join(found.withColumnRenamed("_key", key), key)
+
+
+def with_file_starts(rows: DataFrame, size: str) -> DataFrame:
+    """Adds ``before``: the sum of ``size`` over all files of lower order. Files are numbered within their partition
+    and partitions from 0, so two prefix sums give it."""
+    files = rows.groupBy("order").agg(F.sum(size).alias("n")).select(
+        F.shiftright("order", 32).alias("part"), F.col("order").bitwiseAND(F.lit(0xFFFFFFFF)).alias("file"), "order", "n")
+    inside = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    parts = before_each(files.groupBy("part").agg(F.sum("n").alias("n")), "part", {"part_before": F.col("n")})
+    before = (files.withColumn("file_before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts.drop("n"), "part")
+              .select("order", (F.col("part_before") + F.col("file_before")).alias("before")))
+    return rows.join(before, "order")
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
