@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, settle
+from tidemark.llm.common import prepare, released, settle
 
 # The sentinels, the seed of the hash, and the shares in percent.
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
@@ -179,7 +179,7 @@ def transform(docs: DataFrame, rate: int = RATE, spm: int = SPM, seed: int = SEE
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(
-        run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output binary")
+        released(run), "doc_id long, n long, form string, prefix_chars long, middle_chars long, output binary")
     return rows.withColumn("output", F.col("output").cast("string"))
 
 
@@ -196,7 +196,7 @@ def restore(rows: DataFrame) -> DataFrame:
                 form = np.array([FORMS.index(f) for f in own["form"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([*own.columns, _column(*gathered(raw, offsets, form))], [*names, "restored"])
 
-    return rows.mapInArrow(run, schema).withColumn("restored", F.col("restored").cast("string"))
+    return rows.mapInArrow(released(run), schema).withColumn("restored", F.col("restored").cast("string"))
 
 
 def report(docs: DataFrame) -> DataFrame:

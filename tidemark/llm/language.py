@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, settle
+from tidemark.llm.common import prepare, released, settle
 
 
 ORDER = 3  # bytes of the longest context
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, per_language: int = FIT_DOCUMENTS) -> Trees:
                                                       pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     sample = labelled.filter(unit < rate).select("lang", "text")
-    rows = (sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram")
+    rows = (sample.mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram")
             .agg(F.sum("n").alias("n")).collect())
     return Trees([tuple(r) for r in rows])
 
@@ -180,4 +180,4 @@ def identify(docs: DataFrame, per_language: int = FIT_DOCUMENTS) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(fold(doc_id) == 2, F.lit(False)).alias("held_out"),
                        F.col("text").cast("string").alias("text"))
-    return settle(rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double"), "languages")
+    return settle(rows.mapInArrow(released(predict), "doc_id long, held_out boolean, lang_pred string, score double"), "languages")

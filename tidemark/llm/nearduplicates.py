@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed_rows, prepare, settle, unpacked
+from tidemark.llm.common import packed_rows, prepare, released, settle, unpacked
 
 SHINGLE = 5  # words
 PERCENT = 85  # least similarity of a link
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], names)
 
     return _texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        sign, "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
+        released(sign), "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def first_nodes(documents: DataFrame, trees: int = TREES) -> DataFrame:
                 v = np.repeat(batch["v"].to_numpy(), trees)
                 yield pa.RecordBatch.from_arrays([pa.array(node.ravel().view(np.int64)), pa.array(v)], ["node", "v"])
 
-    return documents.select("v", "signature").mapInArrow(branch, "node long, v long")
+    return documents.select("v", "signature").mapInArrow(released(branch), "node long, v long")
 
 
 def next_nodes(rows: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def next_nodes(rows: DataFrame) -> DataFrame:
                 yield _rows("node", mixed(chosen + value).view(np.int64)[on], v[on], (open_ & ~agrees)[on])
 
     return rows.select("node", "v", "open", "pivot", "signature", "pivot_signature").mapInArrow(
-        branch, "kind string, a long, b long, open boolean")
+        released(branch), "kind string, a long, b long, open boolean")
 
 
 def _rows(kind: str, a: np.ndarray, b: np.ndarray, open_: np.ndarray) -> pa.RecordBatch:
@@ -291,7 +291,7 @@ def by_group(rows: DataFrame, keys: list[str], handle: Callable[[list[dict]], li
         if made:
             yield _pairs(made)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*names).mapInArrow(run, out)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*names).mapInArrow(released(run), out)
 
 
 def _pairs(made: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -346,7 +346,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                     [s.tobytes() for s in found], pa.binary())], [*names, "shingles"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(sets, f"{fields}, shingles binary")
+    return rows.mapInArrow(released(sets), f"{fields}, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -363,7 +363,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     shared = settle(shared, "pivots")
     if (shared.agg(F.sum(F.octet_length("y"))).first()[0] or 0) <= BROADCAST_BYTES:
         shared = F.broadcast(shared)
-    return settle(pairs.join(own, "a").join(shared, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "verified")
+    return settle(pairs.join(own, "a").join(shared, "b").select("a", "b", "x", "y").mapInArrow(released(check), "a long, b long"), "verified")
 
 
 def confirmed_links(docs: DataFrame, clusters: DataFrame, likely: DataFrame) -> DataFrame:

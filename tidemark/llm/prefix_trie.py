@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWEST, prepare, settle
+from tidemark.llm.common import LOWEST, prepare, released, settle
 
 GROUP = 5  # conversations in a row share the first turns of the first of them
 MOST = 9  # a conversation takes fewer turns from it
@@ -210,7 +210,7 @@ def forwarded(rows: DataFrame) -> DataFrame:
 
     dealt = rows.repartition("shard").sortWithinPartitions("shard", F.col("depth").desc(), "a", "b")
     fields = ", ".join(f"{c} boolean" if c == "root" else f"{c} long" for c in names)
-    return dealt.select("shard", *NODE, "root", *given).mapInArrow(run, fields)
+    return dealt.select("shard", *NODE, "root", *given).mapInArrow(released(run), fields)
 
 
 def totals(path: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def ends(path: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b", "ends_sha256"])
 
     dealt = runs.repartition("a", "b").sortWithinPartitions("a", "b", "run").select("a", "b", "ids")
-    return dealt.mapInArrow(hashed, "a long, b long, ends_sha256 string")
+    return dealt.mapInArrow(released(hashed), "a long, b long, ends_sha256 string")
 
 
 def trie(conversations: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import WORD, packed_rows, prepare, settle, unpacked
+from tidemark.llm.common import WORD, packed_rows, prepare, released, settle, unpacked
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -73,7 +73,7 @@ def counted(docs: DataFrame, packed: bool = False) -> DataFrame:
             counts = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], _COUNTS)
             yield pa.RecordBatch.from_arrays([*batch.columns, counts], [*batch.schema.names, "_counts"])
 
-    return docs.mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField("_counts", kind)]))
+    return docs.mapInArrow(released(count), T.StructType([*docs.schema.fields, T.StructField("_counts", kind)]))
 
 
 def _measures(within: str = "") -> dict[str, Column]:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWEST, prepare, settle, small_batches
+from tidemark.llm.common import LOWEST, prepare, released, settle, small_batches
 from tidemark.session import run_folder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,8 +39,9 @@ PACK = b"TPK1"
 BLOCK = 4096  # ids of a block
 FILE_IDS = 2_000_000  # a file is closed by the document that reaches so many ids
 PARTITION_BYTES = 64 << 20  # text bytes of a partition, about
-CACHED_BYTES = 20 << 20  # of words and ids that a task remembers, with ENTRY_BYTES for each; then it starts anew
-ENTRY_BYTES = 150
+CACHED_BYTES = 80 << 20  # of words and ids that a task remembers, with ENTRY_BYTES for each; then it starts anew
+ENTRY_BYTES = 170
+JOINED_WORDS = 500  # that are encoded as one text
 RUN_CHARS = 1 << 20  # texts of so many characters are learned at once; longer ones are cut where that changes no id
 
 
@@ -81,6 +82,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.opens = np.zeros(self.size(), bool)  # tokens that begin with a space, as the vocabulary writes it
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "Ġ"]] = True
         self.forget()
 
     def size(self) -> int:
@@ -91,12 +94,25 @@ class Encoder:
         self.held = 0
 
     def _learn(self, words: set[str]) -> None:
+        """Words that begin with a space stand apart in a text of such words, and only their first token begins with
+        the space, so many are encoded as one text and cut there."""
         if self.held > CACHED_BYTES:
             self.forget()
         new = list(words.difference(self.known))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = self.known[word] = np.array(found.ids, "<u4").tobytes()
-            self.held += len(word) + len(ids) + ENTRY_BYTES
+        spaced = [w for w in new if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
+        alone = list(set(new).difference(spaced))
+        groups = [spaced[i:i + JOINED_WORDS] for i in range(0, len(spaced), JOINED_WORDS)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) != len(group):
+                alone += group
+                continue
+            raw, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            self.known.update(zip(group, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+        for word, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[word] = np.array(found.ids, "<u4").tobytes()
+        self.held += sum(map(len, new)) + ENTRY_BYTES * len(new)
 
     def _run(self, texts: list[str]) -> list[np.ndarray]:
         split = [_WORDS.findall(t) if _PLAIN.fullmatch(t) and not any(n in t for n in self.names) else None for t in texts]
@@ -234,14 +250,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, make=
         if ids:
             yield full()
             ids.clear()
-        pa.default_memory_pool().release_unused()
 
     if ordered:
         n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         rows = (rows.withColumn("tie", F.xxhash64("text"))
                 .repartitionByRange(max(1, -(-n_bytes // PARTITION_BYTES)), F.col("doc_id").asc_nulls_first(), "tie")
                 .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").drop("tie"))
-    files = rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value"))
+    files = rows.mapInArrow(released(encode), "value binary").select(F.col("value").cast("string").alias("value"))
     with small_batches(docs.sparkSession):
         files.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", compression).text(path)
     return width
@@ -267,7 +282,7 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
                 columns = [[file.order] * len(rows), doc_ids, file.starts[:-1].tolist(), file.index["n"].tolist(), crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    return token_files(spark, path).mapInArrow(read, ", ".join(f"`{n}` long" for n in names))
+    return token_files(spark, path).mapInArrow(released(read), ", ".join(f"`{n}` long" for n in names))
 
 
 def before_each(rows: DataFrame, key: str, sums: dict[str, Column], coarse: int = 1 << 10) -> DataFrame:
@@ -356,7 +371,7 @@ def scan_separators(files: DataFrame, end_id: int, wide: bool = False, block: in
                         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns],
                                                          ["order", "block", "nth", "at", "n_tokens"])
 
-    table = files.mapInArrow(blocks, ", ".join(f"`{n}` long" for n in names))
+    table = files.mapInArrow(released(blocks), ", ".join(f"`{n}` long" for n in names))
     # The scan runs over one row per block of a quarter million ids.
     before = Window.orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
     scanned = (table.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0)))
@@ -365,7 +380,7 @@ def scan_separators(files: DataFrame, end_id: int, wide: bool = False, block: in
     crossing = scanned.filter("n_ends > 0").select(
         F.col("docs_before").alias("doc_no"), F.col("open").alias("start"),
         (F.col("base") + F.col("first_end") + 1 - F.col("open")).alias("n_tokens"))
-    within = (files.mapInArrow(inner, "`order` long, block long, nth long, at long, n_tokens long")
+    within = (files.mapInArrow(released(inner), "`order` long, block long, nth long, at long, n_tokens long")
               .join(scanned.select("order", "block", "base", "docs_before"), ["order", "block"])
               .select((F.col("docs_before") + F.col("nth")).alias("doc_no"), (F.col("base") + F.col("at")).alias("start"),
                       "n_tokens"))
