@@ -104,3 +104,24 @@ def test_stream_admission_equals_brute_force(spark, tmp_path):
      .trigger(availableNow=True).start().awaitTermination())
     got = {r["i"]: (r["admitted"], r["retry_after_s"]) for r in dicts(spark.read.parquet(out))}
     assert got == brute_force(events, 4, 30)
+
+
+def test_a_replayed_batch_replaces_its_rejects_and_broken_lines_keep_their_text(spark, tmp_path):
+    from tidemark.streaming import ingest
+    folder, out, bad, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "mark")
+    folder.mkdir()
+    good = {"id": "btc", "symbol": "s", "market_cap": 1, "current_price": 2, "total_volume": 3, "circulating_supply": 4,
+            "market_cap_rank": 5, "last_updated": "2024-01-01T00:00:00Z"}
+    broken = '{"id": "eth", "symbol": '
+    (folder / "1.json").write_text("\n".join([json.dumps(good), broken, json.dumps(good | {"id": ""})]))
+    (stream_ingest(market_stream(spark, str(folder)), out, mark, quarantine_path=bad)
+     .trigger(availableNow=True).start().awaitTermination())
+    found = {r.raw_line: r.validation_reasons if "validation_reasons" in r else r[ingest.REASONS] for r in spark.read.parquet(bad).collect()}
+    assert found[broken] == [ingest.UNREADABLE] and len(found) == 2 and found[None] != [ingest.UNREADABLE]
+    assert [r.asset_id for r in spark.read.parquet(out).collect()] == ["btc"] and "raw_line" not in spark.read.parquet(out).columns
+    # The commit of the batch is lost, so the same batch runs again.
+    (tmp_path / "mark" / "commits" / "0").unlink()
+    (tmp_path / "mark" / "commits" / ".0.crc").unlink(missing_ok=True)
+    (stream_ingest(market_stream(spark, str(folder)), out, mark, quarantine_path=bad)
+     .trigger(availableNow=True).start().awaitTermination())
+    assert spark.read.parquet(bad).count() == 2 and spark.read.parquet(out).count() == 1

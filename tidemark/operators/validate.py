@@ -58,8 +58,9 @@ def not_castable(name: str, raw: Column, data_type: str) -> Rule:
 MARKET_REQUIRED = [field.name for field in schemas.BRONZE_MARKET]
 
 
-def normalize_market(df: DataFrame, now: Column) -> DataFrame:
-    """Feed aliases, defaults and record id; all columns still text where the feed has text."""
+def normalize_market(df: DataFrame, now: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """Feed aliases, defaults and record id; all columns still text where the feed has text. Columns in ``keep``
+    stay as they are."""
     first = lambda *names: F.coalesce(*[blank_to_null(name) for name in names])
     asset, seen = first("asset_id", "id"), first("observed_at", "last_updated")
     return df.select(
@@ -80,7 +81,7 @@ def normalize_market(df: DataFrame, now: Column) -> DataFrame:
         F.col("circulating_supply"),
         F.col("market_cap_rank"),
         F.coalesce(blank_to_null("payload_version"), F.lit(fv.DEFAULT_PAYLOAD_VERSION))
-        .alias("payload_version"))
+        .alias("payload_version"), *keep)
 
 
 def validate_market(df: DataFrame) -> Checked:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -40,6 +41,27 @@ def write_clustered(df: DataFrame, path: str, cols: Sequence[str]) -> None:
      .write.mode("overwrite").parquet(path))
 
 
+def publish_table(df: DataFrame, name: str, folder: str) -> str:
+    """Replace the rows of the catalog table ``name`` in one statement; returns the new version's folder.
+
+    The rows are written to a folder of their own below ``folder`` first, so ``df`` may read the table, and a run
+    that ends before the last statement leaves the old rows in place and readable. Then the table's location moves;
+    a view of that name, or a table of another schema, gives way to a new table. Readers see all old rows
+    or all new ones. Folders of older versions stay for readers that began with them; their owner clears them."""
+    spark, version = df.sparkSession, f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
+    df.write.parquet(version)
+    drop_if_view(spark, name)
+    if spark.catalog.tableExists(name):
+        fields = lambda schema: [(f.name, f.dataType) for f in schema]
+        if fields(spark.table(name).schema) == fields(df.schema):
+            spark.sql(f"ALTER TABLE {name} SET LOCATION '{version}'")
+            spark.catalog.refreshTable(name)
+            return version
+        spark.sql(f"DROP TABLE {name}")  # the folders of a table with a location of its own stay
+    spark.catalog.createTable(name, version, "parquet", df.schema)
+    return version
+
+
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType,
                  partition_by: Sequence[str] = ()) -> None:
     """Create the table with a declared schema unless it exists."""

@@ -5,13 +5,17 @@ Each run writes to a new folder below the shared one.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.functions.columns import moment
 from tidemark.operators import validate
+from tidemark.plans import incremental
 from tidemark.session import run_folder
-from tidemark.sources import align, readers, writers
+from tidemark.sources import align, layout, readers, writers
 from tidemark.workload.roles import AS_OF, role
 from tidemark.workload.text import admission_sql
 from tidemark.workload.views import Views, sql
@@ -22,9 +26,9 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def query(name: str, text: str | None = None):
+def query(name: str, text: str | None = None, round6: str = ""):
     def register(build):
-        QUERIES[name] = (build, sql(text) if text else None)
+        QUERIES[name] = (build, sql(text, round6) if text else None)
         return build
     return register
 
@@ -56,6 +60,93 @@ def _(v: Views):
             .groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_shipdate").alias("newest")))
 
 
+@query("write_curve", """SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_returnflag FROM lineitem""")
+def _(v: Views):
+    """Laid out by supplier, date and flag at once, and read back whole."""
+    path = run_folder(v.spark, "curve")
+    lines = readers.read_table(v.spark, v.folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_returnflag")
+    layout.write_curve(lines, path, ["l_suppkey", "l_shipdate", "l_returnflag"])
+    return v.spark.read.parquet(path)
+
+
+def _refreshed(v: Views, name: str):
+    """Silver of all bronze but two days of it, brought up to date with the rows of these days."""
+    path, rows = run_folder(v.spark, "incremental"), v.role("bronze")
+    first = rows.agg(F.min(incremental.day_of())).first()[0]
+    days = [first + timedelta(days=3), first + timedelta(days=14)]
+    late = incremental.day_of().isin(days)
+    rows.filter(~late).write.parquet(f"{path}/bronze")
+    incremental.rebuild(v.spark, f"{path}/bronze", f"{path}/silver", measure=T.DoubleType())
+    rows.filter(late).write.mode("append").parquet(f"{path}/bronze")
+    incremental.refresh(v.spark, rows.filter(late), f"{path}/bronze", f"{path}/silver", measure=T.DoubleType())
+    return incremental.read_silver(v.spark, f"{path}/silver", name)
+
+
+@query("incremental_changes", "SELECT * FROM changes", "price_change_pct_1h price_change_pct_24h price_change_pct_7d")
+def _(v: Views):
+    return _refreshed(v, "silver_market_changes")
+
+
+@query("incremental_dominance", "SELECT * FROM dominance", "market_cap_usd dominance_pct")
+def _(v: Views):
+    return _refreshed(v, "silver_market_dominance")
+
+
+@query("incremental_comparison", "SELECT * FROM comparison", "price_change_pct_24h price_change_pct_7d")
+def _(v: Views):
+    return _refreshed(v, "silver_cross_asset_comparison")
+
+
+def _database(v: Views) -> tuple[str, str]:
+    """A new database whose tables lie in a folder of the run, and the folder."""
+    path = run_folder(v.spark, "catalog")
+    name = "tidemark_" + path.rsplit("-", 1)[-1]
+    v.spark.sql(f"CREATE DATABASE {name} LOCATION '{path}/tables'")
+    return name, path
+
+
+@query("append_table", "SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey, c_mktsegment FROM customer")
+def _(v: Views):
+    """A declared table, appended to twice."""
+    name = f"{_database(v)[0]}.customers"
+    rows = readers.read_table(v.spark, v.folder, "customer").select("c_custkey", "c_mktsegment")
+    writers.ensure_table(v.spark, name, rows.schema)
+    writers.ensure_table(v.spark, name, rows.schema)
+    for _ in range(2):
+        writers.append_table(rows, name)
+    return v.spark.table(name)
+
+
+@query("overwrite_table", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+def _(v: Views):
+    """Rows and schema of a table replaced by others."""
+    name = f"{_database(v)[0]}.held"
+    writers.overwrite_table(readers.read_table(v.spark, v.folder, "customer"), name)
+    orders = readers.read_table(v.spark, v.folder, "orders")
+    writers.overwrite_table(orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), name)
+    return v.spark.table(name)
+
+
+@query("drop_view_for_table", "SELECT n_nationkey, n_name FROM nation")
+def _(v: Views):
+    """A view makes room for a table of its name; a table stays."""
+    name = f"{_database(v)[0]}.nations"
+    rows = readers.read_table(v.spark, v.folder, "nation").select("n_nationkey", "n_name")
+    v.spark.sql(f"CREATE VIEW {name} AS SELECT 1 AS one")
+    dropped = writers.drop_if_view(v.spark, name)
+    writers.overwrite_table(rows, name)
+    return v.spark.table(name).filter(F.lit(dropped and not writers.drop_if_view(v.spark, name)))
+
+
+@query("publish_table", "SELECT s_suppkey, -s_acctbal AS s_acctbal FROM supplier")
+def _(v: Views):
+    """A table published from its own rows: the second version reads the first."""
+    base, path = _database(v)
+    writers.publish_table(readers.read_table(v.spark, v.folder, "supplier").select("s_suppkey", "s_acctbal"), f"{base}.suppliers", path)
+    writers.publish_table(v.spark.table(f"{base}.suppliers").withColumn("s_acctbal", -F.col("s_acctbal")), f"{base}.suppliers", path)
+    return v.spark.table(f"{base}.suppliers")
+
+
 @query("append_new_rows", """SELECT asset_id, observed_at, max(source_record_id) AS record
   FROM bronze GROUP BY asset_id, observed_at""")
 def _(v: Views):
