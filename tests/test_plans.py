@@ -5,11 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, freshness, latest, percentiles, serving, silver
+from tidemark.operators import alerts, asof, freshness, latest, percentiles, serving, silver
 from tidemark.plans.layers import SERVING_ALIASES, build_layers, serving_views
 from tidemark.session import cut_lineage
 from tidemark.workload import storage
 from tidemark.workload.registry import all_queries
+from tidemark.workload.roles import AS_OF
 from tidemark.workload.views import Views
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,6 +52,19 @@ def test_percentile_counts_values_before_any_window(spark):
     assert text.rindex("partial_count") > text.rindex("Window")
 
 
+def test_alerts_scan_usage_and_runs_once(spark, tmp_path):
+    """Both sides as tables of their own."""
+    views = Views(spark, FOLDER)
+    for name in ("usage", "runs"):
+        views.role(name).write.parquet(f"{tmp_path}/{name}")
+    usage, runs = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("usage", "runs"))
+    found = alerts.evaluate_alerts(usage, runs, AS_OF, 24 * 40)
+    assert found.count() >= 0
+    found.collect()
+    text = plan(found).split("== Initial Plan ==")[0]
+    assert text.count("FileScan") == 2
+
+
 def test_sort_and_limit_become_one_operator(views):
     text = plan(serving.recent_usage(views.role("usage")))
     assert "TakeOrderedAndProject" in text

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fv
 from tidemark.functions.columns import before, escalation, is_stale, labels_where, lookup, moment
-from tidemark.operators.percentiles import p95_floor
 from tidemark.sources.align import conform
 from tidemark import schemas
 
@@ -27,49 +27,64 @@ def _as_alerts(df: DataFrame, as_of: AsOf, source: str = fv.EVALUATION_SOURCE) -
                    .withColumn("created_at", moment(as_of)), schemas.ALERTS)
 
 
-def error_rate_alerts(usage: DataFrame, as_of: AsOf, hours: float = 1,
-                      limit_pct: float = 10.0) -> DataFrame:
-    """Everything that is neither success nor partial is an error; a missing status too."""
+def _usage_findings(usage: DataFrame, as_of: AsOf, hours: float, limit_pct: float, limit_ms: int, limit_usd: float,
+                    kinds: Sequence[str]) -> DataFrame:
+    """(kind, message) from one pass over the usage of the window.
+
+    Events are counted per tier and latency (combined map-side). A scope is all events (null) or a tier; a window
+    over its latencies, as many as the integers have and not as the events, gives the floor rank of the 95th percentile,
+    and its first row carries the totals. Everything that is neither success nor partial is an error; a missing
+    status too. Events without a latency count in the totals alone."""
     failed = ~F.coalesce(F.col("response_status").isin("success", "partial"), F.lit(False))
-    totals = _recent(usage, "event_time", as_of, hours).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(failed).alias("errors"))
-    rate = F.col("errors") / F.col("total") * 100
-    return _as_alerts(totals.filter((F.col("total") > 0) & (rate > limit_pct)).select(
-        F.lit("error_spike").alias("kind"),
-        F.format_string(f"Error rate %.1f%% exceeds threshold {limit_pct}%% "
-                        "(%d/%d requests in window).", rate, F.col("errors"), F.col("total"))
-        .alias("message")), as_of)
-
-
-def latency_alerts(usage: DataFrame, as_of: AsOf, hours: float = 1,
-                   limit_ms: int = 5000) -> DataFrame:
-    p95 = p95_floor(_recent(usage, "event_time", as_of, hours), [], "latency_ms")
-    return _as_alerts(p95.filter(F.col("p95_latency_ms") > limit_ms).select(
-        F.lit("latency_breach").alias("kind"),
-        F.format_string(f"P95 latency %dms exceeds threshold {limit_ms}ms.", "p95_latency_ms")
-        .alias("message")), as_of)
-
-
-def tier_latency_alerts(usage: DataFrame, as_of: AsOf, hours: float = 1,
-                        limit_ms: int = 5000) -> DataFrame:
-    tiers = _recent(usage, "event_time", as_of, hours).withColumn(
-        "model_tier", F.coalesce(F.nullif("model_tier", F.lit("")), F.lit("standard")))
-    p95 = p95_floor(tiers, ["model_tier"], "latency_ms")
-    return _as_alerts(p95.filter(F.col("p95_latency_ms") > limit_ms).select(
-        F.lit("latency_breach").alias("kind"),
-        F.format_string("P95 latency for tier '%s' is %dms — exceeds "
-                        f"{limit_ms}ms threshold.", "model_tier", "p95_latency_ms")
-        .alias("message")), as_of)
-
-
-def cost_alerts(usage: DataFrame, as_of: AsOf, hours: float = 1,
-                limit_usd: float = 1.0) -> DataFrame:
-    total = _recent(usage, "event_time", as_of, hours).agg(
-        F.sum("cost_estimate").cast("double").alias("cost"))
-    return _as_alerts(total.filter(F.col("cost") > limit_usd).select(
-        F.lit("cost_anomaly").alias("kind"),
-        F.format_string(f"Hourly cost $%.4f exceeds threshold ${limit_usd:.2f}.", "cost")
-        .alias("message")), as_of)
+    tier = F.coalesce(F.nullif("model_tier", F.lit("")), F.lit("standard"))
+    sums = (_recent(usage, "event_time", as_of, hours).groupBy(tier.alias("tier"), F.col("latency_ms").alias("latency"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("errors"), F.sum("cost_estimate").cast("double").alias("cost")))
+    scoped = (sums.withColumn("scope", F.explode(F.array(F.lit(None).cast("string"), F.col("tier"))))
+              .groupBy("scope", "latency").agg(*[F.sum(c).alias(c) for c in ("n", "errors", "cost")]))
+    scope = Window.partitionBy("scope")
+    order = scope.orderBy(F.col("latency").asc_nulls_first())
+    known = F.when(F.col("latency").isNotNull(), F.col("n")).otherwise(0)
+    ranked = scoped.withColumns({
+        "known": known, "upto": F.sum(known).over(order), "rank": F.greatest(F.lit(1), F.floor(F.sum(known).over(scope) * F.lit(0.95))),
+        "nth": F.row_number().over(order), **{f"all_{c}": F.sum(c).over(scope) for c in ("n", "errors", "cost")}})
+    rate = F.col("all_errors") / F.col("all_n") * 100
+    total = F.col("scope").isNull() & (F.col("nth") == 1)
+    slow = (F.col("latency") > limit_ms) & (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("known") < F.col("rank"))
+
+    def alert(when: Column, kind: str, text: str, *values: Column | str) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), F.format_string(text, *values).alias("message")))
+
+    found = {
+        "error": alert(total & (rate > limit_pct), "error_spike", f"Error rate %.1f%% exceeds threshold {limit_pct}%% "
+                       "(%d/%d requests in window).", rate, "all_errors", "all_n"),
+        "latency": alert(slow & F.col("scope").isNull(), "latency_breach", f"P95 latency %dms exceeds threshold {limit_ms}ms.", "latency"),
+        "cost": alert(total & (F.col("all_cost") > limit_usd), "cost_anomaly",
+                      f"Hourly cost $%.4f exceeds threshold ${limit_usd:.2f}.", "all_cost"),
+        "tier": alert(slow & F.col("scope").isNotNull(), "latency_breach",
+                      f"P95 latency for tier '%s' is %dms — exceeds {limit_ms}ms threshold.", "scope", "latency")}
+    return ranked.select(F.explode(F.array_compact(F.array(*[found[k] for k in kinds]))).alias("a")).select("a.*")
+
+
+def usage_alerts(usage: DataFrame, as_of: AsOf, hours: float = 1, limit_pct: float = 10.0, limit_ms: int = 5000,
+                 limit_usd: float = 1.0, kinds: Sequence[str] = ("error", "latency", "cost", "tier")) -> DataFrame:
+    """Alerts on error rate, latency, cost and latency per tier, read from one scan."""
+    return _as_alerts(_usage_findings(usage, as_of, hours, limit_pct, limit_ms, limit_usd, kinds), as_of)
+
+
+def error_rate_alerts(usage: DataFrame, as_of: AsOf, hours: float = 1, limit_pct: float = 10.0) -> DataFrame:
+    return usage_alerts(usage, as_of, hours, limit_pct=limit_pct, kinds=["error"])
+
+
+def latency_alerts(usage: DataFrame, as_of: AsOf, hours: float = 1, limit_ms: int = 5000) -> DataFrame:
+    return usage_alerts(usage, as_of, hours, limit_ms=limit_ms, kinds=["latency"])
+
+
+def tier_latency_alerts(usage: DataFrame, as_of: AsOf, hours: float = 1, limit_ms: int = 5000) -> DataFrame:
+    return usage_alerts(usage, as_of, hours, limit_ms=limit_ms, kinds=["tier"])
+
+
+def cost_alerts(usage: DataFrame, as_of: AsOf, hours: float = 1, limit_usd: float = 1.0) -> DataFrame:
+    return usage_alerts(usage, as_of, hours, limit_usd=limit_usd, kinds=["cost"])
 
 
 def run_alerts(runs: DataFrame, as_of: AsOf, hours: float = 1) -> DataFrame:
@@ -87,10 +102,7 @@ def run_alerts(runs: DataFrame, as_of: AsOf, hours: float = 1) -> DataFrame:
 def evaluate_alerts(usage: DataFrame, runs: DataFrame, as_of: AsOf,
                     hours: float = 1) -> DataFrame:
     """All alerts of the window, ready to append, with the ones to announce marked."""
-    parts = [error_rate_alerts(usage, as_of, hours), latency_alerts(usage, as_of, hours),
-             cost_alerts(usage, as_of, hours), tier_latency_alerts(usage, as_of, hours),
-             run_alerts(runs, as_of, hours)]
-    return reduce(DataFrame.unionByName, parts).withColumn(
+    return usage_alerts(usage, as_of, hours).unionByName(run_alerts(runs, as_of, hours)).withColumn(
         "high_severity", F.col("kind").isin(fv.HIGH_SEVERITY_KINDS))
 
 
