@@ -39,7 +39,7 @@ PACK = b"TPK1"
 BLOCK = 4096  # ids of a block
 FILE_IDS = 2_000_000  # a file is closed by the document that reaches so many ids
 PARTITION_BYTES = 64 << 20  # text bytes of a partition, about
-CACHED_BYTES = 80 << 20  # of words and ids that a task remembers, with ENTRY_BYTES for each; then it starts anew
+CACHED_BYTES = 40 << 20  # of words and ids that a task remembers, with ENTRY_BYTES for each; then it starts anew
 ENTRY_BYTES = 170
 JOINED_WORDS = 500  # that are encoded as one text
 RUN_CHARS = 1 << 20  # texts of so many characters are learned at once; longer ones are cut where that changes no id
