@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from tests.llm.cases import frame, odd_rows
-from tests.llm.test_secret_scan import TEXTS
+from tests.llm.test_secret_scan import TEXTS, hex_keys
 from tidemark.llm import decontamination, fill_middle, nearduplicates, oracle, quality, secret_scan, sharding
 from tools.compare import rows_of
 
@@ -19,7 +19,8 @@ def told_apart(rows):
 
 CASES = {
     "quality": (quality.judge, oracle.QUALITY, odd_rows()),
-    "secrets": (secret_scan.scan, oracle.SECRETS, odd_rows() + [(100 + i, t, "en", "a", 0) for i, t in enumerate(TEXTS)]),
+    "secrets": (secret_scan.scan, oracle.SECRETS, odd_rows() + [(100 + i, t, "en", "a", 0) for i, t in enumerate(
+        TEXTS + [t for texts in hex_keys() for t in texts])]),
     "decontamination": (lambda docs: decontamination.contamination(
         docs, docs.sparkSession.createDataFrame(ITEMS, "item_id long, text string")), oracle.DECONTAMINATION, odd_rows()),
     "fill_middle": (fill_middle.report, oracle.FILL_MIDDLE, odd_rows() + [(200 + i, t, "en", "a", 0) for i, t in enumerate(

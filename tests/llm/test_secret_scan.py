@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,15 +95,46 @@ def dense(text):
     return ",".join(out)
 
 
-def test_hex_keys_behind_names_and_paths(spark):
+def hex_keys():
+    """Keys behind names and paths, and texts with runs of digits and letters that are no such keys."""
     rng = random.Random(4)
     key = lambda n, digits="0123456789ABCDEF": "".join(rng.choice(digits) for _ in range(n))
     keys = [f"{before}{key(n)}" for before in ("", "KEY=", "id_", "path/", "LICENSE_KEY=", "x1-") for n in (40, 64) for _ in range(20)]
     others = [key(30) + "/x_" + key(24), "q1_" + key(30, "0123456789"), key(5) + "_q1_" + key(40, "0123456789") + "=", "12AB_34" + key(25, "AB"),
               "1" + key(30, "0123456789") + "_A" + key(30, "0123456789"), "KEY=" + key(19) + "_" + key(19), "K3Y=" + "A1" * 20]
+    return keys, others
+
+
+def test_hex_keys_behind_names_and_paths(spark):
+    keys, others = hex_keys()
     texts = keys + [f"say {x}, then" for x in others]
     docs = frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
     got = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
     assert all(got[i] for i in range(len(keys)))
     plain = [i for i, t in enumerate(texts) if not brute(t)[0] + brute(t)[1] + brute(t)[2]]
     assert len(plain) > len(keys) // 2 and {i: got[i] for i in plain} == {i: dense(texts[i]) for i in plain}
+
+
+def test_long_texts_equal_brute_force_in_proportion(spark):
+    rng = random.Random(9)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n, digits=chars: "".join(rng.choice(digits) for _ in range(n))
+    low = "a1" * 30
+    texts = [
+        " ".join(key(20, "0123456789abcdef") for _ in range(3000)),  # more matches than a chunk holds
+        " ".join(f"token={key(rng.randrange(8, 30))} {low} KEY-{key(22)}" for _ in range(700)),
+        *[low * 200 + "A" * gap + key(24) + low * 80 for gap in range(0, 120, 7)],  # windows across the cuts of a candidate
+        key(9000), low * 90 + key(8192 - 5400 - 10) + "=" * 30 + low * 9, "x1-" + "ab-cd_12/" * 30000, "aB3" * 5000]
+    docs = frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    assert {r.doc_id: tuple(r)[1:] for r in secret_scan.scan(docs).collect()} == {i: brute(t) for i, t in enumerate(texts)}
+
+    many = " ".join(key(16, "0123456789abcdef") for _ in range(1000)) + " "
+
+    def seconds(text):
+        before = time.monotonic()
+        [row] = secret_scan.scan(frame(spark, [(1, text, "en", "a", 0)])).collect()
+        assert row.n_hex == len(text) // 17
+        return time.monotonic() - before
+
+    seconds(many)
+    assert seconds(many * 400) < 60  # 6.8 MB, 400,000 matches

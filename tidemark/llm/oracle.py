@@ -159,7 +159,12 @@ _PIECES = " UNION ALL ".join(
     for kind, pattern in enumerate(_PATTERNS))
 _BITS = " ".join(f"WHEN regexp_matches(part, '{pattern}') THEN {secret_scan.most(bits)}"
                  for pattern, bits in secret_scan.CLASSES.values())
-_ALLOWED = " OR ".join(f"regexp_matches(part, '{pattern}')" for pattern in secret_scan.ALLOWED)
+# Possessive or not is the same here: no word can give up a character to what follows.
+_ALLOWED = " OR ".join(f"regexp_matches(part, '{pattern.replace('++', '+').replace('*+', '*')}')" for pattern in secret_scan.ALLOWED)
+# A window of hexadecimal digits, in a run of these with a letter: in the window, or next to its decimal digits.
+_HEX_WINDOW = (f"regexp_full_match(seen, '{secret_scan.HEX_DIGIT}+') AND (regexp_matches(seen, '[A-Fa-f]') OR "
+               f"regexp_matches(substr(part, k + {secret_scan.WINDOW + 1}), '^[0-9]*[A-Fa-f]') OR "
+               "regexp_matches(substr(part, 1, k), '[A-Fa-f][0-9]*$'))")
 _SCALED = [secret_scan.scaled(c) for c in range(secret_scan.WINDOW + 1)]
 _LIST = f"{list(secret_scan.KINDS)}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop"
 
@@ -177,8 +182,10 @@ candidates AS (
   SELECT r, part, start, CASE {_BITS} END AS most FROM located
   WHERE kind = 3 AND length(part) >= {secret_scan.WINDOW} AND regexp_matches(part, '[0-9]') AND NOT ({_ALLOWED})),
 windows AS (
-  SELECT r, start, most, k, list_histogram(string_split(substr(part, k + 1, {secret_scan.WINDOW}), '')) AS counts
-  FROM (SELECT *, unnest(range(0, length(part) - {secret_scan.WINDOW - 1})) AS k FROM candidates)),
+  SELECT r, start, k, list_histogram(string_split(seen, '')) AS counts,
+         CASE WHEN {_HEX_WINDOW} THEN greatest(most, {secret_scan.most(secret_scan.CLASSES["hex"][1])}) ELSE most END AS most
+  FROM (SELECT *, part[k + 1:k + {secret_scan.WINDOW}] AS seen
+        FROM (SELECT *, unnest(range(0, length(part) - {secret_scan.WINDOW - 1})) AS k FROM candidates))),
 dense AS (
   SELECT r, start + min(k) AS start, start + max(k) + {secret_scan.WINDOW} AS stop FROM windows w
   WHERE list_sum(list_transform(map_values(counts), lambda c: {_SCALED}[c::BIGINT + 1])) <= most GROUP BY r, w.start),
