@@ -110,7 +110,12 @@ def _scalar_or_last(value: str, history: str) -> Column:
 
 
 def normalize_protocols(df: DataFrame, now: Column, strict_chain: bool = False) -> DataFrame:
-    """Protocol rows; without slug or numeric TVL a row is dropped.
+    """Protocol rows; without slug or numeric TVL a row is dropped."""
+    return validate_protocols(df, now, strict_chain).good
+
+
+def validate_protocols(df: DataFrame, now: Column, strict_chain: bool = False, keep: Sequence[str] = ()) -> Checked:
+    """Protocol rows with the reasons against those without slug or numeric TVL. Columns in ``keep`` stay as they are.
 
     ``strict_chain`` reproduces a precedence quirk: ``chain`` then counts only where ``chains``
     is not empty.
@@ -122,7 +127,7 @@ def normalize_protocols(df: DataFrame, now: Column, strict_chain: bool = False)
     chain = F.coalesce(blank_to_null("chain"), first_chain)
     if strict_chain:
         chain = F.when(F.size("chains") > 0, chain)
-    return df.select(
+    return check(df.select(
         F.lit(fv.PROTOCOL_SOURCE).alias("source_system"),
         slug.alias("source_record_id"),
         slug.alias("protocol_slug"),
@@ -135,8 +140,7 @@ def normalize_protocols(df: DataFrame, now: Column, strict_chain: bool = False)
         F.when((mcap != 0) & (tvl > 0), F.round(mcap / tvl, 6)).alias("mcap_tvl_ratio"),
         F.coalesce(blank_to_null("last_updated").try_cast("timestamp"), now).alias("observed_at"),
         now.alias("ingested_at"),
-        F.lit(fv.PROTOCOL_VERSION).alias("payload_version"),
-    ).filter(F.col("protocol_slug").isNotNull() & F.col("tvl_usd").isNotNull())
+        F.lit(fv.PROTOCOL_VERSION).alias("payload_version"), *keep), missing(["protocol_slug", "tvl_usd"]))
 
 
 def normalize_observations(df: DataFrame, names: DataFrame, now: Column) -> DataFrame:
@@ -144,21 +148,29 @@ def normalize_observations(df: DataFrame, names: DataFrame, now: Column) -> Data
 
     ``names`` is the table of series names.
     """
+    return validate_observations(df, names, now).good
+
+
+def validate_observations(df: DataFrame, names: DataFrame, now: Column, record: str | None = None) -> Checked:
+    """Every observation of every series, with the reasons against those without a date or a numeric value and those
+    of unknown series. ``record`` names a column to add that holds the observation with its series as JSON text."""
+    raw = F.to_json(F.struct("series_id", F.col("o.date").alias("date"), F.col("o.value").alias("value")))
     rows = (df.select("series_id", F.explode("observations").alias("o"))
-            .select("series_id", F.col("o.date").alias("observation_date"),
-                    _number(F.col("o.value")).alias("value"))
-            .filter(blank_to_null("observation_date").isNotNull() & F.col("value").isNotNull()))
-    return rows.join(names, "series_id").select(
+            .select("series_id", F.col("o.date").alias("observation_date"), _number(F.col("o.value")).alias("value"),
+                    *([raw.alias(record)] if record else [])))
+    known = rows.join(names, "series_id", "left").select(
         F.lit(fv.MACRO_SOURCE).alias("source_system"),
         F.concat_ws(":", "series_id", "observation_date").alias("source_record_id"),
         "series_id", "series_name", "observation_date", "value",
         now.alias("observed_at"), now.alias("ingested_at"),
-        F.lit(fv.MACRO_VERSION).alias("payload_version"))
+        F.lit(fv.MACRO_VERSION).alias("payload_version"), *([record] if record else []))
+    return check(known, [(F.col("series_name").isNull(), "unsupported:series_id"),
+                         *missing(["observation_date", "value"])])
 
 
-def repo_activity(df: DataFrame, as_of: Column) -> DataFrame:
+def repo_activity(df: DataFrame, as_of: Column, keep: Sequence[str] = ()) -> DataFrame:
     """Activity of a repository from its weekly commit totals; fewer than four weeks count as
-    none. The last 13 weeks are the quarter, the last 4 the month."""
+    none. The last 13 weeks are the quarter, the last 4 the month. Columns in ``keep`` stay as they are."""
     totals = F.transform("weeks", lambda w: F.coalesce(w["total"], F.lit(0)))
     weeks = F.col("_weeks")
     tail = lambda n: F.slice(weeks, F.greatest(F.size(weeks) - (n - 1), F.lit(1)), n)
@@ -177,17 +189,17 @@ def repo_activity(df: DataFrame, as_of: Column) -> DataFrame:
         F.when(enough, total(tail(4))).otherwise(0).alias("commits_30d"),
         F.when(enough, total(tail(13))).otherwise(0).alias("commits_90d"),
         F.coalesce(age, F.lit(0)).cast("bigint").alias("repo_age_days"),
-        F.coalesce("pushed_at", F.lit("")).alias("last_push_at"))
+        F.coalesce("pushed_at", F.lit("")).alias("last_push_at"), *keep)
 
 
-def normalize_activity(df: DataFrame, now: Column) -> DataFrame:
+def normalize_activity(df: DataFrame, now: Column, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(
         F.lit(fv.REPO_SOURCE).alias("source_system"),
         F.col("asset_id").alias("source_record_id"),
         "asset_id", "repo_full_name", "stars", "forks", "open_issues", "contributors_count",
         "commits_30d", "commits_90d", "repo_age_days", "last_push_at",
         now.alias("observed_at"), now.alias("ingested_at"),
-        F.lit(fv.REPO_VERSION).alias("payload_version"))
+        F.lit(fv.REPO_VERSION).alias("payload_version"), *keep)
 
 
 # Operations feeds ----------------------------------------------------------------------------------

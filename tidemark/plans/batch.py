@@ -14,19 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark import schemas
 from tidemark.functions.columns import moment
 from tidemark.operators import alerts as alerting
-from tidemark.operators import drift, enrich, ml, silver, validate
-from tidemark.sources import readers, writers
-from tidemark.sources.align import conform, to_bronze_market
+from tidemark.operators import drift, enrich, ml, silver
+from tidemark.plans import landing as landing_runs
+from tidemark.sources import writers
+from tidemark.sources.align import conform
 
 
 def land_market(spark: SparkSession, feed_path: str, table_path: str, quarantine_path: str,
-                now: datetime | str, lines: bool = False) -> None:
-    """Feed files into bronze: normalise, validate, insert what is new, keep the rejects."""
-    feed = readers.read_payload(spark, feed_path, schemas.MARKET_FEED, lines)
-    result = validate.validate_market(validate.normalize_market(feed, moment(now)))
-    writers.append_new_rows(spark, table_path, to_bronze_market(result.good),
-                            ["asset_id", "observed_at"], prune_by="observed_at")
-    result.quarantine.write.mode("append").parquet(quarantine_path)
+                now: datetime | str, lines: bool = False, landing: str | None = None) -> landing_runs.Landed:
+    """Feed files into bronze: normalise, validate, insert what is new, keep the rejects; an empty table raises."""
+    return landing_runs.land(spark, "market", feed_path, table_path, quarantine_path, now, landing, lines, min_rows=1)
 
 
 def refresh_silver(spark: SparkSession, bronze_path: str, silver_path: str) -> dict[str, int]:
