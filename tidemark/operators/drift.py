@@ -17,16 +17,23 @@ AsOf = datetime | str | Column
 FLOOR, TINY = 0.001, 1e-9
 
 
+def label_counts(scores: DataFrame, label: str = "predicted_regime", ts: str = "scored_at") -> DataFrame:
+    """Rows per time and label. A scoring run has one time, so this is a row per run and label; the counts of
+    several runs are read together as if they were their score rows."""
+    return scores.groupBy(ts, label).agg(F.count(F.lit(1)).alias("n"))
+
+
 def label_distribution(scores: DataFrame, low: Column | None = None, high: Column | None = None,
-                       label: str = "predicted_regime", ts: str = "scored_at") -> DataFrame:
-    """Share per label among the rows with ``low <= ts < high``; no rows, no labels."""
+                       label: str = "predicted_regime", ts: str = "scored_at", weight: str | None = None) -> DataFrame:
+    """Share per label among the rows with ``low <= ts < high``; no rows, no labels. ``weight`` names the column
+    that tells for how many rows a row stands (``n`` of ``label_counts``)."""
     rows = scores
     if low is not None:
         rows = rows.filter(F.col(ts) >= low)
     if high is not None:
         rows = rows.filter(F.col(ts) < high)
     rows = rows.select(F.coalesce(F.col(label).cast("string"), F.lit("None")).alias("_label"),
-                       F.lit(1).alias("n"))
+                       (F.col(weight) if weight else F.lit(1)).alias("n"))
     shares = share_of_total(rows, [], F.col("_label"), "label", "n", "pct")
     return shares.select("label", (F.col("pct") / 100).alias("share"))
 
@@ -47,11 +54,15 @@ def _log_rows(df: DataFrame, as_of: AsOf, source: str) -> DataFrame:
                    .withColumn("created_at", moment(as_of)), schemas.ALERTS)
 
 
-def drift_psi(scores: DataFrame, as_of: AsOf) -> DataFrame:
-    """Last 24 hours against the six days before them."""
+def _windows(scores: DataFrame, as_of: AsOf, weight: str | None) -> tuple[DataFrame, DataFrame]:
     day = before(as_of, days=1)
-    return psi(label_distribution(scores, before(as_of, days=7), day),
-               label_distribution(scores, day))
+    return (label_distribution(scores, before(as_of, days=7), day, weight=weight),
+            label_distribution(scores, day, weight=weight))
+
+
+def drift_psi(scores: DataFrame, as_of: AsOf, weight: str | None = None) -> DataFrame:
+    """Last 24 hours against the six days before them, of score rows or (with ``weight``) of their counts."""
+    return psi(*_windows(scores, as_of, weight))
 
 
 def _listed(shares: DataFrame, name: str) -> DataFrame:
@@ -62,10 +73,10 @@ def _listed(shares: DataFrame, name: str) -> DataFrame:
 
 
 def drift_alert(scores: DataFrame, as_of: AsOf, threshold: float = 0.2,
-                source: str = fv.DRIFT_SOURCE) -> DataFrame:
-    """At most one alert row, ready to append. Needs the score history, not the merged table."""
-    day = before(as_of, days=1)
-    base, current = label_distribution(scores, before(as_of, days=7), day), label_distribution(scores, day)
+                source: str = fv.DRIFT_SOURCE, weight: str | None = None) -> DataFrame:
+    """At most one alert row, ready to append. Needs the score history (or, with ``weight``, its counts), not the
+    merged table."""
+    base, current = _windows(scores, as_of, weight)
     found = (psi(base, current).crossJoin(F.broadcast(_listed(current, "now")))
              .crossJoin(F.broadcast(_listed(base, "past"))).filter(F.col("psi") >= threshold))
     return _log_rows(found.select(

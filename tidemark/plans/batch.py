@@ -6,10 +6,12 @@ executor costs one stage of one run.
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.columns import moment
@@ -79,6 +81,28 @@ def score(spark: SparkSession, features: DataFrame, regime: PipelineModel,
     writers.replace_folder(merged, scores_path)
 
 
+def count_labels(spark: SparkSession, history_path: str, counts_path: str, scored_at: datetime | str) -> None:
+    """Counts per label of the scoring run at ``scored_at`` into a folder of its own, which a rerun replaces."""
+    run = spark.read.schema(schemas.GOLD_SCORES).parquet(history_path).filter(F.col("scored_at") == moment(scored_at))
+    name = hashlib.md5(str(scored_at).encode()).hexdigest()
+    (drift.label_counts(run).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .parquet(f"{counts_path}/run={name}"))
+
+
+def watch_drift(spark: SparkSession, counts_path: str, alert_path: str, as_of: datetime | str) -> list[str]:
+    """Drift from the counts of all scoring runs, without their rows: append the alert and, where it is one of too many
+    within days, the call for retraining. Returns the kinds appended (none without drift)."""
+    counts = spark.read.schema(schemas.LABEL_COUNTS).parquet(counts_path)
+    found = drift.drift_alert(counts, as_of, weight="n").collect()  # one row at most
+    if not found:
+        return []
+    spark.createDataFrame(found, schemas.ALERTS).write.mode("append").parquet(alert_path)
+    again = drift.retrain_trigger(spark.read.schema(schemas.ALERTS).parquet(alert_path), as_of).collect()
+    if again:
+        spark.createDataFrame(again, schemas.ALERTS).write.mode("append").parquet(alert_path)
+    return [row["kind"] for row in [*found, *again]]
+
+
 def watch(usage: DataFrame, runs: DataFrame, history: DataFrame, alert_path: str,
           as_of: datetime | str, hours: float = 1) -> DataFrame:
     """Append the alerts of usage, runs and drift; returns the ones to announce."""

@@ -113,6 +113,7 @@ GOLD_SCORES = schema(
     asset_id="string", symbol="string", scored_at="ts", predicted_regime="string",
     anomaly_score="int", momentum_score="double", regime_confidence="double",
     model_version="string")
+LABEL_COUNTS = schema(scored_at="ts", predicted_regime="string", n="long")
 USAGE_EVENTS = schema(
     event_time="ts", request_id="string", tenant_id="string", user_id="string",
     route_selected="string", model_or_engine="string", model_tier="string",

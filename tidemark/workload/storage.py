@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidemark import schemas
 from tidemark.functions.columns import moment
 from tidemark.operators import validate
-from tidemark.plans import incremental
+from tidemark.plans import incremental, landing
 from tidemark.session import run_folder
 from tidemark.sources import align, layout, readers, writers
 from tidemark.workload.roles import AS_OF, role
@@ -196,6 +196,37 @@ def _(v: Views):
     return v.spark.read.parquet(f"{path}/bronze").select("asset_id", "observed_at")
 
 
+def _landed(v: Views, feed: str, role_name: str, key: str):
+    """The feed landed twice under one name: the keys in the table, and those in quarantine with their reasons."""
+    path = run_folder(v.spark, f"land-{feed}")
+    role(v.spark, v.folder, role_name).write.json(f"{path}/feed")
+    for _ in range(2):
+        landing.land(v.spark, feed, f"{path}/feed", f"{path}/table", f"{path}/bad", AS_OF, "one")
+    good = landing.landed_rows(v.spark, f"{path}/table", landing.FEEDS[feed].table)
+    bad = landing.landed_rows(v.spark, f"{path}/bad", landing.QUARANTINE)
+    return good.select(F.col(key).alias("id"), F.lit("").alias("reasons")).unionByName(bad.select(
+        F.get_json_object(landing.RECORD, f"$.{key}").alias("id"), F.array_join(landing.validate.REASONS, "|").alias("reasons")))
+
+
+@query("land_usage", """
+  SELECT request_id AS id, concat_ws('|', CASE WHEN request_id = '' THEN 'missing:request_id' END,
+    CASE WHEN tenant_id IS NULL THEN 'missing:tenant_id' END,
+    CASE WHEN route_selected = 'elsewhere' THEN 'unsupported:route_selected' END,
+    CASE WHEN response_status = 'ok' THEN 'unsupported:response_status' END,
+    CASE WHEN latency_ms = 'slow' THEN 'invalid:latency_ms' END,
+    CASE WHEN prompt_tokens = 'many' THEN 'invalid:prompt_tokens' END) AS reasons FROM usage_feed""")
+def _(v: Views):
+    return _landed(v, "usage", "usage_feed", "request_id")
+
+
+@query("land_runs", """
+  SELECT run_id AS id, concat_ws('|', CASE WHEN job_name = '' THEN 'missing:job_name' END,
+    CASE WHEN status = 'BROKEN' THEN 'unsupported:status' END,
+    CASE WHEN duration_ms = 'long' THEN 'invalid:duration_ms' END) AS reasons FROM run_feed""")
+def _(v: Views):
+    return _landed(v, "runs", "run_feed", "run_id")
+
+
 @query("stream_rate_limit", admission_sql("SELECT *, user_id AS k, ts AS seen FROM events", 2, 86400))
 def _(v: Views):
     """Admission per user on a stream of the event table, two a day."""
