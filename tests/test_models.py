@@ -104,3 +104,21 @@ def test_champion(frame):
                  ("m", 3, "2024-01-03 00:00:00", 0.6, "p3"), ("n", 1, "2024-01-01 00:00:00", 0.1, "q"))
     rows = dicts(ml.champion(runs))
     assert [(r["model_name"], r["version"], r["previous_version"]) for r in rows] == [("m", 3, 1)]
+
+
+def test_the_scoring_query_computes_features_once(spark, features):
+    from tidemark.workload.text import QUERIES
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    class Given:
+        pass
+
+    Given.features = features.mapInArrow(counted, features.schema)
+    rows = dicts(QUERIES["score_assets"][0](Given))
+    assert len(rows) == 12 and all(r["valid"] for r in rows)
+    assert passed.value == 240

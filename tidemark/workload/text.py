@@ -9,7 +9,7 @@ from tidemark.functions import text as T
 from tidemark.operators import access, drift, ml, requests
 from tidemark.operators.freshness import union_all
 from tidemark.plans.layers import register_layers
-from tidemark.session import cut_lineage, run_folder
+from tidemark.session import cut_lineage, run_folder, written
 from tidemark.sources import readers
 from tidemark.streaming.health import stream_route_health
 from tidemark.workload.roles import AS_OF, ROLES
@@ -294,7 +294,7 @@ def _(v: Views):
   AND price_change_pct_24h IS NOT NULL AND price_change_pct_7d IS NOT NULL AND dominance_pct_btc IS NOT NULL
   AND vol_to_cap_ratio IS NOT NULL AND market_cap_usd IS NOT NULL""", "momentum_score")
 def _(v: Views):
-    features = v.features
+    features = written(v.features, "features")  # read six times below
     daily = cut_lineage(ml.regime_features(features))
     model = ml.train_anomaly(ml.latest_snapshot(features, keep=["asset_id"]), ids=["asset_id"])
     rows = ml.score_assets(features, ml.train_regime(daily), model, AS_OF)
