@@ -122,3 +122,27 @@ def test_the_scoring_query_computes_features_once(spark, features):
     rows = dicts(QUERIES["score_assets"][0](Given))
     assert len(rows) == 12 and all(r["valid"] for r in rows)
     assert passed.value == 240
+
+
+def test_grids_find_the_leaves_of_a_walk(spark, monkeypatch):
+    """Cuts met exactly, missing and endless values, and values beyond all of the sample."""
+    rng = np.random.default_rng(5)
+    sample = np.column_stack([rng.integers(0, 9, 256), rng.normal(0, 1, 256), np.zeros(256)])
+    trees = [ml._grow(sample, np.random.default_rng(i), 8) for i in range(6)]
+    cuts = ml._forest_cuts(trees, 3)
+    values = np.concatenate([sample, np.array([[np.nan, 0.1, 0.0], [99.0, np.inf, -np.inf], [-99.0, np.nan, np.nan]]),
+                             np.array([[cuts[0][0], c, 0.0] for c in cuts[1]])])
+    for tree in trees:
+        cells = ml._cells(tree, cuts)
+        at = sum(step[np.searchsorted(c, x, side="right")] for step, c, x in zip(cells.steps, cuts, values.T))
+        for row, found in zip(values, cells.path[cells.leaf[at]]):
+            node = 0
+            while tree[node, 0] >= 0:
+                node = int(tree[node, 2] if row[int(tree[node, 0])] < tree[node, 1] else tree[node, 3])
+            assert tree[node, 4] == found
+    model = ml.AnomalyModel(["x", "y", "z"], trees, 256, 0.5)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in values], "x double, y double, z double")
+    raw = lambda: sorted(r["anomaly_raw"] for r in dicts(ml.anomaly_scores(df, model)))
+    by_grid = raw()
+    monkeypatch.setattr(ml, "_cells", lambda *a: None)
+    assert ml._cells(trees[0], cuts) is None and len(by_grid) == len(values) and raw() == by_grid

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 from typing import NamedTuple
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.columns import moment, regime_label
-from tidemark.session import cut_lineage
+from tidemark.session import written
 from tidemark.sources.align import conform
 
 AsOf = datetime | str | Column
@@ -103,6 +103,9 @@ def latest_snapshot(features: DataFrame, columns: Sequence[str] = tuple(ANOMALY_
 # outliers. Trees and samples are bounded by parameters, so growing a tree is one small task and
 # the forest itself is a broadcast of fixed size.
 
+CELLS = 1 << 19  # of a tree's grid, of a byte each where it has up to 256 leaves
+
+
 class AnomalyModel(NamedTuple):
     columns: list[str]
     trees: list[np.ndarray]  # per tree: feature, threshold, left, right, leaf depth
@@ -157,12 +160,14 @@ def _tree_samples(df: DataFrame, ids: Sequence[str], columns: Sequence[str], row
             break
         limits.append(below)
         chance *= (trees - k) / (k + 1) * share / (1.0 - share)
+    base = df.select(*ids, *columns).withColumn("_u", unit(F.lit(seed)))
     if share == 1.0:
         serves = F.lit(trees)
     else:
         steps = F.array(*[F.lit(x) for x in limits])
         serves = F.size(F.filter(steps, lambda x: x <= F.col("_u")))
-    base = df.select(*ids, *columns).withColumn("_u", unit(F.lit(seed))).withColumn("_serves", serves)
+        base = base.filter(F.col("_u") >= F.lit(limits[0] if limits else 1.0))  # nearly all rows serve none and end here
+    base = base.withColumn("_serves", serves)
     shuffled = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
         F.xxhash64(*ids, *columns, t + seed).alias("h"), t.alias("tree"))))
     drawn = (base.filter("_serves > 0")
@@ -192,34 +197,90 @@ def _grow_forest(df: DataFrame, columns: Sequence[str], ids: Sequence[str], tree
     return AnomalyModel(columns, forest, size, 2.0)
 
 
+class _Cells(NamedTuple):
+    """A tree as a grid: ``steps`` has per feature the offset of a row's rank among all cuts of the forest, and the sum
+    of a row's offsets is the place of its leaf's number in ``leaf``."""
+
+    steps: list[np.ndarray]
+    leaf: np.ndarray
+    path: np.ndarray
+
+
+def _forest_cuts(trees: Sequence[np.ndarray], width: int) -> list[np.ndarray]:
+    """Per feature all cuts of the forest, ascending."""
+    nodes = np.concatenate(trees) if trees else np.zeros((0, 5))
+    return [np.unique(nodes[nodes[:, 0] == j, 1]) for j in range(width)]
+
+
+def _cells(tree: np.ndarray, cuts: Sequence[np.ndarray]) -> _Cells | None:
+    """The grid between a tree's own cuts; None where it would have more than CELLS cells."""
+    own = [np.unique(tree[tree[:, 0] == j, 1]) for j in range(len(cuts))]
+    shape = [len(c) + 1 for c in own]
+    if np.prod(shape, dtype=float) > CELLS:
+        return None
+    ends = np.flatnonzero(tree[:, 0] < 0)
+    number = {int(node): k for k, node in enumerate(ends)}
+    leaf = np.zeros(shape, np.min_scalar_type(max(len(ends) - 1, 0)))
+    todo = [(0, [(0, n) for n in shape])]
+    while todo:
+        node, box = todo.pop()
+        if node in number:
+            leaf[tuple(slice(low, high) for low, high in box)] = number[node]
+            continue
+        feature = int(tree[node, 0])
+        low, high = box[feature]
+        # ranks up to the cut's own are of values below the cut
+        at = min(max(int(np.searchsorted(own[feature], tree[node, 1])) + 1, low), high)
+        todo += [(int(tree[node, 2]), [*box[:feature], (low, at), *box[feature + 1:]]),
+                 (int(tree[node, 3]), [*box[:feature], (at, high), *box[feature + 1:]])]
+    strides = [int(np.prod(shape[j + 1:], dtype=np.int64)) for j in range(len(shape))]
+    steps = [np.concatenate([[0], np.cumsum(np.isin(all_, mine))]) * stride
+             for all_, mine, stride in zip(cuts, own, strides)]
+    return _Cells(steps, leaf.ravel(), tree[ends, 4])
+
+
 def _score(model: AnomalyModel) -> Column:
     """Anomaly score of a row: 2 to the minus (mean path length over all trees / norm).
 
-    Leaves point to themselves, so all rows of a batch walk every tree in lockstep.
+    A value is ranked once among all cuts of its feature; from the ranks each tree's leaf is read off
+    a grid. Trees whose grid would be too large (many features) are walked: leaves point to themselves,
+    so all rows of a batch walk in lockstep. Both find the same leaves.
     """
     norm, depth = _harmonic_path(model.sample), int(np.ceil(np.log2(model.sample)))
-    walks = []
-    for tree in model.trees:
+    trees, width = model.trees, len(model.columns)
+
+    def walk(tree: np.ndarray) -> tuple[np.ndarray, ...]:
         leaf, own = tree[:, 0] < 0, np.arange(len(tree))
-        walks.append((np.where(leaf, 0, tree[:, 0]).astype(np.int64),
-                      np.where(leaf, np.inf, tree[:, 1]),
-                      np.where(leaf, own, tree[:, 2]).astype(np.int64),
-                      np.where(leaf, own, tree[:, 3]).astype(np.int64), tree[:, 4]))
-
-    @F.pandas_udf("double")
-    def score(*series: pd.Series) -> pd.Series:
-        width, rows = len(series), np.column_stack([s.to_numpy(float) for s in series]).ravel()
-        start = np.arange(len(series[0])) * width
-        total = np.zeros(len(start))
-        for feature, cut, left, right, path in walks:
-            at = np.zeros(len(start), dtype=np.int64)
-            for _ in range(depth):
-                low = rows[start + feature[at]] < cut[at]
-                at = np.where(low, left[at], right[at])
-            total += path[at]
-        return pd.Series(np.power(2.0, -total / max(len(walks), 1) / norm))
-
-    return score(*[F.col(name).cast("double") for name in model.columns])
+        return (np.where(leaf, 0, tree[:, 0]).astype(np.int64), np.where(leaf, np.inf, tree[:, 1]),
+                np.where(leaf, own, tree[:, 2]).astype(np.int64), np.where(leaf, own, tree[:, 3]).astype(np.int64), tree[:, 4])
+
+    def walked(rows: np.ndarray, start: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+        feature, cut, left, right, path = tree
+        at = np.zeros(len(start), dtype=np.int64)
+        for _ in range(depth):
+            low = rows[start + feature[at]] < cut[at]
+            at = np.where(low, left[at], right[at])
+        return path[at]
+
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        cuts = _forest_cuts(trees, width)
+        forest = [_cells(tree, cuts) or walk(tree) for tree in trees]
+        for series in batches:
+            columns = [s.to_numpy(float) for s in series]
+            ranks = [np.searchsorted(c, x, side="right") for c, x in zip(cuts, columns)]  # a missing value is above all
+            rows, start = np.column_stack(columns).ravel(), np.arange(len(columns[0])) * width
+            total = np.zeros(len(start))
+            for tree in forest:
+                if isinstance(tree, _Cells):
+                    at = tree.steps[0][ranks[0]]
+                    for step, rank in zip(tree.steps[1:], ranks[1:]):
+                        at += step[rank]
+                    total += tree.path[tree.leaf[at]]
+                else:
+                    total += walked(rows, start, tree)
+            yield pd.Series(np.power(2.0, -total / max(len(forest), 1) / norm))
+
+    return F.pandas_udf(score, "double")(*[F.col(name).cast("double") for name in model.columns])
 
 
 def _threshold(scored: DataFrame, contamination: float) -> float:
@@ -251,9 +312,9 @@ def _label(scored: DataFrame, threshold: float) -> DataFrame:
 def train_anomaly(df: DataFrame, columns: Sequence[str] = tuple(ANOMALY_FEATURES),
                   ids: Sequence[str] = (), contamination: float = 0.05, trees: int = 100,
                   sample: int = 256, seed: int = 42) -> AnomalyModel:
-    rows = df.select(*ids, *[F.col(name).cast("double").alias(name) for name in columns])
+    rows = written(df.select(*ids, *[F.col(name).cast("double").alias(name) for name in columns]), "anomaly-rows")
     model = _grow_forest(rows, columns, ids, trees, sample, seed)
-    scored = cut_lineage(rows.select(_score(model).alias("anomaly_raw")))
+    scored = written(rows.select(_score(model).alias("anomaly_raw")), "anomaly-scores")
     return model._replace(threshold=_threshold(scored, contamination))
 
 
@@ -265,10 +326,10 @@ def anomaly_scores(df: DataFrame, model: AnomalyModel) -> DataFrame:
 def fit_anomaly_scores(df: DataFrame, columns: Sequence[str] = tuple(ANOMALY_FEATURES),
                        ids: Sequence[str] = (), contamination: float = 0.05, trees: int = 100,
                        sample: int = 256, seed: int = 42) -> DataFrame:
-    """Train on ``df`` and label it, walking the trees once: the raw scores are checkpointed,
-    the cut is taken from them and applied to them."""
+    """Train on ``df`` and label it, walking the trees once: the raw scores are written as a table,
+    the cut is taken from their column and applied to them."""
     model = _grow_forest(df, columns, ids, trees, sample, seed)
-    scored = cut_lineage(df.withColumn("anomaly_raw", _score(model)))
+    scored = written(df.withColumn("anomaly_raw", _score(model)), "anomaly-scores")
     return _label(scored, _threshold(scored, contamination))
 
 
