@@ -82,3 +82,25 @@ def test_sources_are_distinct_in_first_seen_order(spark):
                                "request_id string, part int, sources array<string>, token_count int")
     rows = {r["request_id"]: (r["sources"], r["total_tokens"]) for r in dicts(requests.merge_sources(df))}
     assert rows == {"r": (["a", "b", "c"], 12), "e": ([], 3), "n": ([], 0)}
+
+
+def test_stretches_are_told_apart_at_every_cut_of_the_batches():
+    """Many short stretches, cut into batches of each size: what is held ends with its stretch, not with its batch."""
+    import numpy as np
+    import pyarrow as pa
+    from tidemark.functions.admission import admit
+    rng, rows = random.Random(2), []
+    for key, stretch in (("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 3), ("c", 9)):
+        clock = 0
+        for _ in range(rng.randint(1, 9)):
+            clock += rng.choice([0, 400_000, 2_000_000, 31_000_000])
+            rows.append((key, stretch, clock))
+    want = []
+    for name in dict.fromkeys(r[:2] for r in rows):
+        ok, retry, _ = admit(np.array([r[2] for r in rows if r[:2] == name]), [], 2, 30_000_000)
+        want += list(zip(ok.tolist(), retry.tolist()))
+    for size in range(1, len(rows) + 1):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:i + size])], ["_k0", "_stretch", "_t"])
+                   for i in range(0, len(rows), size)]
+        got = [r for b in requests._stretch_decider(["_k0"], 2, 30_000_000)(iter(batches)) for r in b.to_pylist()]
+        assert [(r["admitted"], r["retry_after_s"]) for r in got] == want

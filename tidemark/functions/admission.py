@@ -1,7 +1,10 @@
-"""Sliding-window admission of one key: at most ``limit`` admitted events per window."""
+"""Sliding-window admission by key: at most ``limit`` admitted events per window."""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable
+
 import numpy as np
 
 
@@ -33,3 +36,24 @@ def admit(times: np.ndarray, held: list[int], limit: int, window: int
         retry[i:j] = np.maximum(1, left)
         i = j
     return admitted, retry, held
+
+
+def admit_each(times: list[int], starts: Iterable[bool], held: deque, limit: int, window: int
+               ) -> tuple[list[bool], list[int], deque]:
+    """``admit`` for sorted events of many short stretches in one go, a few steps per event however many stretches
+    there are; ``starts`` marks the first event of each, at which nothing is held."""
+    admitted, retry = [], []
+    for now, first in zip(times, starts):
+        if first:
+            held = deque()
+        past = now - window
+        while held and held[0] <= past:
+            held.popleft()
+        if len(held) < limit:
+            held.append(now)
+            admitted.append(True)
+            retry.append(0)
+        else:
+            admitted.append(False)
+            retry.append(max(1, (held[0] - past) // 1_000_000))
+    return admitted, retry, held

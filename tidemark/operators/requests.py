@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import fixed_values as fv
 from tidemark.functions import text
-from tidemark.functions.admission import admit
+from tidemark.functions.admission import admit_each
 
 
 def classify_route(df: DataFrame, col: str = "message_text") -> DataFrame:
@@ -87,33 +89,32 @@ def rate_limit(df: DataFrame, key: Sequence[str], ts: str, tie: Sequence[str], l
                .sortWithinPartitions(*keys, "_stretch", "_t", *tie))
     out_schema = T.StructType(list(crowded.schema) + [
         T.StructField("admitted", T.BooleanType()), T.StructField("retry_after_s", T.LongType())])
-    decided = crowded.mapInPandas(_stretch_decider(keys, limit, width), out_schema)
+    decided = crowded.mapInArrow(_stretch_decider(keys, limit, width), out_schema)
     return (settled.unionByName(decided).select(*df.columns, "admitted", "retry_after_s")
             .unionByName(untimed))
 
 
 def _stretch_decider(keys: list[str], limit: int, width: int):
+    """Decides sorted rows event by event: the held times begin anew where a stretch ends. The rows
+    themselves pass by; only their times and the starts of stretches are looked at."""
     group = [*keys, "_stretch"]
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held = None, []
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, deque()
         for batch in batches:
-            if batch.empty:
+            rows = batch.num_rows
+            if not rows:
                 continue
-            starts = (batch[group] != batch[group].shift()).any(axis=1).to_numpy()
-            edges = np.append(np.flatnonzero(starts), len(batch))
-            if edges[0] != 0:
-                edges = np.insert(edges, 0, 0)
-            times = batch["_t"].to_numpy()
-            admitted = np.zeros(len(batch), dtype=bool)
-            retry = np.zeros(len(batch), dtype=np.int64)
-            for low, high in zip(edges[:-1], edges[1:]):
-                name = tuple(batch.iloc[low][group])
-                if name != current:
-                    current, held = name, []
-                admitted[low:high], retry[low:high], held = admit(
-                    times[low:high], held, limit, width)
-            yield batch.assign(admitted=admitted, retry_after_s=retry)
+            starts = np.zeros(rows, dtype=bool)
+            for name in group:
+                column = batch.column(name)
+                starts[1:] |= pc.not_equal(column.slice(1), column.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+            starts[0] = tuple(batch.column(name)[0].as_py() for name in group) != current
+            current = tuple(batch.column(name)[rows - 1].as_py() for name in group)
+            admitted, retry, held = admit_each(batch.column("_t").to_pylist(), starts.tolist(), held, limit, width)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(admitted, pa.bool_()), pa.array(retry, pa.int64())],
+                [*batch.schema.names, "admitted", "retry_after_s"])
 
     return decide
 
