@@ -125,3 +125,23 @@ def test_a_replayed_batch_replaces_its_rejects_and_broken_lines_keep_their_text(
     (stream_ingest(market_stream(spark, str(folder)), out, mark, quarantine_path=bad)
      .trigger(availableNow=True).start().awaitTermination())
     assert spark.read.parquet(bad).count() == 2 and spark.read.parquet(out).count() == 1
+
+
+def test_many_keys_of_a_bucket_keep_times_of_their_own(spark, tmp_path, monkeypatch):
+    """All keys in one bucket, null and empty ones and such whose parts run together; two micro-batches."""
+    from tidemark.streaming import admission
+    monkeypatch.setattr(admission, "BUCKETS", 1)
+    keys = [("a", "bc"), ("ab", "c"), (None, "x"), ("", "x"), ("x", None), ("-", "x"), (None, None)]
+    rng, clock, events = random.Random(4), 0, []
+    for i in range(160):
+        clock += rng.choice([0, 1, 3])
+        events.append((rng.choice(keys), START + timedelta(seconds=clock), i))
+    source, out, mark = (str(tmp_path / name) for name in ("in", "out", "mark"))
+    for part in (events[:80], events[80:]):
+        spark.createDataFrame([(*k, ts, i) for k, ts, i in part], "k string, l string, ts timestamp, i int").coalesce(1).write.mode(
+            "append").parquet(source)
+    stream = spark.readStream.schema("k string, l string, ts timestamp, i int").option("maxFilesPerTrigger", 1).parquet(source)
+    (stream_rate_limit(stream, ["k", "l"], "ts", ["i"], limit=2, seconds=30).writeStream.outputMode("append").format("parquet")
+     .option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination())
+    got = {r["i"]: (r["admitted"], r["retry_after_s"]) for r in dicts(spark.read.parquet(out))}
+    assert got == brute_force(events, 2, 30)
