@@ -160,3 +160,25 @@ def test_odd_rows_and_filter(spark):
     assert held.columns == odd(spark).columns and sorted(k for k in kept if k is not None) == [-9, 1, 2, 3, 4, 7, 8, 9, 10, 10]
     assert kept.count(None) == 1  # the text of the other one is a document's
     assert nearduplicates.duplicates(empty(spark)).count() == 0 and nearduplicates.keep_one(empty(spark)).count() == 0
+
+
+def test_what_contraction_leaves_is_joined_at_once(spark, monkeypatch):
+    """A long path takes many rounds of contraction; its last edges are one move, with the same components."""
+    rng = random.Random(6)
+    names = rng.sample(range(-10**12, 10**12), 3000)
+    edges = [(a, b) for a, b in zip(names, names[1:]) if rng.random() > 0.01]
+    want, linked, group = {}, set(edges), [names[0]]
+    for a, b in zip(names, names[1:]):
+        if (a, b) in linked:
+            group.append(b)
+            continue
+        want |= dict.fromkeys(group, min(group)) if len(group) > 1 else {}
+        group = [b]
+    want |= dict.fromkeys(group, min(group)) if len(group) > 1 else {}
+    df, written, settle = spark.createDataFrame(edges + edges[:50], "a long, b long"), [], nearduplicates.settle
+    monkeypatch.setattr(nearduplicates, "settle", lambda df, purpose: written.append(purpose) or settle(df, purpose))
+    assert {r.v: r.c for r in nearduplicates.components(df).collect()} == want
+    assert written.count("moves") == 1
+    monkeypatch.setattr(nearduplicates, "LAST_EDGES", 40)
+    assert {r.v: r.c for r in nearduplicates.components(df).collect()} == want
+    assert written.count("moves") > 3

@@ -42,7 +42,8 @@ DEPTH = 6  # levels below the first; larger nodes then are compared in blocks, a
 SET_LIMIT = 1_000_000  # shingles compared in one task
 CHUNK = 1 << 20  # text bytes hashed at once
 BROADCAST_ROWS = 200_000  # of 20 bytes: more clustered documents than these are joined with the texts by a shuffle
-BROADCAST_BYTES = 16 << 20  # of the sets that the documents of large clusters are compared with first
+BROADCAST_BYTES = 16 << 20  # of the sets that the documents of large clusters are compared with first, and of pivots' signatures
+LAST_EDGES = 10_000  # as few, left over by contraction, are joined at once and not round by round
 ROUNDS = 4  # likely links of a document of a large cluster that are tried before blocks
 
 _RANDOM = np.random.default_rng(20240607)
@@ -210,8 +211,10 @@ def leaves(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             found.append(block_pairs(large, "node", "v", F.ceil(F.col("n_open") / BLOCK),
                                      F.ceil((F.col("size") - F.col("n_open")) / BLOCK)).select("node", "part", "other", "v"))
         else:
-            pivots = large.select("node", "pivot").distinct().join(
-                signed.withColumnsRenamed({"v": "pivot", "signature": "pivot_signature"}), "pivot").drop("pivot")
+            pivots = settle(large.select("node", "pivot").distinct().join(
+                signed.withColumnsRenamed({"v": "pivot", "signature": "pivot_signature"}), "pivot").drop("pivot"), "pivots")
+            if pivots.count() * 4 * COORDINATES <= BROADCAST_BYTES:
+                pivots = F.broadcast(pivots)  # then the rows of a hot node stay where they are
             below = settle(next_nodes(large.join(signed, "v").join(pivots, "node")), "below")
             links.append(below.filter("kind = 'link'").select("a", "b"))
             rows = below.filter("kind = 'node'").select(F.col("a").alias("node"), F.col("b").alias("v"), "open")
@@ -351,7 +354,8 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets are linked. The sets of ``b``, which many share, are sent around
-    if they are small, else joined by a shuffle, whose skewed partitions AQE splits."""
+    if they are small, else joined by a shuffle, whose skewed partitions AQE splits. A few pairs are sent around
+    too, and the sets of ``a`` stay where they are."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(
@@ -359,11 +363,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     own = sets.select(F.col("v").alias("a"), F.col("shingles").alias("x"))
+    pairs = settle(pairs, "pairs")
     shared = pairs.select("b").distinct().join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("y")), "b")
     shared = settle(shared, "pivots")
     if (shared.agg(F.sum(F.octet_length("y"))).first()[0] or 0) <= BROADCAST_BYTES:
         shared = F.broadcast(shared)
-    return settle(pairs.join(own, "a").join(shared, "b").select("a", "b", "x", "y").mapInArrow(released(check), "a long, b long"), "verified")
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
+    return settle(own.join(pairs, "a").join(shared, "b").select("a", "b", "x", "y").mapInArrow(released(check), "a long, b long"), "verified")
 
 
 def confirmed_links(docs: DataFrame, clusters: DataFrame, likely: DataFrame) -> DataFrame:
@@ -389,7 +396,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, likely: DataFrame) ->
     links = by_group(held.filter("NOT large").select("c", "v", F.col("v").alias("g"), "shingles"), ["c"], confirm)
 
     wide = members.filter("large").select("v", "c", "n")
-    sets = held.filter("large").select("v", "shingles").dropDuplicates(["v"])
+    sets = settle(held.filter("large").select("v", "shingles").dropDuplicates(["v"]), "large-sets")
     ranked = Window.partitionBy("a").orderBy(F.xxhash64("b"), "b")
     tries = settle(likely.distinct().join(wide.select(F.col("v").alias("a")), "a")
                    .withColumn("nth", F.row_number().over(ranked)).filter(F.col("nth") <= ROUNDS), "tries")
@@ -415,18 +422,41 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, likely: DataFrame) ->
     return links.unionByName(joined).unionByName(by_group(rows, ["c", "part", "other"], confirm))
 
 
+def joined_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, p): the least vertex ``p`` of the component of each vertex ``v`` of the (a, b) of one task."""
+    least: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while least[x] != x:
+            least[x] = x = least[least[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+            least.setdefault(a, a)
+            least.setdefault(b, b)
+            x, y = top(a), top(b)
+            least[max(x, y)] = min(x, y)
+    if least:
+        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int64()), pa.array([top(v) for v in list(least)], pa.int64())], ["v", "p"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, c): ``c`` is the least vertex reachable from ``v``, for all vertices of (a, b).
 
     Rounds of contraction: each vertex moves to the least of its neighbours and itself, by number in
     even rounds and by a hash in odd ones (numbers fold stars at once, hashes fold long paths). Every
-    round is written as a table; at last the moves are put one behind the other."""
+    round is written as a table; at last the moves are put one behind the other. The last LAST_EDGES edges,
+    which would take most rounds for the fewest rows, are one move."""
     moves, k = [], 0
     edges = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                    .filter("a <> b").distinct(), "edges")
     if edges.isEmpty():
         return edges.selectExpr("a AS v", "b AS c")
-    while not edges.isEmpty():
+    while left := edges.count():
+        if left <= LAST_EDGES:
+            moves.append(settle(edges.coalesce(1).mapInArrow(released(joined_at_once), "v long, p long"), "moves"))
+            break
         rank = (lambda x, k=k: F.col(x)) if k % 2 == 0 else (lambda x, k=k: F.xxhash64(x, F.lit(k)))
         near = edges.unionByName(edges.selectExpr("b AS a", "a AS b"))
         best = near.groupBy("a").agg(F.min_by("b", rank("b")).alias("p"))
