@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tidemark.functions import fixed_values as fv
 from tidemark.operators import silver
 from tidemark.schemas import MONEY
+from tidemark.session import written
 from tidemark.sources import writers
 
 DAY = "observed_day"  # the partition column
@@ -26,10 +27,11 @@ MOST_DAYS = 100_000  # of a batch, which the driver lists
 
 
 class Table(NamedTuple):
-    """How a silver table follows from bronze, and how many minutes it looks back."""
+    """How a silver table follows from bronze, or from its latest versions, and how many minutes it looks back."""
 
     build: Callable[[DataFrame, T.DataType], DataFrame]
     reach: int
+    latest: bool = False
 
 
 def _reach(windows: dict[str, tuple[int, int]]) -> int:
@@ -37,10 +39,11 @@ def _reach(windows: dict[str, tuple[int, int]]) -> int:
 
 
 TABLES = {
-    "silver_market_changes": Table(lambda bronze, m: silver.silver_changes(silver.market_base(bronze), m), _reach(fv.CHANGE_WINDOWS)),
+    "silver_market_changes": Table(silver.silver_changes, _reach(fv.CHANGE_WINDOWS), latest=True),
     "silver_market_dominance": Table(silver.silver_dominance, 0),
-    "silver_cross_asset_comparison": Table(
-        lambda bronze, m: silver.silver_comparison(silver.market_base(bronze), m), _reach(fv.COMPARISON_WINDOWS))}
+    "silver_cross_asset_comparison": Table(silver.silver_comparison, _reach(fv.COMPARISON_WINDOWS), latest=True)}
+# Of the latest versions, what these tables are built from.
+LATEST_COLUMNS = ["asset_id", "symbol", "name", "observed_at", "price_usd", "volume_24h_usd", "market_cap_usd", "market_cap_rank"]
 
 Spans = list[tuple[date, date]]
 
@@ -81,14 +84,28 @@ def _within(column: Column, parts: Spans, before: int = 0) -> Column:
 
 def rebuild(spark: SparkSession, bronze_path: str, silver_path: str, parts: dict[str, Spans] | None = None,
             measure: T.DataType = MONEY) -> None:
-    """Write the days ``parts`` names of each table (all days without it) from bronze; others stay as they are."""
+    """Write the days ``parts`` names of each table (all days without it) from bronze; others stay as they are.
+
+    Latest versions are found once for all tables that are built from them and see the same bronze rows: they are
+    written as a table below the shared folder, as each table would sort bronze for them again."""
     bronze = spark.read.parquet(bronze_path)
     seen = F.col("observed_at")
+    held: dict[tuple, DataFrame] = {}
+
+    def source(table: Table, days: Spans | None) -> DataFrame:
+        rows = bronze if days is None else bronze.filter(_within(seen, days, table.reach))
+        if not table.latest:
+            return rows
+        same = () if days is None else (table.reach, *days)
+        if same not in held:
+            held[same] = written(silver.market_base(rows).select(*LATEST_COLUMNS), "latest-versions")
+        return held[same]
+
     for name, table in TABLES.items():
         if parts is None:
-            rows = table.build(bronze, measure)
+            rows = table.build(source(table, None), measure)
         elif parts.get(name):
-            rows = table.build(bronze.filter(_within(seen, parts[name], table.reach)), measure).filter(_within(seen, parts[name]))
+            rows = table.build(source(table, parts[name]), measure).filter(_within(seen, parts[name]))
         else:
             continue
         writers.overwrite_partitioned(rows.withColumn(DAY, day_of()), f"{silver_path}/{name}", [DAY])
