@@ -145,3 +145,20 @@ def test_many_keys_of_a_bucket_keep_times_of_their_own(spark, tmp_path, monkeypa
      .option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination())
     got = {r["i"]: (r["admitted"], r["retry_after_s"]) for r in dicts(spark.read.parquet(out))}
     assert got == brute_force(events, 2, 30)
+
+
+def test_a_missing_integer_key_leaves_other_keys_their_own_times(spark, tmp_path):
+    """Integer keys and a missing one that share a partition."""
+    events = [(k, START + timedelta(seconds=10 * n), 10 * n + (k or 0)) for n in range(6) for k in (None, 1, 2, 3)]
+    source, out, mark = (str(tmp_path / name) for name in ("in", "out", "mark"))
+    spark.createDataFrame(events, "k long, ts timestamp, i int").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema("k long, ts timestamp, i int").parquet(source)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        (stream_rate_limit(stream, ["k"], "ts", ["i"], limit=2, seconds=30).writeStream.outputMode("append").format("parquet")
+         .option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {r["i"]: (r["admitted"], r["retry_after_s"]) for r in dicts(spark.read.parquet(out))}
+    assert got == brute_force(events, 2, 30)
