@@ -1,3 +1,5 @@
+import collections
+import re
 import struct
 import zlib
 
@@ -48,6 +50,50 @@ def test_words_encode_as_whole_texts(text):
         assert code.encode(body).tolist() == want.encode(body, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("a lsrevtmd'' 09.\n\t\x0b\x00\x1béſ"), max_size=30), min_size=1, max_size=4))
+def test_words_of_plain_texts_are_cut_as_by_the_rule(texts):
+    letter = tokens._LETTER
+    rule = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[0-9]+| ?[^\s{letter}0-9]+|\s+(?!\S)|\s+")
+    raw = b"".join(t.encode() + b"\xff" for t in texts)
+    starts = tokens.word_starts(np.frombuffer(raw, np.uint8)).tolist()
+    words = [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]
+    assert words == [w for t in texts for w in [*map(str.encode, rule.findall(t)), b"\xff"]]
+
+
+class Counting:
+    """A tokenizer that counts the words it is given in batches."""
+
+    def __init__(self, inner):
+        self.__dict__ |= {"inner": inner, "seen": collections.Counter(), "most": 0}
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def __setattr__(self, name, value):
+        setattr(self.inner, name, value)
+
+    def encode_batch_fast(self, texts, **more):
+        self.seen.update(" ".join(texts).split())
+        self.__dict__["most"] = max(self.most, sum(map(len, texts)))
+        return self.inner.encode_batch_fast(texts, **more)
+
+
+def test_words_met_again_stay_known_and_batches_are_small(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_BYTES", 400 * tokens.ENTRY_BYTES)
+    monkeypatch.setattr(tokens, "RUN_CHARS", 1)
+    code = tokens.Encoder(tokens.vocabulary_path())
+    code.tokenizer = Counting(code.tokenizer)
+    often = "".join(f" often{chr(97 + i)}" for i in range(20))
+    texts = [often + "".join(f" r{chr(97 + i)}{chr(97 + k % 26)}{'x' * (k // 26)}y" for i in range(26)) for k in range(80)]
+    texts.append("".join(f" {a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd" * 4))
+    for text, got in zip(texts, code.encode_all(texts)):
+        assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert code.tokenizer.seen["oftena"] == 1 and code.tokenizer.seen["raay"] == 1
+    assert len(code.known) + len(code.older) < 2000 and code.tokenizer.most < 16 * tokens.JOINED_WORDS * 10
+    assert code.encode("it's it 's 中 <|endoftext|>").tolist() == tokenizer.encode("it's it 's 中 <|endoftext|>", add_special_tokens=False).ids
+
+
 def _expected(rows, tokenizer, end):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     start, out = 0, []

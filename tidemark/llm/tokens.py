@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,11 @@ END_ID = 2
 PACK = b"TPK1"
 BLOCK = 4096  # ids of a block
 FILE_IDS = 2_000_000  # a file is closed by the document that reaches so many ids
-PARTITION_BYTES = 64 << 20  # text bytes of a partition, about
+PARTITION_BYTES = 16 << 20  # text bytes of a partition, about
 CACHED_BYTES = 40 << 20  # of words and ids that a task remembers, with ENTRY_BYTES for each; then it starts anew
 ENTRY_BYTES = 170
-JOINED_WORDS = 500  # that are encoded as one text
+JOINED_WORDS = 100  # that are encoded as one text
+ENCODED_TEXTS = 16  # that the tokenizer gets at once
 RUN_CHARS = 1 << 20  # texts of so many characters are learned at once; longer ones are cut where that changes no id
 
 
@@ -50,10 +52,39 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-# The pre-tokenizer's words, for texts of these characters only; all others are encoded whole.
+# Texts of these characters only are cut into the pre-tokenizer's words; all others are encoded whole.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(rf"[\x00-\x1b\x20-\x7e{_LETTER}]*")
+_STOP = b"\xff"  # follows each text of a run; no byte of a text is it
+# Kinds of the bytes of such texts: a byte of another letter than A to z is 0x80 or more.
+_OTHER, _ALPHA, _DIGIT, _SPACE, _END = range(5)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123), *range(128, 255)]] = _ALPHA
+_KINDS[48:58], _KINDS[[9, 10, 11, 12, 13, 32]], _KINDS[255] = _DIGIT, _SPACE, _END
+
+
+def word_starts(raw: np.ndarray) -> np.ndarray:
+    """Where the words of ``'s|'t|'re|'ve|'m|'ll|'d| ?letters| ?digits| ?others|\\s+(?!\\S)|\\s+`` begin in the bytes of
+    plain texts, each followed by _STOP, which is a word of its own."""
+    kind = _KINDS[raw]
+    start = np.ones(len(raw), bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == _END
+    # The last space character before a word is not of the run before it; a blank is the word's own.
+    heads = np.flatnonzero(start & (kind < _SPACE))
+    last = heads[(heads > 0) & (kind[heads - 1] == _SPACE)] - 1
+    start[last] = True
+    start[last[raw[last] == 32] + 1] = False
+    # An apostrophe by itself takes the letters of a contraction; a blank before it has made it another's.
+    quotes = np.flatnonzero(start & (raw == 39))
+    quotes = quotes[kind[quotes + 1] == _ALPHA]
+    one, two = raw[quotes + 1], raw[quotes + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    start[quotes[short | long] + 1] = False
+    start[quotes[short] + 2] = True
+    start[quotes[long] + 3] = True
+    return np.flatnonzero(start)
 
 
 # Between these the pre-tokenizer's words end in any context, so a text can be cut there.
@@ -77,48 +108,85 @@ class Encoder:
 
     def __init__(self, path: str, special: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.opens = np.zeros(self.size(), bool)  # tokens that begin with a space, as the vocabulary writes it
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "Ġ"]] = True
+        # For joined words, which are cut already: no rule but that a blank begins a word.
+        self.blanks = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"),
+                                               pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.forget()
 
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
     def forget(self) -> None:
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {_STOP: b""}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
 
-    def _learn(self, words: set[str]) -> None:
-        """Words that begin with a space stand apart in a text of such words, and only their first token begins with
+    def _encoded(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text by the tokenizer, ENCODED_TEXTS at a time: what it returns is many times their size."""
+        texts = iter(texts)
+        while some := [text.decode() for text in islice(texts, ENCODED_TEXTS)]:
+            for found in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                yield np.array(found.ids, "<u4")
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Adds ``words`` to what is known. Where that has grown to half of CACHED_BYTES it becomes the older half, from
+        which words come back when they are met again, and the older half before it is forgotten.
+
+        Words that begin with a space stand apart in a text of such words, and only their first token begins with
         the space, so many are encoded as one text and cut there."""
-        if self.held > CACHED_BYTES:
-            self.forget()
-        new = list(words.difference(self.known))
-        spaced = [w for w in new if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
-        alone = list(set(new).difference(spaced))
+        again = {w: self.older[w] for w in words if w in self.older}
+        self.known.update(again)
+        new = words.difference(again)
+        spaced = [w for w in new if w[0] == 32 and len(w) > 1 and not w[1:2].isspace()]
+        alone = list(new.difference(spaced))
         groups = [spaced[i:i + JOINED_WORDS] for i in range(0, len(spaced), JOINED_WORDS)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
+        rules, self.tokenizer.pre_tokenizer = self.tokenizer.pre_tokenizer, self.blanks
+        for group, ids in zip(groups, self._encoded(b"".join(group) for group in groups)):
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(group):
                 alone += group
                 continue
             raw, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
             self.known.update(zip(group, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
-        for word, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-        self.held += sum(map(len, new)) + ENTRY_BYTES * len(new)
+        self.tokenizer.pre_tokenizer = rules
+        self.known.update(zip(alone, (ids.tobytes() for ids in self._encoded(alone))))
+        self.held += sum(map(len, words)) + ENTRY_BYTES * len(words)
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of the distinct ``words``."""
+        if self.held > CACHED_BYTES // 2:
+            older = self.known
+            self.forget()
+            self.older = older
+        new = {w for w in words if w not in self.known}
+        if new:
+            self._learn(new)
+        return [self.known[w] for w in words]
 
     def _run(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_WORDS.findall(t) if _PLAIN.fullmatch(t) and not any(n in t for n in self.names) else None for t in texts]
-        self._learn(set().union(*filter(None, split)))
-        return [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4") if words is None else
-                np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for text, words in zip(texts, split)]
+        if not texts:
+            return []
+        plain = [_PLAIN.fullmatch(t) is not None and not any(n in t for n in self.names) for t in texts]
+        raw = np.frombuffer(b"".join([t.encode() + _STOP if p else _STOP for t, p in zip(texts, plain)]), np.uint8)
+        starts = word_starts(raw)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+            None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
+        found = self._ids(words.dictionary.to_pylist())
+        codes, flat = words.indices.to_numpy(), np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        offsets, n = np.cumsum(sizes) - sizes, sizes[codes]
+        after = np.cumsum(n)  # ids of a word and all before it
+        ids = flat[np.arange(after[-1]) + np.repeat(offsets[codes] - (after - n), n)]
+        parts = np.split(ids, after[raw[starts] == _STOP[0]])
+        return [part if p else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+                for text, p, part in zip(texts, plain, parts)]
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in runs of about RUN_CHARS."""
