@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, settle
+from tidemark.llm.common import WORD, packed_rows, settle, unpacked
 
 MIN_CHARS = 20  # shorter lines are not compared within an edit: it would change too much of them
 BROADCAST_ROWS = 200_000  # longer lists of keys or lines are joined by a shuffle
@@ -156,9 +156,9 @@ def cleaned(docs: DataFrame, every: bool = False) -> DataFrame:
     ``line_report``: with it, repeats of short lines go too."""
     kept = (kept_lines(docs, every).groupBy("_id", "_h").agg(F.collect_list("line_no").alias("_kept")))  # as long as the document
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_h", F.xxhash64(text))
+    rows = packed_rows(docs, _id=F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), _h=F.xxhash64(text))
+    text = F.col("row.text").cast("string")
     stays = F.filter(F.split(text, "\n", -1), lambda x, i: ~compared(x, every) | F.coalesce(
         F.array_contains("_kept", i), F.lit(False)))
-    return (rows.join(kept, ["_id", "_h"], "left")
-            .withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(stays, "\n")))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    whole = F.col("row").withField("text", F.when(text.isNotNull(), F.array_join(stays, "\n")))
+    return unpacked(rows.join(kept, ["_id", "_h"], "left").select(whole.alias("row")))
