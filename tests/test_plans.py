@@ -39,6 +39,18 @@ def test_lookback_is_one_shuffle_without_joins(spark):
     assert re.search(r"Exchange hashpartitioning\(_k0#\d+L?, _slice", text)
 
 
+def test_features_are_not_shuffled_by_hour(spark, views):
+    """Whichever side of the join is done first: only the plan's own broadcasts count here."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(views.features.select("*"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin [_hour" in text and "SortMergeJoin" not in text
+    assert not re.search(r"Exchange hashpartitioning\(_hour", text)
+
+
 def test_filters_and_columns_reach_the_scan(views):
     text = plan(serving.cost_by_tier(views.role("usage").filter("user_id IS NOT NULL"), "2024-01-31", 24))
     scan = re.search(r"ReadSchema: (\S+)", text).group(1)

@@ -63,8 +63,9 @@ def market_features(changes: DataFrame, dominance: DataFrame, as_of: AsOf, days:
                     every_btc_row: bool = False) -> DataFrame:
     """Features of the last ``days``: ratio, momentum and the BTC share of the same hour.
 
-    The share is reduced to the latest row per hour; ``every_btc_row`` keeps all of them, which
-    repeats a change row once per BTC row of its hour.
+    The share is reduced to the latest row per hour and broadcast: 24 rows per day, however many
+    assets there are, so change rows are never shuffled by hour. ``every_btc_row`` keeps all BTC
+    rows, which repeats a change row once per BTC row of its hour.
     """
     start = before(as_of, days=days)
     recent = changes.filter(
@@ -77,8 +78,8 @@ def market_features(changes: DataFrame, dominance: DataFrame, as_of: AsOf, days:
     if every_btc_row:
         hourly = btc.select(hour.alias("_hour"), F.col("dominance_pct").alias("dominance_pct_btc"))
     else:
-        hourly = btc.groupBy(hour.alias("_hour")).agg(
-            F.max_by("dominance_pct", "observed_at").alias("dominance_pct_btc"))
+        hourly = F.broadcast(btc.groupBy(hour.alias("_hour")).agg(
+            F.max_by("dominance_pct", "observed_at").alias("dominance_pct_btc")))
     joined = recent.withColumn("_hour", hour).join(hourly, "_hour", "left")
     double = lambda name: F.col(name).cast("double").alias(name)
     return joined.select(
