@@ -1,6 +1,8 @@
 import collections
+import json
 import re
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -94,6 +96,37 @@ def test_words_met_again_stay_known_and_batches_are_small(tokenizer, monkeypatch
     assert code.encode("it's it 's 中 <|endoftext|>").tolist() == tokenizer.encode("it's it 's 中 <|endoftext|>", add_special_tokens=False).ids
 
 
+def test_no_step_is_taken_for_each_word(tokenizer):
+    words = [f"{a}{b}{c}{d}" for a in "bcdfghjkln" for b in "aeiou" for c in "bcdfghjkln" for d in ["", *"aeioubcdfghjklmnpqr"]]
+    text, code, calls = " ".join(words), tokens.Encoder(tokens.vocabulary_path()), collections.Counter()
+    sys.setprofile(lambda _, event, __: calls.update([event]))
+    try:
+        got = code.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(set(words)) == 10_000 and calls["call"] + calls["c_call"] < len(words)
+
+
+@pytest.mark.parametrize("ignore", [False, True])
+def test_merges_over_a_space_do_not_join_words(tokenizer, tmp_path, ignore):
+    kept = json.loads(tokenizer.to_str())
+    vocab = kept["model"]["vocab"]
+    for new in ("dĠ", "Ġwhat-is-this"):
+        vocab[new] = max(vocab.values()) + 1
+    kept["model"] |= {"merges": [["d", "Ġ"], *kept["model"]["merges"]], "ignore_merges": ignore}
+    (path := tmp_path / "over.json").write_text(json.dumps(kept))
+    text = "and and  red food, bad. what what-is-this what's and\nend 12d d d 'd" + "".join(f" x{i}d" for i in range(300))
+    want = Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+    assert tokens.Encoder(str(path)).encode(text).tolist() == want
+
+
+def test_runs_of_empty_texts_end():
+    code, taken = tokens.Encoder(tokens.vocabulary_path()), []
+    found = code.encode_all(taken.append(i) or "" for i in range(1 << 20))
+    assert len(next(found)) == 0 and len(taken) <= tokens.RUN_CHARS // tokens.TEXT_CHARS
+
+
 def _expected(rows, tokenizer, end):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     start, out = 0, []
@@ -111,6 +144,18 @@ def test_packed_documents(spark, tokenizer, monkeypatch):
     assert got == sorted(_expected(rows, tokenizer, 2))
 
 
+def test_documents_of_a_run_come_in_several_batches(spark, tokenizer):
+    rows = [(r.doc_id, r.text) for r in real(spark).limit(100).collect()]
+    rows += [(10**6 + i, t) for i, t in enumerate([None, "", "x \u4e2d", "a\nb " * 300_000, "y" * 10, None, "\u4e2d", "end"])]
+    docs = frame(spark, [(i, t, "en", "a", 0) for i, t in rows]).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = sorted(map(tuple, tokens.packed(docs).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(_expected(rows, tokenizer, 2))
+
+
 def test_odd_rows(spark, tokenizer):
     rows = [r for r in odd_rows() if r[0] is not None and list(x[0] for x in odd_rows()).count(r[0]) == 1]
     got = {r.doc_id: tuple(r)[2:] for r in tokens.packed(odd(spark)).collect()}

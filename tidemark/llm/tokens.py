@@ -21,12 +21,14 @@ import os
 import re
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,10 +43,11 @@ BLOCK = 4096  # ids of a block
 FILE_IDS = 2_000_000  # a file is closed by the document that reaches so many ids
 PARTITION_BYTES = 16 << 20  # text bytes of a partition, about
 CACHED_BYTES = 40 << 20  # of words and ids that a task remembers, with ENTRY_BYTES for each; then it starts anew
-ENTRY_BYTES = 170
+ENTRY_BYTES = 64
 JOINED_WORDS = 100  # that are encoded as one text
 ENCODED_TEXTS = 16  # that the tokenizer gets at once
 RUN_CHARS = 1 << 20  # texts of so many characters are learned at once; longer ones are cut where that changes no id
+TEXT_CHARS = 64  # that a text counts beside its own, so that runs of empty texts end too
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -99,11 +102,31 @@ def pieces(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
+_NO_IDS = np.array([], "<u4")
+
+
+def binaries(raw: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The runs of ``raw`` that end before each of ``ends``, counted in items of ``raw``."""
+    offsets = np.zeros(len(ends) + 1, np.int64)
+    np.multiply(ends, raw.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def items(array: pa.LargeBinaryArray, kind: str = "u1") -> tuple[np.ndarray, np.ndarray]:
+    """All items of ``array``, one value behind the other, and where each value ends."""
+    _, offsets, raw = array.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(array) + 1, 8 * array.offset)
+    size = np.dtype(kind).itemsize
+    found = np.frombuffer(raw or b"", kind, (offsets[-1] - offsets[0]) // size, offsets[0])
+    return found, (offsets[1:] - offsets[0]) // size
+
+
 class Encoder:
     """Ids of whole texts, equal to those of the tokenizer's own ``encode``.
 
     Byte-level BPE merges within the words of its pre-tokenizer only, so the distinct words of many texts
-    are given to the tokenizer at once and remembered. ``special`` tells whether the names of special tokens
+    are given to the tokenizer at once and remembered, as Arrow columns ``word`` and ``ids`` (little-endian uint32), which
+    are searched for all words of many texts at once. ``special`` tells whether the names of special tokens
     in a text count as these tokens, which is the tokenizer's default."""
 
     def __init__(self, path: str, special: bool = True) -> None:
@@ -115,17 +138,19 @@ class Encoder:
         self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.opens = np.zeros(self.size(), bool)  # tokens that begin with a space, as the vocabulary writes it
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "Ġ"]] = True
-        # For joined words, which are cut already: no rule but that a blank begins a word.
-        self.blanks = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"),
-                                               pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # For joined words, which are cut already: no rule, as merges alone tell the ids, else that a blank begins a word.
+        model = self.tokenizer.model
+        whole = not (getattr(model, "ignore_merges", True) or model.continuing_subword_prefix or model.end_of_word_suffix)
+        self.blanks = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next")] * (not whole) + [
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.forget()
 
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
     def forget(self) -> None:
-        self.known: dict[bytes, bytes] = {_STOP: b""}
-        self.older: dict[bytes, bytes] = {}
+        self.known = pa.record_batch([pa.array([_STOP], pa.large_binary()), pa.array([b""], pa.large_binary())], ["word", "ids"])
+        self.older = self.known.slice(0, 0)
         self.held = 0
 
     def _encoded(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
@@ -135,40 +160,60 @@ class Encoder:
             for found in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
                 yield np.array(found.ids, "<u4")
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Adds ``words`` to what is known. Where that has grown to half of CACHED_BYTES it becomes the older half, from
-        which words come back when they are met again, and the older half before it is forgotten.
-
-        Words that begin with a space stand apart in a text of such words, and only their first token begins with
-        the space, so many are encoded as one text and cut there."""
-        again = {w: self.older[w] for w in words if w in self.older}
-        self.known.update(again)
-        new = words.difference(again)
-        spaced = [w for w in new if w[0] == 32 and len(w) > 1 and not w[1:2].isspace()]
-        alone = list(new.difference(spaced))
-        groups = [spaced[i:i + JOINED_WORDS] for i in range(0, len(spaced), JOINED_WORDS)]
+    def _joined(self, words: pa.LargeBinaryArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The ids of words that begin with a space, encoded as texts of many such words. Where as many tokens begin with a
+        space as there are words, no merge went over a space, so merges were those within the words and each begins at such
+        a token. False for the words of other texts."""
+        raw, ends = items(words)
+        cuts = [0, *ends[JOINED_WORDS - 1::JOINED_WORDS].tolist()]
+        if len(words) % JOINED_WORDS:
+            cuts.append(len(raw))
+        held, sizes, parts = np.ones(len(words), bool), [], []
         rules, self.tokenizer.pre_tokenizer = self.tokenizer.pre_tokenizer, self.blanks
-        for group, ids in zip(groups, self._encoded(b"".join(group) for group in groups)):
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(group):
-                alone += group
-                continue
-            raw, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            self.known.update(zip(group, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+        for i, ids in enumerate(self._encoded(raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:]))):
+            group = held[i * JOINED_WORDS:(i + 1) * JOINED_WORDS]
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(group):
+                sizes.append(np.diff(starts, append=len(ids)))
+                parts.append(ids)
+            else:
+                group[:] = False
         self.tokenizer.pre_tokenizer = rules
-        self.known.update(zip(alone, (ids.tobytes() for ids in self._encoded(alone))))
-        self.held += sum(map(len, words)) + ENTRY_BYTES * len(words)
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
+        return binaries(np.concatenate([*parts, _NO_IDS]), np.cumsum(np.concatenate([*sizes, _NO_IDS], dtype=np.int64))), held
+
+    def _learn(self, words: pa.LargeBinaryArray) -> None:
+        """Adds ``words`` behind what is known. Where that has grown to half of CACHED_BYTES it becomes the older half, from
+        which words come back when they are met again, and the older half before it is forgotten."""
+        at = pc.index_in(words, value_set=self.older["word"])
+        there = at.is_valid().to_numpy(zero_copy_only=False)
+        raw, ends = items(words)
+        starts = np.append(0, ends)[:-1]
+        spaced = ~there & (raw[starts] == 32) & (ends - starts > 1)
+        spaced[spaced] = _KINDS[raw[starts[spaced] + 1]] != _SPACE
+        joined, held = self._joined(words.filter(pa.array(spaced)))
+        spaced[spaced] = held
+        rest = ~there & ~spaced
+        alone = [*self._encoded(words.filter(pa.array(rest)).to_pylist())]
+        ids = pa.concat_arrays([self.older["ids"].take(at.drop_null()), joined, binaries(
+            np.concatenate([*alone, _NO_IDS]), np.cumsum([len(x) for x in alone], dtype=np.int64))])
+        back = np.empty(len(words), np.int64)  # where a word's ids are among these
+        back[np.concatenate([np.flatnonzero(x) for x in (there, spaced, rest)])] = np.arange(len(words))
+        self.known = pa.record_batch([pa.concat_arrays([self.known["word"], words]),
+                                      pa.concat_arrays([self.known["ids"], ids.take(pa.array(back))])], ["word", "ids"])
+        self.held += len(raw) + ENTRY_BYTES * len(words)
+
+    def _ids(self, words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
         """The ids of each of the distinct ``words``."""
         if self.held > CACHED_BYTES // 2:
             older = self.known
             self.forget()
             self.older = older
-        new = {w for w in words if w not in self.known}
-        if new:
-            self._learn(new)
-        return [self.known[w] for w in words]
+        before, at = len(self.known), pc.index_in(words, value_set=self.known["word"])
+        if at.null_count:
+            new = at.is_null()
+            self._learn(words.filter(new))
+            at = pc.replace_with_mask(at, new, pa.array(np.arange(before, len(self.known), dtype=np.int32)))
+        return self.known["ids"].take(at)
 
     def _run(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
@@ -176,17 +221,12 @@ class Encoder:
         plain = [_PLAIN.fullmatch(t) is not None and not any(n in t for n in self.names) for t in texts]
         raw = np.frombuffer(b"".join([t.encode() + _STOP if p else _STOP for t, p in zip(texts, plain)]), np.uint8)
         starts = word_starts(raw)
-        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [
-            None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
-        found = self._ids(words.dictionary.to_pylist())
-        codes, flat = words.indices.to_numpy(), np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        offsets, n = np.cumsum(sizes) - sizes, sizes[codes]
-        after = np.cumsum(n)  # ids of a word and all before it
-        ids = flat[np.arange(after[-1]) + np.repeat(offsets[codes] - (after - n), n)]
-        parts = np.split(ids, after[raw[starts] == _STOP[0]])
+        stops = np.flatnonzero(raw[starts] == _STOP[0])
+        words = binaries(raw, np.append(starts[1:], len(raw))).dictionary_encode()
+        del raw, starts
+        ids, ends = items(self._ids(words.dictionary).take(words.indices), "<u4")
         return [part if p else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-                for text, p, part in zip(texts, plain, parts)]
+                for text, p, part in zip(texts, plain, np.split(ids, ends[stops]))]
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in runs of about RUN_CHARS."""
@@ -198,7 +238,7 @@ class Encoder:
                 yield np.concatenate([self._run([piece])[0] for piece in pieces(text)])
                 continue
             run.append(text)
-            held += len(text)
+            held += len(text) + TEXT_CHARS
             if held >= RUN_CHARS:
                 yield from self._run(run)
                 run, held = [], 0
@@ -304,16 +344,23 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, make=
             return pa.RecordBatch.from_arrays([pa.array([make(ids, names, width, partition << 32 | made)],
                                                         pa.binary())], ["value"])
 
-        for batch in batches:
-            texts = (x.as_py() for x in batch["text"])
-            for doc_id, found in zip(batch["doc_id"].to_pylist(), code.encode_all(texts)):
-                ids.append(np.concatenate([found, end]))
-                names.append(LOWEST if doc_id is None else doc_id)
-                held += len(ids[-1])
-                if held >= FILE_IDS:
-                    yield full()
-                    made, held = made + 1, 0
-                    ids.clear(), names.clear()
+        waiting: deque[int | None] = deque()
+
+        def texts() -> Iterator[str]:
+            for batch in batches:
+                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                    waiting.append(doc_id)
+                    yield text.as_py()
+
+        for found in code.encode_all(texts()):
+            doc_id = waiting.popleft()
+            ids.append(np.concatenate([found, end]))
+            names.append(LOWEST if doc_id is None else doc_id)
+            held += len(ids[-1])
+            if held >= FILE_IDS:
+                yield full()
+                made, held = made + 1, 0
+                ids.clear(), names.clear()
         code.forget()
         if ids:
             yield full()
